@@ -68,11 +68,11 @@ def _shards(rows: int, bits_per_row: int, max_filter_bytes: int) -> int:
     return max(1, min(wanted, max_filter_bytes * 8 // SHARD_BITS))
 
 
-def _partly(shards: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _partly(shards: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, n = np.unique(np.asarray(b.column(0)).view(np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array((h >> np.uint64(40)).astype(np.int64) % shards, pa.int32()), "h": h.view(np.int64), "again": n > 1})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array((h >> np.uint64(40)).astype(np.int64) % shards, pa.int32()), "h": h.view(np.int64), "again": n >= least})
 
     return run
 
@@ -95,11 +95,16 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"shard": pa.array(list(twice), pa.int32()), "bits": pa.array([zlib.compress(x.tobytes(), 1) for x in twice.values()], pa.binary())})
 
 
-def repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, max_filter_bytes: int = 64 << 20) -> Callable[[Column], Column]:
+def member_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, max_filter_bytes: int = 64 << 20) -> Callable[[Column], Column]:
+    """From one bigint column of hashes: a function from a hash column to "may be among them"."""
+    return repeated_filter(hashes, rows, bits_per_row, max_filter_bytes, least=1)
+
+
+def repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, max_filter_bytes: int = 64 << 20, least: int = 2) -> Callable[[Column], Column]:
     """From one bigint column of hashes: a function from a hash column to "may be repeated"."""
     spark = hashes.sparkSession
     shards = _shards(rows, bits_per_row, max_filter_bytes)
-    parts = hashes.mapInArrow(_partly(shards), "shard int, h long, again boolean")
+    parts = hashes.mapInArrow(_partly(shards, least), "shard int, h long, again boolean")
     built = parts.repartition("shard").mapInArrow(_build, "shard int, bits binary").collect()  # at most max_filter_bytes
     shared = spark.sparkContext.broadcast({r.shard: bytes(r.bits) for r in built})
     unpacked: dict[int, np.ndarray] = {}
@@ -131,6 +136,7 @@ def groups(docs: DataFrame, bits_per_row: int = 16, max_filter_bytes: int = 64 <
     lone = probed.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     some = probed.where("maybe")
     best = some.groupBy("sha").agg(F.count("*").alias("group_size"), F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best"))
+    best = materialize(best, "best")  # so that both sides of the join are plain exchanges, which adaptive execution can split
     rest = some.join(best, "sha").select("doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
     return lone.union(rest)
 

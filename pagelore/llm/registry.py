@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelore.llm import exact_dedup
+from pagelore.llm import exact_dedup, ngram_join, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_ngram_join": ngram_join.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
     }
