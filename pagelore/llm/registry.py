@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagelore.llm import exact_dedup, ngram_join, toxicity
+import corpus_pipeline
+from pagelore.llm import chat_format, decontaminate, exact_dedup, ngram_join, sentencepiece_codec, token_planes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
+        "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
+        "op4_token_planes": token_planes.op4_token_planes,
         "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op6_chat_format": chat_format.op6_chat_format,
+        "op8_decontamination": decontaminate.op8_decontamination,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
@@ -20,5 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_ngram_join": ngram_join.SQL,
+        "op8_decontamination": decontaminate.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
     }
