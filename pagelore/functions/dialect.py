@@ -163,6 +163,9 @@ class Spark(Dialect):
     def fold_i(self, x: str) -> str:
         return "(?iu)" + x
 
+    def bounded(self, x: str) -> str:
+        return x
+
 
 class Duck(Dialect):
     name = "duck"
@@ -257,5 +260,9 @@ class Duck(Dialect):
     def fold_i(self, x: str) -> str:
         return "(?i)" + x
 
+    def bounded(self, x: str) -> str:
+        """This engine's word borders are ASCII; other letters become an ASCII word character."""
+        return self.replace(x, r"[\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{2c1}\x{370}-\x{1fff}\x{2c00}-\x{2fef}\x{3040}-\x{d7ff}]", "_")
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -58,7 +58,7 @@ def comparison_tokens(d: Dialect, x: str) -> str:
 
 def sensitive_tokens(d: Dialect, x: str) -> str:
     """URLs, capitalised words, numbers and runs of punctuation, sorted and distinct."""
-    found = d.extract_all(x, rf"https?://[^{WS}]+|\b[A-Z][A-Za-z'’-]{{2,}}\b|\b[0-9][0-9,./:-]*\b|[^{WS}{WORD}]{{2,}}")
+    found = d.extract_all(d.bounded(x), rf"https?://[^{WS}]+|\b[A-Z][A-Za-z'’-]{{2,}}\b|\b[0-9][0-9,./:-]*\b|[^{WS}{WORD}]{{2,}}")
     return d.sorted(d.distinct(found))
 
 

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelore.functions.dialect import DUCK, SPARK, Dialect
-from pagelore.operators import text_rules
+from pagelore.operators import alignment, audits, layout, text_rules
+from pagelore.plans import report
 from pagelore.sources.tables import duck_adapters, table
+from pagelore.streaming import resume
 
 RULES: dict[str, tuple[tuple[str, ...], Callable[[Dialect], str]]] = {}
-for _module in (text_rules,):
+for _module in (text_rules, layout, audits, report):
     RULES |= _module.QUERIES
 
 
@@ -39,8 +41,8 @@ def _oracle(name: str) -> str:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: _query(name) for name in RULES}
+    return {name: _query(name) for name in RULES} | alignment.QUERIES | resume.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: _oracle(name) for name in RULES}
+    return {name: _oracle(name) for name in RULES} | resume.ORACLES
