@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelore.functions.dialect import DUCK, SPARK, Dialect
-from pagelore.operators import alignment, audits, layout, text_rules
+from pagelore.operators import alignment, audits, layout, records, text_rules
 from pagelore.plans import report
 from pagelore.sources.tables import duck_adapters, table
 from pagelore.streaming import resume
 
 RULES: dict[str, tuple[tuple[str, ...], Callable[[Dialect], str]]] = {}
-for _module in (text_rules, layout, audits, report):
+for _module in (text_rules, layout, audits, records, report):
     RULES |= _module.QUERIES
 
 
