@@ -74,10 +74,6 @@ for _kind, _list in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS)
 #: Lengths of learnt stems, in characters.
 STEM = (4, 8)
 
-# The component transducers: for each, state -> symbol -> next state. A state other
-# than 0 lasts for the given number of cue or weight symbols within a clause.
-_ONE = {0: {}, 1: {}}
-
 
 def _component(opens: int, lasts: bool) -> dict[tuple[int, int], int]:
     """A two-state transducer opened by one symbol; unless it lasts, an emission closes it."""
@@ -104,7 +100,7 @@ def channels(text: str, grammar: Grammar, seen: dict[str, tuple[int, float] | No
         try:
             hit = seen[token]
         except KeyError:
-            if len(seen) > 2_000_000:  # bounded memory, whatever the vocabulary
+            if len(seen) > 300_000:  # bounded memory, whatever the vocabulary
                 seen.clear()
             hit = seen[token] = (-1, 0.0) if _STOP.match(token) else grammar.symbol(token)
         if hit is None:
@@ -168,7 +164,27 @@ def _lexicon(texts: list[str], y: np.ndarray, least: int = 4, odds: float = 2.5)
     for w, c in words[1].items():
         if c >= 2 * least and precise(words, w) and (v := score(words, w)) >= odds and not any(w[:m] in found_stems for m in range(STEM[0], STEM[1] + 1)):
             found_words[w] = min(v, 6.0)
-    return found_words, found_stems
+    return _explained(found_words, found_stems, [v for v, k in zip(vocab, y, strict=True) if k == 1], words[0], least)
+
+
+def _explained(words: dict[str, float], stems: dict[str, float], toxic: list[set[str]], clean: Counter, least: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Without words that only keep company with others: from the most frequent entry down,
+    a word that isn't frequent must mark enough toxic texts that no entry before it does."""
+    places: dict[str, set[int]] = defaultdict(set)
+    covered: set[int] = set()
+    for i, v in enumerate(toxic):
+        for w in v:
+            if w in words:
+                places[w].add(i)
+            elif any(w[:m] in stems for m in range(STEM[0], STEM[1] + 1)):
+                covered.add(i)
+    kept = {}
+    for w in sorted(words, key=lambda w: (-len(places[w]), w)):
+        alone = len(places[w] - covered)
+        if len(places[w]) >= max(2 * least, 0.02 * len(toxic)) or (alone >= least and alone >= 0.75 * (alone + clean[w])):
+            kept[w] = words[w]
+            covered |= places[w]
+    return kept, stems
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[np.ndarray, float]:
