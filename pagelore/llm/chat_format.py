@@ -38,6 +38,17 @@ from pagelore.llm._common import table
 Turn = tuple[str, str]
 CONTEXT = 4
 
+SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL
+           SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '</s>[INST] ok [/INST]' FROM range(2) x(i)),
+e AS (SELECT *, length(regexp_replace(role, '[^\[\]<>\\]', '', 'g')) AS role_marks, length(regexp_replace(t, '[^\[\]<>\\]', '', 'g')) AS text_marks FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(t) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN t END, '' ORDER BY turn, role, t), '')) AS loss_sha256,
+       CAST(sum(14 + 2 * (length(role) + role_marks) + length(t) + text_marks) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_rewritten
+FROM e GROUP BY conv_id
+"""
+
 _MARKS = re.compile(r"[\[\]<>\\]")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 

@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_ngram_join": ngram_join.SQL,
+        "op6_chat_format": chat_format.SQL,
         "op8_decontamination": decontaminate.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
     }

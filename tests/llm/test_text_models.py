@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from oracle import same
 from pagelore.llm import chat_format, html_extract, quality, sentencepiece_codec, token_planes, toxicity
 
 ODD = ["", None, " ", "a", "  two  spaces ", "▁mark▁", "\n\t\r", "é́ 日本語 😀", "x" * 3000 + " " + "ab" * 700, "<s> </s> <unk> <0x41>", "null\x00byte"]
@@ -140,6 +141,10 @@ def test_black_box_templates():
         assert not rewritten and chat_format.unescape(piece[lo:hi]) == t and chat_format.parse(piece) == [("assistant", t)]
 
 
+def test_op6_sql(spark, sf_dir, duck):
+    assert same(chat_format.op6_chat_format(spark, sf_dir), duck.sql(chat_format.SQL)) > 1
+
+
 # ------------------------------------------------------------------ 3
 
 
