@@ -194,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: i
     text = F.coalesce("text", F.lit(""))
     middle = F.substring(text, F.greatest(F.lit(1), (F.char_length(text) - max_bytes) / 2).cast("int"), F.lit(max_bytes))
     got = docs.select(F.col("doc_id").alias("__id"), middle.alias("__t")).join(F.broadcast(rows), "__id").select("__t", "__y", F.xxhash64("__id").alias("__o"))
-    sample = sorted(got.toLocalIterator(), key=lambda r: r["__o"])[: max_rows + max_rows // 4]
+    sample = sorted(got.collect(), key=lambda r: (r["__o"], r["__t"]))
     return fit([r["__t"].encode() for r in sample], [r["__y"] for r in sample])
 
 

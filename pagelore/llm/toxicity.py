@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagelore.llm._common import table
 
@@ -133,41 +134,35 @@ def _lexicon(texts: list[str], y: np.ndarray, least: int = 4, odds: float = 2.5)
     A stem must carry several words, none of which decides alone; where a stem and a
     longer one mark the same texts the shorter stays."""
     n = np.array([(y == 0).sum(), (y == 1).sum()], float)
-    words: list[Counter] = [Counter(), Counter()]
-    stems: list[Counter] = [Counter(), Counter()]
-    forms: dict[str, set[str]] = defaultdict(set)
-    vocab = [{w for w in _WORD_OR_STOP.findall(t.lower()) if not _STOP.match(w)} for t in texts]
-    for v, k in zip(vocab, y, strict=True):
-        words[k].update(v)
-    toxic_words = {w for w, c in words[1].items() if c >= 1}
-    starts = Counter(s for w in toxic_words for s in {w[:m] for m in range(STEM[0], min(len(w), STEM[1]) + 1)})
-    wanted = {s for s, c in starts.items() if c >= 3}
-    for v, k in zip(vocab, y, strict=True):
-        mine = set()
-        for w in v:
-            for m in range(STEM[0], min(len(w), STEM[1]) + 1):
-                if w[:m] in wanted:
-                    mine.add(w[:m])
-                    if k == 1:
-                        forms[w[:m]].add(w)
-        stems[k].update(mine)
-    rate = lambda c, w, k: np.log((c[k][w] + 0.5) / (n[k] + 1))
-    score = lambda c, w: float(rate(c, w, 1) - rate(c, w, 0))
-    precise = lambda c, w: c[1][w] >= least and c[1][w] >= 0.75 * (c[1][w] + c[0][w])
+    number: dict[str, int] = {}
+    docs = [np.fromiter({number.setdefault(w, len(number)) for w in _WORD_OR_STOP.findall(t.lower()) if not _STOP.match(w)}, np.int32) for t in texts]
+    names = list(number)
+    count = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(v for v, c in zip(docs, y, strict=True) if c == k)]), minlength=len(names)) for k in (0, 1)]
+    prefixes = lambda w: [w[:m] for m in range(STEM[0], min(len(w), STEM[1]) + 1)]
+    forms = Counter(s for i in np.flatnonzero(count[1]).tolist() for s in prefixes(names[i]))
+    stem_number = {s: i for i, s in enumerate(sorted(s for s, c in forms.items() if c >= 3))}
+    stems_of = {i: mine for i, w in enumerate(names) if (mine := [stem_number[s] for s in prefixes(w) if s in stem_number])}
+    stem_count = np.zeros((2, len(stem_number)), np.int64)
+    for v, k in zip(docs, y, strict=True):
+        stem_count[k, list({s for i in v.tolist() if i in stems_of for s in stems_of[i]})] += 1
+    odd = lambda c0, c1: float(np.log((c1 + 0.5) / (n[1] + 1)) - np.log((c0 + 0.5) / (n[0] + 1)))
+    precise = lambda c0, c1: c1 >= 2 * least and c1 >= 0.75 * (c0 + c1)
     found_stems: dict[str, float] = {}
-    for s in sorted(wanted, key=len):
-        if any(s[:m] in found_stems for m in range(STEM[0], len(s))):
-            continue
-        if len(forms[s]) >= 3 and precise(stems, s) and stems[1][s] >= 2 * least and (v := score(stems, s)) >= odds:
-            found_stems[s] = min(v, 6.0)
+    for s in sorted(stem_number, key=len):
+        c0, c1 = stem_count[:, stem_number[s]]
+        if precise(c0, c1) and odd(c0, c1) >= odds and not any(s[:m] in found_stems for m in range(STEM[0], len(s))):
+            found_stems[s] = min(odd(c0, c1), 6.0)
+    marked = lambda w: any(w[:m] in found_stems for m in range(STEM[0], STEM[1] + 1))
     found_words = {}
-    for w, c in words[1].items():
-        if c >= 2 * least and precise(words, w) and (v := score(words, w)) >= odds and not any(w[:m] in found_stems for m in range(STEM[0], STEM[1] + 1)):
-            found_words[w] = min(v, 6.0)
-    return _explained(found_words, found_stems, [v for v, k in zip(vocab, y, strict=True) if k == 1], words[0], least)
+    for i in np.flatnonzero(count[1] >= 2 * least).tolist():
+        c0, c1 = count[0][i], count[1][i]
+        if precise(c0, c1) and odd(c0, c1) >= odds and not marked(names[i]):
+            found_words[names[i]] = min(odd(c0, c1), 6.0)
+    toxic = [{names[i] for i in v.tolist() if names[i] in found_words or marked(names[i])} for v, k in zip(docs, y, strict=True) if k == 1]
+    return _explained(found_words, found_stems, toxic, {w: int(count[0][number[w]]) for w in found_words}, least)
 
 
-def _explained(words: dict[str, float], stems: dict[str, float], toxic: list[set[str]], clean: Counter, least: int) -> tuple[dict[str, float], dict[str, float]]:
+def _explained(words: dict[str, float], stems: dict[str, float], toxic: list[set[str]], clean: dict[str, int], least: int) -> tuple[dict[str, float], dict[str, float]]:
     """Without words that only keep company with others: from the most frequent entry down,
     a word that isn't frequent must mark enough toxic texts that no entry before it does."""
     places: dict[str, set[int]] = defaultdict(set)
@@ -217,21 +212,18 @@ def fit(texts: list[str], labels: list[int]) -> Grammar:
     return g
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_chars: int = 40_000_000, fold: int = 5, held: int = 0) -> Grammar:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_chars: int = 30_000_000, fold: int = 5, held: int = 0) -> Grammar:
     """Fit on labelled rows outside the held-out fold.
 
-    The sample is bounded: ``max_rows`` rows, of which texts are taken while they sum to
-    at most ``max_chars`` characters; scoring covers every row and whole texts."""
+    The sample is bounded: ``max_rows`` rows, in the order of their hashes while they sum
+    to at most ``max_chars`` characters; scoring covers every row and whole texts."""
     rows = labels.where("toxic is not null").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y"))
     rows = rows.where(F.expr(f"pmod(crc32(cast(__id as string)), {fold}) <> {held}")).dropDuplicates(["__id"])
     rows = rows.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     got = docs.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("__t")).join(F.broadcast(rows), "__id").select("__t", "__y", F.xxhash64("__id").alias("__o"), F.char_length("__t").alias("__n"))
-    texts, ys, total = [], [], 0
-    for r in sorted(got.toLocalIterator(), key=lambda r: r["__o"]):
-        if total + r["__n"] <= max_chars:
-            total += r["__n"]
-            texts.append(r["__t"])
-            ys.append(r["__y"])
+    so_far = F.sum("__n").over(Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, 0))  # over the bounded sample
+    sample = got.withColumn("__s", so_far).where(F.col("__s") <= max_chars).orderBy("__o").select("__t", "__y").collect()
+    texts, ys = [r["__t"] for r in sample], [r["__y"] for r in sample]
     return fit(texts, ys)
 
 
