@@ -7,6 +7,7 @@ so a batch of documents is tokenised and hashed without one Python object per wo
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; bounds the temporaries of a Python worker.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -47,21 +48,25 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession, *paths: str) -> None:
+def drop_scratch(*tables: DataFrame) -> None:
     """Delete scratch tables that no returned plan reads any more."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        where = jvm.org.apache.hadoop.fs.Path(p)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        for f in t.inputFiles()[:1]:
+            where = jvm.org.apache.hadoop.fs.Path(f).getParent()
+            where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
-    Survives lost executors, and later plans read only the columns they need."""
+    Survives lost executors, and later plans read only the columns they need. Then the
+    driver collects its garbage, so that executors drop shuffle files of earlier steps."""
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -171,6 +176,13 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """256 bits of a set of hashes, as four 64-bit integers: bit i is the parity of the
+    hashes that end in i. Two sketches never differ in more bits than their sets in elements."""
+    parity = (np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    return np.packbits(parity).view(np.int64)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
@@ -178,15 +190,48 @@ def signed(x: np.ndarray) -> np.ndarray:
 # ------------------------------------------------------------------ components
 
 
-def components(edges: DataFrame, name: str = "components", a: str = "a", b: str = "b") -> DataFrame:
+#: Edges that one task joins by union-find (16 MB); more are joined by all tasks together.
+ONE_TASK_EDGES = 1 << 20
+
+
+def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, smallest id that each reaches) of a graph given by its edges."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        new = new[new]
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            return ids, ids[root]
+        root = new
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+    if got:
+        ids, low = union_find(np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low)], names=["id", "component"])
+
+
+def components(edges: DataFrame, name: str = "components", a: str = "a", b: str = "b", one_task: int = ONE_TASK_EDGES) -> DataFrame:
     """(id, component): the smallest id that each vertex of ``edges`` reaches.
 
-    Alternates large-star and small-star steps, each a shuffle with map-side
-    aggregation, until the edge set is a set of stars; every step is written to the
-    shared folder. Nothing is collected but two numbers per step. Empty in, empty out."""
-    spark = edges.sparkSession
+    Up to ``one_task`` distinct edges (a fixed bound) go to one task. Beyond, large-star
+    and small-star steps alternate, each a shuffle with map-side aggregation, until the
+    edge set is a set of stars; every step is written to the shared folder. Nothing is
+    collected but two numbers per step. Both ways give the same; empty in, empty out."""
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{name}-edges")
+    if e.count() <= one_task:
+        out = materialize(e.coalesce(1).mapInArrow(_joined, "id long, component long"), f"{name}-joined")
+        drop_scratch(e)
+        return out
     state = None
     while True:
         # large star: link every larger neighbour to the smallest of the neighbourhood
@@ -199,6 +244,7 @@ def components(edges: DataFrame, name: str = "components", a: str = "a", b: str
         small = large.join(low, "u")
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         new = materialize(small.where("u <> v").distinct(), f"{name}-small")
+        drop_scratch(e, large)
         seen = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         e = new
         if seen == state:

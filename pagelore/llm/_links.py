@@ -33,9 +33,17 @@ def open_lists(live: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return materialize(with_comp.join(mixed, "sig"), name)
 
 
-def link_lists(entries: DataFrame, verify: Verify, fits: Fits, name: str) -> DataFrame:
+def _differ(x: DataFrame, y: DataFrame) -> Column:
+    """In how many bits two odd sketches differ."""
+    return sum((F.bit_count(x[f"x{i}"].bitwiseXOR(y[f"y{i}"])) for i in range(4)), F.lit(0))
+
+
+def link_lists(entries: DataFrame, verify: Verify, fits: Fits, name: str, sketches: DataFrame, spread: int) -> DataFrame:
     """Links (a, b) whose components are those of all linked pairs that share a list.
 
+    ``sketches``: class, q0 .. q3, the odd sketch of its set. Sets that link differ in at
+    most (n + m) / ``spread`` elements, so pairs whose sketches differ in more bits are
+    left out of the full comparison without loss.
     ``entries``: class, n (a size), sig (a list). ``fits(n, m)``: can these sizes link?
     ``verify(pairs, name)``: those of the pairs (a, b) that do link."""
     live = shared_lists(entries, name)
@@ -46,14 +54,21 @@ def link_lists(entries: DataFrame, verify: Verify, fits: Fits, name: str) -> Dat
     links = verify(star.select(F.col("f").alias("a"), F.col("class").alias("b")).distinct(), f"{name}-star")
 
     rest = open_lists(live, links, f"{name}-open")
+    if rest.isEmpty():
+        return links
     order = F.xxhash64("comp")
     heads = rest.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "class", "n", "comp")).alias("h")).select("sig", F.col("h.class").alias("f"), F.col("h.n").alias("fn"), F.col("h.comp").alias("fc"))
     heads = materialize(heads, f"{name}-heads2")
     star = rest.join(heads, "sig").where((F.col("comp") != F.col("fc")) & fits("fn", "n"))
     links = links.union(verify(star.select(F.least("class", "f").alias("a"), F.greatest("class", "f").alias("b")).distinct(), f"{name}-again"))
 
-    rest = open_lists(live, links, f"{name}-rest")
-    x = rest.select("sig", F.col("class").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = rest.select("sig", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = x.join(y, (x.sig == y.sig) & (x.a < y.b) & (x.ca != y.cb) & fits("na", "nb")).select("a", "b").distinct()
+    rest = open_lists(rest.select("sig", "class", "n"), links, f"{name}-rest")
+    if rest.isEmpty():
+        return links
+    q = lambda side: [F.col(f"q{i}").alias(f"{side}{i}") for i in range(4)]
+    rest = materialize(rest.join(sketches, "class"), f"{name}-sketched")
+    x = rest.select("sig", F.col("class").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *q("x"))
+    y = rest.select("sig", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), *q("y"))
+    near = spread * _differ(x, y) <= F.col("na") + F.col("nb")
+    pairs = x.join(y, (x.sig == y.sig) & (x.a < y.b) & (x.ca != y.cb) & fits("na", "nb") & near).select("a", "b").distinct()
     return links.union(verify(pairs, f"{name}-full"))

@@ -1,23 +1,27 @@
 """N-gram Jaccard join: a size-aware heavy-light self-join of documents on 3-word shingles.
 
 Two documents link when ``100 * |A n B| >= 90 * |A u B|``. A partner of a set of n
-shingles shares at least ``ceil(0.9 n)`` of them, so
-
-* a *light* set (n <= boundary) enumerates its subsets of the fixed sizes
-  ``n .. ceil(0.9 n)``: two light sets that link have one such subset in common;
-* a *heavy* set is found by scanning inverted lists: it enters the lists of its
-  ``n - ceil(0.9 n) + 1`` rarest shingles, and two linked sets meet in one of them.
-  Light sets that are large enough to link with a heavy one enter the lists too.
-
-The boundary is the size at which enumerating costs as much as scanning, from the
-corpus' own size histogram (:func:`boundary`). Rarity comes from a count sketch of all
-documents with a fixed number of buckets; it orders the lists and never decides a link.
-
-Links, not pairs: equal sets are one class; in every list the members are first
-compared with one representative, linked classes are merged, and only members of
-still different components are then compared in full. Every pair of different sets that
-could link is therefore either compared or already known to be in one component, so
-components are exact, while a group of m near copies costs m comparisons a list.
+shingles shares at least ``ceil(0.9 n)`` of them, and at most ``(n + m) / 19`` shingles
+are in just one of two linked sets of n and m. Sets are
+dealt into size classes, and the shingles' hash space into somewhat more parts than two
+sets of a class can differ in shingles, so that two linked sets agree wholly in several
+parts:
+
+* a *light* set enumerates its subsets of a fixed size: for every two of its parts, all
+  its shingles in them. Linked light sets have such a subset in common, and small sets
+  that only share a common line hardly ever do;
+* a *heavy* set has too many such subsets; it is found by scanning inverted lists, one
+  for each part, named by all its shingles there (a few dozen lists hold it). A list per
+  single shingle, the rarest ones, was measured first: passages that many documents
+  share made its candidates grow with the square of the input.
+
+A set that could link with the next larger class enters that class' lists as well. The
+boundary between light and heavy is the size at which enumerating costs as much as
+scanning, from the corpus' own histogram of small sizes (:func:`boundary`).
+
+Links, not pairs: equal sets are one class, and :mod:`pagelore.llm._links` compares the
+members of a list by representatives. Every pair of different sets that could link is
+compared or known to be in one component, so components are exact.
 
 Defined cases: null or empty text (or white space only) has the empty set, links with
 nothing and is its own component; with fewer than three words the whole sequence is the
@@ -30,25 +34,26 @@ from __future__ import annotations
 
 import itertools
 import math
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm._common import Words, components, materialize, mix, shingle_hashes, signed, slices, table
+from pagelore.llm._common import Words, components, drop_scratch, materialize, mix, odd_sketch, shingle_hashes, signed, slices, table
+from pagelore.llm._links import link_lists
+from pagelore.llm.exact_dedup import member_filter
 
 SHINGLE = 3
 #: Link when PER[0] * intersection >= PER[1] * union.
 PER = (100, 90)
-#: Buckets of the count sketch (fixed: 1 MB on each worker whatever the corpus), in slices for its reduction.
-SKETCH_BITS, SKETCH_SLICES = 20, 64
 #: Cost of comparing one candidate, in units of moving one list entry.
 COMPARE_COST = 4.0
+#: Share of the sets of a class that a part of at most two shingles has in common with, in the cost model.
+COMPANY = 0.01
 #: Sizes that the histogram resolves; larger sets are never light.
-HISTOGRAM = 64
+HISTOGRAM = 128
 
 SQL = r"""
 WITH RECURSIVE w AS (
@@ -69,216 +74,220 @@ FROM (SELECT doc_id, list_sort(s) AS s FROM s) d LEFT JOIN classes c ON c.s = d.
 """
 
 
-def least(n):
-    """The smallest intersection of a set of n shingles with a set that it links with."""
-    return -(-n * PER[1] // PER[0])
-
-
 # ------------------------------------------------------------------ sets
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> Iterator[np.ndarray]:
     """For each text its distinct shingles as sorted 64-bit hashes."""
     for _, data, offsets in slices(texts):
-        w = Words(data, offsets, lower=True)
-        grams = shingle_hashes(w.hash, k)
-        first = w.first.tolist()
-        for a, b in itertools.pairwise(first):
-            if b - a >= k:
-                yield np.unique(grams[a : b - k + 1])
-            else:
-                yield shingle_hashes(w.hash[a:b], b - a) if b > a else np.zeros(0, np.uint64)
+        yield from _slice_sets(data, offsets, k)
 
 
-# ------------------------------------------------------------------ pass 1: sketch and histogram
+def _slice_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
+    w = Words(data, offsets, lower=True)
+    grams = shingle_hashes(w.hash, k)
+    for a, b in itertools.pairwise(w.first.tolist()):
+        if b - a >= k:
+            yield np.unique(grams[a : b - k + 1])
+        else:
+            yield shingle_hashes(w.hash[a:b], b - a) if b > a else np.zeros(0, np.uint64)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sketch, sizes = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(HISTOGRAM + 1, np.int64)
-    for b in batches:
-        held, held_n = [], 0
-        for s in shingle_sets(b.column(0)):
-            sizes[min(len(s), HISTOGRAM)] += 1
-            held.append(s)
-            held_n += len(s)
-            if held_n > 1 << 18:
-                sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-                held, held_n = [], 0
-        if held:
-            sketch += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(sketch))
-    parts = [(i, zlib.compress(x.astype(np.int64).tobytes(), 1)) for i, x in enumerate(np.split(sketch, SKETCH_SLICES)) if x.any()]
-    parts.append((-1, zlib.compress(sizes.tobytes(), 1)))
-    yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in parts], pa.int32()), "counts": pa.array([c for _, c in parts], pa.binary())})
-
-
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for b in batches:
-        for part, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            x = np.frombuffer(zlib.decompress(counts.as_buffer()), np.int64)
-            total[part] = total[part] + x if part in total else x
-    out = [(p, (np.minimum(255, np.round(6 * np.log2(1 + x))).astype(np.uint8) if p >= 0 else x).tobytes()) for p, x in total.items()]
-    yield pa.RecordBatch.from_pydict({"part": pa.array([p for p, _ in out], pa.int32()), "counts": pa.array([c for _, c in out], pa.binary())})
-
-
-def corpus_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(frequency level by sketch bucket, number of sets by size) over all documents."""
-    parts = docs.select("text").mapInArrow(_count, "part int, counts binary").repartition("part").mapInArrow(_sum, "part int, counts binary")
-    levels, sizes = np.zeros(1 << SKETCH_BITS, np.uint8), np.zeros(HISTOGRAM + 1, np.int64)
-    width = len(levels) // SKETCH_SLICES
-    for r in parts.collect():  # 65 rows at most
-        if r.part >= 0:
-            levels[r.part * width : (r.part + 1) * width] = np.frombuffer(r.counts, np.uint8)
-        else:
-            sizes = np.frombuffer(r.counts, np.int64)
-    return levels, sizes
+# ------------------------------------------------------------------ heavy and light
 
 
-def subsets(n: int) -> int:
-    """How many subsets a light set of n shingles enumerates."""
-    return sum(math.comb(n, j) for j in range(n - least(n) + 1))
+def size_histogram(docs: DataFrame) -> np.ndarray:
+    """About how many sets there are of each small size, by counting the words of short texts."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.greatest(F.lit(0), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")) - (SHINGLE - 1))
+    short = docs.where(F.char_length(text) < 16 * HISTOGRAM).groupBy(F.least(n, F.lit(HISTOGRAM)).alias("n")).count()
+    sizes = np.zeros(HISTOGRAM + 1, np.int64)
+    for r in short.collect():  # HISTOGRAM + 1 rows at most
+        sizes[r.n] = r["count"]
+    return sizes
 
 
-def boundary(sizes: np.ndarray) -> int:
-    """The largest light size: where the cost of enumerating the light sets' subsets and
-    scanning the lists of all others is least."""
-    n = np.arange(1, HISTOGRAM)
-    count = sizes[1:HISTOGRAM]
-    enumerate_cost = np.array([c * subsets(int(i)) for c, i in zip(count, n, strict=True)], float)
-    scan_cost = count * (n - least(n) + 1) * (1 + COMPARE_COST)
-    costs = {b: enumerate_cost[n <= b].sum() + scan_cost[n >= least(b + 1)].sum() for b in range(HISTOGRAM // 2)}
-    return min(costs, key=costs.get)
+def size_class(n: int) -> tuple[int, int]:
+    """(number, largest size) of the size class of a set."""
+    number, top = 0, 8
+    while n > top:
+        number, top = number + 1, top * 13 // 10 + 1
+    return number, top
 
 
-# ------------------------------------------------------------------ pass 2: signatures
+def differ(top: int) -> int:
+    """In how many shingles two linked sets of at most ``top`` can differ."""
+    return 2 * top * (PER[0] - PER[1]) // (PER[0] + PER[1])
 
 
-def _signatures(levels: np.ndarray, light: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    heavy = least(light + 1)
+def parts(top: int, light: bool) -> int:
+    """Parts of a class: linked sets agree in four of a light one, in three of a heavy one,
+    of which two may be empty ones that name no list."""
+    return differ(top) + (4 if light else 3)
+
+
+def boundary(sizes: np.ndarray) -> int:
+    """The largest size of the light classes: up to where enumerating a set's subsets costs
+    less than scanning its lists, in which it meets the more company the more sets there are."""
+    light, n = 8, 9
+    while n < HISTOGRAM:
+        _, top = size_class(n)
+        p, q = parts(top, True), parts(top, False)
+        mean = top / q
+        small = math.exp(-mean) * (1 + mean + mean * mean / 2)
+        scan = q * (1 + COMPARE_COST * COMPANY * small * sizes[n : top + 1].sum())
+        if math.comb(p, 2) > scan:
+            break
+        light, n = top, top + 1
+    return light
+
+
+# ------------------------------------------------------------------ signatures
+
+
+def part_lists(s: np.ndarray, a: np.ndarray, number: int, top: int, light: bool) -> np.ndarray:
+    """List names of a set (sorted hashes ``s``, mixed ``a``) in one size class.
+
+    Empty parts name no list, unless so many are empty that the others don't suffice."""
+    if not differ(top):
+        return np.zeros(0, np.uint64)  # such sets link only if they are equal
+    p = parts(top, light)
+    edge = np.searchsorted(s >> np.uint64(32), ((np.arange(p + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(p - 1)) // np.uint64(p))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(a)])
+    full = np.diff(edge) > 0
+    names = mix((total[edge[1:]] - total[edge[:-1]]) * np.uint64(5) + (np.arange(p, dtype=np.uint64) << np.uint64(20)) + np.uint64(number + 1))
+    if p - full.sum() <= 2:
+        names = names[full]
+    if not light:
+        return names
+    i, j = np.triu_indices(len(names), 1)
+    return mix(names[i] * np.uint64(3) + names[j])
+
+
+def _signatures(light: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     salt = np.uint64(0xA0761D6478BD642F)
+    classes: dict[int, tuple[int, int, bool, int]] = {}
 
-    def of(s: np.ndarray) -> tuple[int, int, np.ndarray]:
+    def of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(s)
         a = mix(s + salt)
         total = a.sum(dtype=np.uint64)
-        out = []
-        if n and n <= light:
-            for gone in range(n - least(n) + 1):
-                dropped = [a[list(c)].sum(dtype=np.uint64) for c in itertools.combinations(range(n), gone)]
-                out.append(mix(total - np.array(dropped, np.uint64) + np.full(1, n - gone, np.uint64) * salt))
-        if n and n >= heavy:
-            rank = levels[s >> np.uint64(64 - SKETCH_BITS)].astype(np.uint64) << np.uint64(56) | s >> np.uint64(8)
-            p = n - least(n) + 1
-            out.append(s[np.argpartition(rank, p - 1)[:p]] if p < n else s)
-        return signed(np.array([total, mix(a).sum(dtype=np.uint64)], np.uint64)), np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out = [np.zeros(0, np.uint64)]
+        if n:
+            if n not in classes:
+                number, top = size_class(n)
+                classes[n] = number, top, n * PER[0] // PER[1] > top, size_class(top + 1)[1]
+            number, top, larger, next_top = classes[n]
+            out.append(part_lists(s, a, number, top, top <= light))
+            if larger:
+                out.append(part_lists(s, a, number + 1, next_top, next_top <= light))
+        return signed(np.array([total, mix(a).sum(dtype=np.uint64)], np.uint64)), np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, keys, sigs = [], [], []
-            for s in shingle_sets(b.column(1)):
-                key, sig = of(s)
-                sizes.append(len(s))
-                keys.append(key)
-                sigs.append(sig)
-            keys = np.array(keys, np.int64).reshape(-1, 2)
-            offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
-            values = signed(np.concatenate(sigs)) if sigs else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))],
-                names=["doc_id", "n", "s1", "s2", "sig"],
-            )
+            for first, data, offsets in slices(b.column(1)):  # small batches out, for bounded memory
+                sizes, keys, sigs, sketches = [], [], [], []
+                for s in _slice_sets(data, offsets, SHINGLE):
+                    key, sig = of(s)
+                    sizes.append(len(s))
+                    keys.append(key)
+                    sigs.append(sig)
+                    sketches.append(odd_sketch(s))
+                keys = np.array(keys, np.int64).reshape(-1, 2)
+                q = np.array(sketches, np.int64).reshape(-1, 4)
+                ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(sigs)), pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, *(pa.array(q[:, i]) for i in range(4))],
+                    names=["doc_id", "n", "s1", "s2", "sig", "q0", "q1", "q2", "q3"],
+                )
 
     return run
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact comparison of rows (a, b, text of a, text of b); rows of one a follow each other."""
+    last, mine = None, None
+    for b in batches:
+        ok = np.zeros(b.num_rows, bool)
+        a_texts = b.column(2)
+        for i, (a, other) in enumerate(zip(b.column(0).to_pylist(), shingle_sets(b.column(3)), strict=True)):
+            if a != last:
+                last, mine = a, next(shingle_sets(a_texts.slice(i, 1)))
+            both = len(np.intersect1d(mine, other, assume_unique=True))
+            ok[i] = PER[0] * both >= PER[1] * (len(mine) + len(other) - both)
+        keep = pa.array(ok)
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (class, s1, s2, text) whose text has the set of the class."""
     salt = np.uint64(0xA0761D6478BD642F)
     for b in batches:
-        found = list(shingle_sets(b.column(1)))
-        a = [mix(s + salt) for s in found]
-        offsets = np.concatenate([[0], np.cumsum([len(s) for s in found])]).astype(np.int32)
-        values = signed(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([int(x.sum(dtype=np.uint64).astype(np.int64)) for x in a], pa.int64()), pa.array([int(mix(x).sum(dtype=np.uint64).astype(np.int64)) for x in a], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))],
-            names=["doc_id", "s1", "s2", "s"],
-        )
+        keys = np.array([[(x := mix(s + salt)).sum(dtype=np.uint64), mix(x).sum(dtype=np.uint64)] for s in shingle_sets(b.column(3))], np.uint64).reshape(-1, 2).view(np.int64)
+        keep = pa.array((keys[:, 0] == np.asarray(b.column(1))) & (keys[:, 1] == np.asarray(b.column(2))))
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(3).filter(keep)], names=["class", "text"])
 
 
 # ------------------------------------------------------------------ join
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Those of ``pairs`` (a, b: class numbers) that link; sets are made anew from the
-    texts of the classes concerned and compared exactly."""
+    """Those of ``pairs`` (a, b: class numbers) that link.
+
+    The texts of the classes concerned meet by pair and their sets are made anew: text
+    compresses in a shuffle, hashes don't."""
     pairs = materialize(pairs, f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = materialize(classes.join(wanted, "class").select("class", "doc", "n", "s1", "s2"), f"{name}-wanted")
-    ids = wanted.select(F.col("doc").alias("__w")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("__w")), "left_semi")
-    sets = texts.mapInArrow(_sets, "doc_id long, s1 long, s2 long, s array<long>")
-    sets = sets.join(wanted.select("doc", "s1", "s2", "class", "n"), F.col("doc_id").eqNullSafe(F.col("doc")) & (wanted.s1 == sets.s1) & (wanted.s2 == sets.s2))
-    sets = materialize(sets.select("class", "n", "s").dropDuplicates(["class"]), f"{name}-sets")
-    left = sets.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    right = sets.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return materialize(pairs.join(right, "b").join(left, "a").where(PER[0] * both >= PER[1] * (F.col("na") + F.col("nb") - both)).select("a", "b"), f"{name}-links")
+    wanted = materialize(classes.join(wanted, "class").select("class", "doc", "s1", "s2"), f"{name}-wanted")
+    maybe = member_filter(wanted.select(F.xxhash64("doc")), wanted.count())
+    texts = docs.where(maybe(F.xxhash64("doc_id"))).join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("class", "s1", "s2", "text")
+    texts = materialize(texts.mapInArrow(_checked, "class long, text string"), f"{name}-texts")
+    one = texts.groupBy("class").agg(F.min("text").alias("text")) if _repeats(texts) else texts
+    right = one.select(F.col("class").alias("b"), F.col("text").alias("tb"))
+    left = one.select(F.col("class").alias("a"), F.col("text").alias("ta"))
+    met = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    links = materialize(met.mapInArrow(_linked, "a long, b long"), f"{name}-links")
+    drop_scratch(pairs, wanted, texts)
+    return links
 
 
-def _fits(n: str, m: str):
-    """Sizes n <= m can link."""
-    return PER[0] * F.col(n) >= PER[1] * F.col(m)
+def _repeats(texts: DataFrame) -> bool:
+    """Does a class have several rows (a doc_id that repeats with the same words)?"""
+    n = texts.agg(F.count("*").alias("n"), F.count_distinct("class").alias("m")).first()
+    return n.n != n.m
+
+
+def _fits(n: str, m: str) -> Column:
+    """Sizes n and m can link."""
+    return (PER[0] * F.col(n) >= PER[1] * F.col(m)) & (PER[0] * F.col(m) >= PER[1] * F.col(n))
 
 
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
-    levels, sizes = corpus_counts(docs)
-    sig = docs.mapInArrow(_signatures(levels, boundary(sizes)), "doc_id long, n long, s1 long, s2 long, sig array<long>")
+    light = boundary(size_histogram(docs))
+    sig = docs.mapInArrow(_signatures(light), "doc_id long, n long, s1 long, s2 long, sig array<long>, q0 long, q1 long, q2 long, q3 long")
     sig = materialize(sig.withColumn("row", F.monotonically_increasing_id()), "join-signatures")
 
     key = ["n", "s1", "s2"]
     classes = materialize(sig.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("m")).select(*key, F.col("m.row").alias("class"), F.col("m.doc_id").alias("doc")), "join-classes")
-    entries = sig.join(classes.select("class"), F.col("row") == F.col("class"), "left_semi").select(F.col("row").alias("class"), "n", F.explode("sig").alias("sig"))
-    lists = entries.groupBy("sig").agg(F.count("*").alias("c"), F.min(F.struct("n", "class")).alias("first")).where("c > 1").select("sig", F.col("first.class").alias("f"), F.col("first.n").alias("fn"))
-    live = materialize(entries.join(lists, "sig"), "join-lists")
-
-    links = _verified(live.where((F.col("class") != F.col("f")) & _fits("fn", "n")).select(F.col("f").alias("a"), F.col("class").alias("b")).distinct(), classes, docs, "join-star")
-    # twice more against another representative of each list, among what isn't one component yet
-    for turn in (1, 2):
-        open_lists = _open_lists(live, links, f"join-open{turn}")
-        order = F.xxhash64("comp", F.lit(turn))
-        heads = open_lists.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "class", "n", "comp")).alias("h")).select("sig", F.col("h.class").alias("f"), F.col("h.n").alias("fn"), F.col("h.comp").alias("fc"))
-        star = open_lists.join(heads, "sig").where((F.col("comp") != F.col("fc")) & (_fits("fn", "n") & _fits("n", "fn")))
-        more = _verified(star.select(F.least("class", "f").alias("a"), F.greatest("class", "f").alias("b")).distinct(), classes, docs, f"join-star{turn}")
-        links = links.union(more)
-    # what is left in different components is compared in full
-    rest = _open_lists(live, links, "join-rest")
-    x = rest.select("sig", F.col("class").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    y = rest.select("sig", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    pairs = x.join(y, (x.sig == y.sig) & (x.a < y.b) & (x.ca != y.cb) & _fits("na", "nb") & _fits("nb", "na")).select("a", "b").distinct()
-    links = links.union(_verified(pairs, classes, docs, "join-rest"))
+    heads = sig.join(classes.select("class"), F.col("row") == F.col("class"), "left_semi").withColumn("class", F.col("row"))
+    entries = heads.select("class", F.col("n").cast("int"), F.explode("sig").alias("sig"))
+    sketches = heads.select("class", "q0", "q1", "q2", "q3")
+    links = link_lists(entries, lambda pairs, name: _verified(pairs, classes, docs, name), _fits, "join", sketches, (PER[0] + PER[1]) // (PER[0] - PER[1]))
 
     comp = components(links, "join-components")
     named = classes.join(comp, F.col("class") == F.col("id"), "left").select(*key, "doc", F.coalesce("component", "class").alias("comp"))
     lowest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    named = named.join(lowest, "comp").select(*key, "component_id")
+    named = materialize(named.join(lowest, "comp").select(*key, "component_id"), "join-named")
     full = sig.where("n > 0").select("doc_id", *key).join(named, key).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return full.union(sig.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
-def _open_lists(live: DataFrame, links: DataFrame, name: str) -> DataFrame:
-    """Entries of the lists whose members aren't all in one component, with their component."""
-    comp = components(links, name)
-    with_comp = live.join(comp, F.col("class") == F.col("id"), "left").select("sig", "class", "n", F.coalesce("component", "class").alias("comp"))
-    mixed = with_comp.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-    return materialize(with_comp.join(mixed, "sig"), name)
-
-
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose component has a smaller doc_id; rows with a null
     doc_id, or with no text, stay. Rows that share the smallest doc_id all stay."""
-    from pagelore.llm.exact_dedup import member_filter
-
     gone = materialize(link_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__pl_gone")).distinct(), "join-gone")
     maybe = member_filter(gone.select(F.xxhash64("__pl_gone")), gone.count())
     marked = docs.withColumn("__pl_maybe", maybe(F.xxhash64("doc_id")))
