@@ -198,13 +198,17 @@ class Model:
                 gone = (i >= 0) & (i <= n - 2) & ~ok
                 moved[np.flatnonzero(gone), i[gone]] = -np.inf
             score[live] = moved
+        # ids of all symbols of all rows at once
+        there = np.arange(n)[None, :] < count[:, None]
+        r, start, end = np.repeat(np.arange(rows), count), edge[:, :-1][there], edge[:, 1:][there]
+        ids = self.find((h[r, end] - h[r, start]) * inv[start], end - start)
+        stop = np.cumsum(count).tolist()
+        flat, odd = ids.tolist(), set(r[ids < 0].tolist())
         out = []
-        for r, w in enumerate(words):
-            e = edge[r, : count[r] + 1]
-            ids = self.find((h[r, e[1:]] - h[r, e[:-1]]) * inv[e[:-1]], np.diff(e))
-            row: list[int] = []
-            for j, i in enumerate(ids.tolist()):
-                row += [i] if i >= 0 else self.fallback(w[e[j] : e[j + 1]])
+        for i, (a, b) in enumerate(zip([0, *stop[:-1]], stop, strict=True)):
+            row = flat[a:b]
+            if i in odd:
+                row = [x for j, p in enumerate(row, a) for x in ([p] if p >= 0 else self.fallback(words[i][start[j] : end[j]]))]
             out.append(row)
         return out
 
