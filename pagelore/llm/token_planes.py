@@ -26,6 +26,9 @@ and no rows; very long texts fill as many blocks as they need.
 
 from __future__ import annotations
 
+import itertools
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -176,6 +179,75 @@ class Reader:
             held = held[n:]
 
 
+# ------------------------------------------------------------------ encoding
+
+#: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
+CACHE_WORDS = 800_000
+#: Characters whose class all Unicode versions share; white space other than these could join words.
+_ODD = re.compile("[^\t\n\r -~\xa1-\u024f\u2010-\u2027\u2030-\u205e]|  ")
+
+
+class Encoder:
+    """Ids by the tokenizers library, a distinct word at a time.
+
+    The library's byte-level models never join across a single space, so the ids of a
+    text are those of its space-separated words (each with the space before it), which
+    it encodes once and this class remembers. Texts with two spaces in a row, or with
+    characters beyond the plain ones, go to the library whole."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.encode_special_tokens = True
+        self.by_word = '"ByteLevel"' in self.library.to_str() and self.library.normalizer is None and not getattr(self.library.pre_tokenizer, "add_prefix_space", True)
+        #: Does a token begin with a space?
+        self.opens = np.zeros(self.library.get_vocab_size() + 1, bool)
+        for token, i in self.library.get_vocab().items():
+            self.opens[i] = token.startswith("\u0120")
+        #: Words to their ids, as bytes of the smallest type.
+        self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.cache: dict[str, bytes] = {}
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [() if not self.by_word or _ODD.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
+        cache, size = self.cache, self.type.itemsize
+        every = set(itertools.chain.from_iterable(cut))
+        new = every.difference(cache)
+        if len(cache) + len(new) > CACHE_WORDS:
+            cache.clear()
+            new = every
+        # words that open with a space are encoded as one text, and cut where a token opens with one
+        later = [w for w in new if w[:1] == " " and len(w) > 1]
+        first = list(new.difference(later))
+        cache.update(zip(first, [x.astype(self.type).tobytes() for x in self.whole(first)], strict=True))
+        for i in range(0, len(later), 2048):
+            part = later[i : i + 2048]
+            ids = self.whole(["".join(part)])[0]
+            at = [*(np.flatnonzero(self.opens[ids]) * size).tolist(), len(ids) * size]
+            if len(at) == len(part) + 1:
+                raw = ids.astype(self.type).tobytes()
+                found = [raw[a:b] for a, b in itertools.pairwise(at)]
+            else:
+                found = [x.astype(self.type).tobytes() for x in self.whole(part)]
+            cache.update(zip(part, found, strict=True))
+        return [np.frombuffer(b"".join([cache[w] for w in parts]), self.type).astype(np.uint32) if parts else self.whole([t])[0] for t, parts in zip(texts, cut, strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process, shared by its tasks."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 # ------------------------------------------------------------------ Spark
 
 
@@ -193,23 +265,20 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, layout: i
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(where)
-        tokenizer.encode_special_tokens = True
+        encode = encoder(where).encode
         part = TaskContext.get().partitionId()
         fs, base = _place(folder)
         fs.create_dir(base, recursive=True)
         name, out, writer = f"shard-{part:06d}-{uuid.uuid4().hex[:12]}.pln", None, None
         for b in batches:
-            for i in range(0, b.num_rows, 64):  # rows a tokenizer call
-                ids = b.column(0).slice(i, 64).to_pylist()
-                texts = [t or "" for t in b.column(1).slice(i, 64).to_pylist()]
-                for doc_id, e in zip(ids, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            for i in range(0, b.num_rows, 256):  # rows a call
+                doc_ids = b.column(0).slice(i, 256).to_pylist()
+                texts = [t or "" for t in b.column(1).slice(i, 256).to_pylist()]
+                for doc_id, ids in zip(doc_ids, encode(texts), strict=True):
                     if writer is None:
                         out = fs.open_output_stream(f"{base}/{name}")
                         writer = Writer(out, layout, planes, block)
-                    writer.add(doc_id, np.append(np.array(e.ids, np.uint32), np.uint32(END_ID)))
+                    writer.add(doc_id, np.append(ids, np.uint32(END_ID)))
         if writer is not None:
             writer.close()
             out.close()
