@@ -25,7 +25,9 @@ they exist); a repeated row is encoded again.
 
 from __future__ import annotations
 
+import array
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from pagelore.llm._common import mix, table
 
 SPACE = "▁"
-#: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 200_000
+#: Distinct words whose ids a worker process remembers for its tasks; beyond it the memory starts anew.
+CACHE_WORDS = 400_000
 #: Words of one length that advance together.
 ROWS = 4096
 
@@ -104,6 +106,7 @@ class Model:
         # a cut before a space mark is safe if no piece has one after something else
         self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in known) else re.compile(r"(?s).+")
         self.lowest = self.scores[known].min() - 10
+        self.cache: dict[str, bytes] = {}
 
     @staticmethod
     def _key(poly: np.ndarray, length: int) -> np.ndarray:
@@ -287,16 +290,17 @@ class Model:
             self._table = {self.pieces[i]: int(i) for i in self.ids.tolist()}
         return self._table
 
-    def encode(self, texts: list[str], cache: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
-        """Ids of each text; ``cache`` keeps the words of earlier batches."""
+    def encode(self, texts: list[str], cache: dict[str, bytes]) -> Iterator[np.ndarray]:
+        """Ids of each text; ``cache`` keeps the words of earlier batches, their ids as bytes."""
         cut = [self.cut.findall(self.normal(t)) for t in texts]
-        new = {w for words in cut for w in words if w not in cache}
+        every = set(itertools.chain.from_iterable(cut))
+        new = every.difference(cache)
         if len(cache) + len(new) > CACHE_WORDS:
             cache.clear()
-            new = {w for words in cut for w in words}
-        cache.update((w, np.array(ids, np.int32)) for w, ids in self.encode_words(list(new)).items())
+            new = every
+        cache.update((w, array.array("i", ids).tobytes()) for w, ids in self.encode_words(list(new)).items())
         for words in cut:
-            yield np.concatenate([cache[w] for w in words]) if words else np.zeros(0, np.int32)
+            yield np.frombuffer(b"".join([cache[w] for w in words]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         out = self.out
@@ -333,11 +337,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     schema = docs.select(*kept).withColumn("ids", F.lit(None).cast("array<int>")).withColumn("n_tokens", F.lit(None).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = model(where), {}
+        m = model(where)
         for b in batches:
             names, start = b.schema.names, 0
             for texts in _batches(b.column(names.index("text"))):
-                ids = list(m.encode(texts, cache))
+                ids = list(m.encode(texts, m.cache))
                 n = [len(x) for x in ids]
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 part = b.slice(start, len(texts))
@@ -353,12 +357,12 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
     where = path or public_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = model(where), {}
+        m = model(where)
         odd = np.isin(m.kinds, (BYTE, UNKNOWN))
         for b in batches:
             rows = []
             for texts in _batches(b.column(1)):
-                for t, ids in zip(texts, m.encode(texts, cache), strict=True):
+                for t, ids in zip(texts, m.encode(texts, m.cache), strict=True):
                     back = m.decode(ids)
                     rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(odd[ids].sum()), hashlib.sha256(back.encode()).hexdigest(), back == t))
             cols = list(zip(*rows, strict=True)) or [()] * 5
