@@ -63,6 +63,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Survives lost executors, and later plans read only the columns they need. Then the
     driver collects its garbage, so that executors drop shuffle files of earlier steps."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     gc.collect()
@@ -70,7 +71,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: documents are large, and a batch is held by Spark and by Python.
+BATCH_ROWS, _BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS where they are at Spark's default."""
+    if spark.conf.get(_BATCH_KEY) == "10000":
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

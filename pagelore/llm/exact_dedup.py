@@ -70,9 +70,19 @@ def _shards(rows: int, bits_per_row: int, max_filter_bytes: int) -> int:
 
 def _partly(shards: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(held: list[np.ndarray]) -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_pydict({"shard": pa.array((h >> np.uint64(40)).astype(np.int64) % shards, pa.int32()), "h": h.view(np.int64), "again": n >= least})
+
+        held, rows = [], 0
         for b in batches:
-            h, n = np.unique(np.asarray(b.column(0)).view(np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array((h >> np.uint64(40)).astype(np.int64) % shards, pa.int32()), "h": h.view(np.int64), "again": n >= least})
+            held.append(np.asarray(b.column(0)).view(np.uint64).copy())
+            rows += b.num_rows
+            if rows >= 1 << 18:  # a hash that repeats in a task leaves it once in so many rows
+                yield out(held)
+                held, rows = [], 0
+        if rows:
+            yield out(held)
 
     return run
 

@@ -101,7 +101,7 @@ def channels(text: str, grammar: Grammar, seen: dict[str, tuple[int, float] | No
         try:
             hit = seen[token]
         except KeyError:
-            if len(seen) > 300_000:  # bounded memory, whatever the vocabulary
+            if len(seen) > 100_000:  # bounded memory, whatever the vocabulary
                 seen.clear()
             hit = seen[token] = (-1, 0.0) if _STOP.match(token) else grammar.symbol(token)
         if hit is None:
