@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelore.llm._common import Words, components, drop_scratch, materialize, mix, shingle_hashes, signed, slices, table
+from pagelore.llm._common import Words, components, drop_scratch, materialize, mix, odd_sketch, shingle_hashes, signed, slices, table
 from pagelore.llm._links import link_lists
 from pagelore.llm.exact_dedup import member_filter
 
@@ -91,10 +91,10 @@ def _signed_list(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, text) to k with its windows (places, hashes) and paragraphs (begin, end, set hash, bands)."""
+    """Rows (k, text) to k with its windows (places, hashes) and paragraphs (begin, end, set hash, bands, number of shingles, sketch)."""
     for b in batches:
-        cols: list[list] = [[] for _ in range(7)]
-        for _, data, offsets in slices(b.column(1), 1 << 20):
+        for row, data, offsets in slices(b.column(1)):  # small batches out, for bounded memory
+            cols: list[list] = [[] for _ in range(8)]
             w = Words(data, offsets, lower=True)
             h, first = w.hash, w.first
             at = anchors(h, first)
@@ -109,7 +109,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bands = np.zeros((len(lo), BANDS), np.uint64)
                 for r in range(ROWS):
                     bands = mix(bands * np.uint64(31) + mins[:, r::ROWS][:, :BANDS] + np.arange(BANDS, dtype=np.uint64))
-                sets = np.array([mix(np.unique(g[a : z - SHINGLE + 1]) + _SALT).sum(dtype=np.uint64) for a, z in zip(lo.tolist(), hi.tolist(), strict=True)], np.uint64)
+                shingles = [np.unique(g[a : z - SHINGLE + 1]) for a, z in zip(lo.tolist(), hi.tolist(), strict=True)]
+                sets = np.array([mix(x + _SALT).sum(dtype=np.uint64) for x in shingles], np.uint64)
+                sizes = np.array([len(x) for x in shingles], np.int32)
+                sketches = np.array([odd_sketch(x) for x in shingles])
             cut = np.searchsorted(at, first)
             cut_p = np.searchsorted(text, np.arange(len(first)))
             for i in range(len(first) - 1):
@@ -121,8 +124,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cols[3].append((hi[a:z] - first[i]).astype(np.int32))
                 cols[4].append(signed(sets[a:z]) if z > a else np.zeros(0, np.int64))
                 cols[5].append(signed(bands[a:z].ravel()) if z > a else np.zeros(0, np.int64))
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), *(_signed_list(c, k) for c, k in zip(cols, kinds, strict=False))], names=["k", "at", "gram", "lo", "hi", "sets", "bands"])
+                cols[6].append(sizes[a:z] if z > a else np.zeros(0, np.int32))
+                cols[7].append(sketches[a:z].ravel() if z > a else np.zeros(0, np.int64))
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(offsets) - 1), *(_signed_list(c, k) for c, k in zip(cols, kinds, strict=False))], names=["k", "at", "gram", "lo", "hi", "sets", "bands", "sizes", "sketches"])
 
 
 def _paragraph_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +187,11 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def paragraph_links(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(paragraphs: node, k, lo, hi, class; links between classes)."""
-    p = scan.select("k", F.posexplode(F.arrays_zip("lo", "hi", "sets")).alias("i", "p"), "bands").select("k", "p.lo", "p.hi", F.col("p.sets").alias("set"), F.expr(f"slice(bands, i * {BANDS} + 1, {BANDS})").alias("bands"))
+    p = scan.select("k", F.posexplode(F.arrays_zip("lo", "hi", "sets", "sizes")).alias("i", "p"), "bands", "sketches").select("k", "p.lo", "p.hi", F.col("p.sets").alias("set"), F.col("p.sizes").alias("n"), *(F.expr(f"sketches[4 * i + {j}]").alias(f"q{j}") for j in range(4)), F.expr(f"slice(bands, i * {BANDS} + 1, {BANDS})").alias("bands"))
     p = materialize(p.withColumn("node", F.xxhash64("k", "lo", F.lit("p"))), "paragraphs")
     classes = materialize(p.groupBy("set").agg(F.min("node").alias("class")), "paragraph-classes")
     heads = p.join(classes.select("class"), F.col("node") == F.col("class"), "left_semi")
-    entries = heads.select(F.col("node").alias("class"), (F.col("hi") - F.col("lo")).alias("n"), F.posexplode("bands").alias("band", "value")).select("class", "n", F.xxhash64("band", "value").alias("sig"))
+    entries = heads.select(F.col("node").alias("class"), "n", F.posexplode("bands").alias("band", "value")).select("class", "n", F.xxhash64("band", "value").alias("sig"))
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialize(pairs, f"{name}-pairs")
@@ -199,8 +204,8 @@ def paragraph_links(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFr
         drop_scratch(pairs, texts)
         return links
 
-    # 5-word shingles of n words: n - 4; repeated shingles make sets smaller, so the size test is left to the exact one
-    links = link_lists(entries, verify, lambda n, m: F.lit(True), "paragraph")
+    sketches = heads.select(F.col("node").alias("class"), "q0", "q1", "q2", "q3")
+    links = link_lists(entries, verify, lambda n, m: (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n)), "paragraph", sketches, 9)
     return p.join(classes, "set").select("node", "k", "lo", "hi", "class"), links
 
 
@@ -234,7 +239,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
     named = docs.select("k", "doc_id")
     texts = docs.select("k", "text")
-    scan = materialize(texts.mapInArrow(_scan, "k long, at array<int>, gram array<long>, lo array<int>, hi array<int>, sets array<long>, bands array<long>"), "scan")
+    scan = materialize(texts.mapInArrow(_scan, "k long, at array<int>, gram array<long>, lo array<int>, hi array<int>, sets array<long>, bands array<long>, sizes array<int>, sketches array<long>"), "scan")
 
     par, par_links = paragraph_links(scan, texts)
     par_comp = components(par_links, "paragraph-components")
