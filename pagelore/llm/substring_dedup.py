@@ -1,9 +1,11 @@
 """Substring dedup: paragraph MinHash banding, with passages inside paragraphs.
 
-Paragraphs are lines of at least ``MIN_WORDS`` words. Their 5-word shingles get MinHash
+Paragraphs are lines of at least ``SHINGLE`` words in the query; :func:`repeats` takes the
+least number as ``paragraph_words``. Their 5-word shingles get MinHash
 signatures in bands of ``ROWS`` rows, as many as find a pair of Jaccard similarity 0.8
 with probability ``RECALL`` (:func:`tuned_bands`). Paragraphs that collide in a band are
-joined, verified by exact Jaccard similarity (>= 0.8), and clustered by components.
+joined, verified by exact Jaccard similarity (>= 0.8), and clustered by components. Sets
+of up to ``ALIKE`` shingles are as similar only to equal sets, and need no bands.
 
 A passage may also repeat inside paragraphs that are otherwise different. Words at
 content-defined places (local minima of a word-pair hash) start windows of ``WINDOW``
@@ -16,7 +18,8 @@ the shortest passages). Passages that share a window are one component.
 Of every component the occurrence with the smallest doc_id (then place) is kept, the
 others are removals.
 
-Defined cases: null and empty texts have no paragraphs; repetition within one document
+Defined cases: null and empty texts have no paragraphs, and lines of fewer words than a
+shingle have none either; repetition within one document
 isn't one across documents, and rows equal in doc_id and text are one document; a null
 doc_id ranks last when one is kept; other columns are ignored; whole texts are read.
 """
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelore.llm._common import Words, components, drop_scratch, materialize, mix, odd_sketch, shingle_hashes, signed, slices, table
+from pagelore.llm._common import Words, components, drop_scratch, materialize, mix, shingle_hashes, signed, slices, table
 from pagelore.llm._links import link_lists
 from pagelore.llm.exact_dedup import member_filter
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Words that a paragraph has at least, and that a passage has more of.
+#: Words that a passage has more of, and a paragraph at least unless told otherwise.
 MIN_WORDS = 50
+#: A set of so many shingles has Jaccard similarity 0.8 to no other set.
+ALIKE = 3
 ROWS, RECALL = 4, 0.9995
 #: Words of a window; words to either side over which its start is a local minimum.
 WINDOW, RADIUS = 12, 4
@@ -72,8 +78,8 @@ def anchors(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return at[ok]
 
 
-def _paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first word, end word) of every line of at least MIN_WORDS words."""
+def _paragraphs(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first word, end word) of every line of at least ``least`` words."""
     if not len(w.start):
         z = np.zeros(0, np.int64)
         return z, z, z
@@ -81,16 +87,34 @@ def _paragraphs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     text = np.searchsorted(w.first, np.arange(len(w.start)), "right") - 1
     edge = np.flatnonzero((np.diff(line, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
     stop = np.append(edge[1:], len(line))
-    keep = stop - edge >= MIN_WORDS
+    keep = stop - edge >= least
     return text[edge[keep]], edge[keep], stop[keep]
 
 
+def _shingle_sets(g: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct shingles of all paragraphs lo .. hi, where each paragraph's begin)."""
+    n = hi - lo - SHINGLE + 1
+    par = np.repeat(np.arange(len(lo)), n)
+    v = g[np.arange(len(par)) + np.repeat(lo - np.cumsum(n) + n, n)]
+    v = v[np.lexsort((v, par))]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (par[1:] != par[:-1])
+    return v[new], np.flatnonzero(np.diff(par[new], prepend=-1))
+
+
+def _odd_sketches(v: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """The odd sketch of each paragraph, as four integers: bit i is the parity of the
+    shingles that end in i."""
+    bit, word = np.uint64(1) << (v & np.uint64(63)), v >> np.uint64(6) & np.uint64(3)
+    return signed(np.stack([np.bitwise_xor.reduceat(np.where(word == np.uint64(j), bit, np.uint64(0)), edge) for j in range(4)], 1))
+
+
 def _signed_list(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], kind))
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Rows (k, text) to k with its windows (places, hashes) and paragraphs (begin, end, set hash, bands, number of shingles, sketch)."""
     for b in batches:
         for row, data, offsets in slices(b.column(1)):  # small batches out, for bounded memory
@@ -99,20 +123,16 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, first = w.hash, w.first
             at = anchors(h, first)
             grams = signed(shingle_hashes(h, WINDOW))[at] if len(at) else np.zeros(0, np.int64)
-            text, lo, hi = _paragraphs(w)
+            text, lo, hi = _paragraphs(w, least)
             if len(lo):
-                g = shingle_hashes(h, SHINGLE)
-                bounds = np.stack([lo, hi - SHINGLE + 1], 1).ravel()
-                if bounds[-1] >= len(g):
-                    bounds = bounds[:-1]
-                mins = np.stack([np.minimum.reduceat(g * s, bounds)[::2] for s in _SEEDS], 1)
+                v, edge = _shingle_sets(shingle_hashes(h, SHINGLE), lo, hi)
+                mins = np.stack([np.minimum.reduceat(v * s, edge) for s in _SEEDS], 1)
                 bands = np.zeros((len(lo), BANDS), np.uint64)
                 for r in range(ROWS):
                     bands = mix(bands * np.uint64(31) + mins[:, r::ROWS][:, :BANDS] + np.arange(BANDS, dtype=np.uint64))
-                shingles = [np.unique(g[a : z - SHINGLE + 1]) for a, z in zip(lo.tolist(), hi.tolist(), strict=True)]
-                sets = np.array([mix(x + _SALT).sum(dtype=np.uint64) for x in shingles], np.uint64)
-                sizes = np.array([len(x) for x in shingles], np.int32)
-                sketches = np.array([odd_sketch(x) for x in shingles])
+                sets = np.add.reduceat(mix(v + _SALT), edge)
+                sizes = np.diff(np.append(edge, len(v))).astype(np.int32)
+                sketches = _odd_sketches(v, edge)
             cut = np.searchsorted(at, first)
             cut_p = np.searchsorted(text, np.arange(len(first)))
             for i in range(len(first) - 1):
@@ -186,12 +206,16 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def paragraph_links(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(paragraphs: node, k, lo, hi, class; links between classes)."""
-    p = scan.select("k", F.posexplode(F.arrays_zip("lo", "hi", "sets", "sizes")).alias("i", "p"), "bands", "sketches").select("k", "p.lo", "p.hi", F.col("p.sets").alias("set"), F.col("p.sizes").alias("n"), *(F.expr(f"sketches[4 * i + {j}]").alias(f"q{j}") for j in range(4)), F.expr(f"slice(bands, i * {BANDS} + 1, {BANDS})").alias("bands"))
+    """(paragraphs: node, k, lo, hi, class; links between classes). Deletes ``scan``."""
+    p = scan.select("k", F.explode(F.arrays_zip("lo", "hi", "sets", "sizes")).alias("p")).select("k", "p.lo", "p.hi", F.col("p.sets").alias("set"), F.col("p.sizes").alias("n"))
     p = materialize(p.withColumn("node", F.xxhash64("k", "lo", F.lit("p"))), "paragraphs")
     classes = materialize(p.groupBy("set").agg(F.min("node").alias("class")), "paragraph-classes")
-    heads = p.join(classes.select("class"), F.col("node") == F.col("class"), "left_semi")
-    entries = heads.select(F.col("node").alias("class"), "n", F.posexplode("bands").alias("band", "value")).select("class", "n", F.xxhash64("band", "value").alias("sig"))
+    # bands and sketches are kept for one paragraph of each class only, and the scan goes before the bands meet
+    heads = scan.select("k", F.posexplode(F.arrays_zip("lo", "sizes")).alias("i", "p"), "bands", "sketches")
+    heads = heads.select(F.xxhash64("k", "p.lo", F.lit("p")).alias("class"), F.col("p.sizes").alias("n"), *(F.expr(f"sketches[4 * i + {j}]").alias(f"q{j}") for j in range(4)), F.expr(f"slice(bands, i * {BANDS} + 1, {BANDS})").alias("bands"))
+    heads = materialize(heads.join(classes.select("class"), "class", "left_semi").dropDuplicates(["class"]), "paragraph-heads")
+    drop_scratch(scan)
+    entries = heads.where(F.col("n") > ALIKE).select("class", "n", F.posexplode("bands").alias("band", "value")).select("class", "n", F.xxhash64("band", "value").alias("sig"))
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialize(pairs, f"{name}-pairs")
@@ -204,7 +228,7 @@ def paragraph_links(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFr
         drop_scratch(pairs, texts)
         return links
 
-    sketches = heads.select(F.col("node").alias("class"), "q0", "q1", "q2", "q3")
+    sketches = heads.select("class", "q0", "q1", "q2", "q3")
     links = link_lists(entries, verify, lambda n, m: (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n)), "paragraph", sketches, 9)
     return p.join(classes, "set").select("node", "k", "lo", "hi", "class"), links
 
@@ -233,20 +257,22 @@ def passages(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.select("node", "k", "lo", "hi"), materialize(links, "passage-links")
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """One row per occurrence of a repeated paragraph or passage: doc_id, kind, begin and end
-    (word numbers), component, keep_doc_id, removed."""
+def repeats(docs: DataFrame, paragraph_words: int = MIN_WORDS) -> DataFrame:
+    """One row per occurrence of a repeated paragraph (of at least ``paragraph_words`` words)
+    or passage: doc_id, kind, begin and end (word numbers), component, keep_doc_id, removed."""
+    if paragraph_words < SHINGLE:
+        raise ValueError(f"a paragraph has at least {SHINGLE} words")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
     named = docs.select("k", "doc_id")
     texts = docs.select("k", "text")
-    scan = materialize(texts.mapInArrow(_scan, "k long, at array<int>, gram array<long>, lo array<int>, hi array<int>, sets array<long>, bands array<long>, sizes array<int>, sketches array<long>"), "scan")
+    scan = materialize(texts.mapInArrow(partial(_scan, least=paragraph_words), "k long, at array<int>, gram array<long>, lo array<int>, hi array<int>, sets array<long>, bands array<long>, sizes array<int>, sketches array<long>"), "scan")
 
-    par, par_links = paragraph_links(scan, texts)
-    par_comp = components(par_links, "paragraph-components")
-    par = par.join(par_comp, F.col("class") == F.col("id"), "left").select(F.lit("paragraph").alias("kind"), "k", "lo", "hi", F.coalesce("component", "class").alias("component"))
     seg, seg_links = passages(scan, texts)
     seg_comp = components(seg_links, "passage-components")
     seg = seg.join(seg_comp, F.col("node") == F.col("id"), "left").select(F.lit("passage").alias("kind"), "k", "lo", "hi", F.coalesce("component", "node").alias("component"))
+    par, par_links = paragraph_links(scan, texts)
+    par_comp = components(par_links, "paragraph-components")
+    par = par.join(par_comp, F.col("class") == F.col("id"), "left").select(F.lit("paragraph").alias("kind"), "k", "lo", "hi", F.coalesce("component", "class").alias("component"))
 
     members = materialize(par.union(seg).join(named.distinct(), "k"), "members")
     low = members.groupBy("kind", "component").agg(F.min("k").alias("a"), F.max("k").alias("z"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "lo")).alias("best")).where("a < z")
@@ -255,4 +281,4 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents"), SHINGLE)

@@ -200,3 +200,23 @@ def test_repeats(docs, corpus, empty):
     for rows in by.values():
         assert len(rows) > 1 and sum(not r.removed for r in rows) == 1 and len({r.keep_doc_id for r in rows}) == 1
     assert substring_dedup.repeats(empty).count() == 0
+
+
+def test_short_paragraphs(spark, tmp_path):
+    """The query bands lines from five words up: equal ones, and near ones of a similarity of 0.8."""
+    r = random.Random(11)
+    rows, lines = [], []
+    for n in [4, 5, 6, 7, 8, 9, 12, 20, 30, 45, 49]:
+        base = words(r, n, 10**6)
+        for edit in (None, None, 0, n // 2):
+            w = list(base)
+            if edit is not None:
+                w[edit] = f"edited{len(rows)}"
+            lines.append(w)
+            rows.append((len(rows), "\n".join(" ".join(x) for x in (words(r, 7, 10**6), w, words(r, 3, 10**6)))))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in lines]
+    want = {i for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a and 5 * len(a & b) >= 4 * len(a | b)}
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = substring_dedup.op7_substring_dedup(spark, str(tmp_path)).collect()
+    assert {x.doc_id for x in got} == want and len(want) > 24
+    assert all(x.kind == "paragraph" and x.begin == 7 and x.end == 7 + len(lines[x.doc_id]) for x in got)
