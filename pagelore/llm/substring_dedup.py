@@ -8,12 +8,13 @@ joined, verified by exact Jaccard similarity (>= 0.8), and clustered by componen
 of up to ``ALIKE`` shingles are as similar only to equal sets, and need no bands.
 
 A passage may also repeat inside paragraphs that are otherwise different. Words at
-content-defined places (local minima of a word-pair hash) start windows of ``WINDOW``
+content-defined places (local minima of a word-pair hash, and the minimum of the places
+in every ``MIN_WORDS + 1`` words) start windows of ``WINDOW``
 words; a stretch whose windows all stand in another document too is a passage. Short
 stretches are verified: some ``MIN_WORDS + 1`` consecutive words must stand in another
-document exactly. So every exact repetition of more than ``MIN_WORDS`` words is found,
-wherever its borders lie, unless no two places fall into it (about one in a thousand of
-the shortest passages). Passages that share a window are one component.
+document exactly. One window is enough for a stretch, and every ``MIN_WORDS + 1`` words
+have one that depends on them alone, so every exact repetition of more than ``MIN_WORDS``
+words is found, wherever its borders lie. Passages that share a window are one component.
 
 Of every component the occurrence with the smallest doc_id (then place) is kept, the
 others are removals.
@@ -49,7 +50,7 @@ ROWS, RECALL = 4, 0.9995
 #: Words of a window; words to either side over which its start is a local minimum.
 WINDOW, RADIUS = 12, 4
 #: Words that a stretch of windows must cover to be looked at.
-LEAST_COVER = 24
+LEAST_COVER = WINDOW
 
 
 def tuned_bands(rows: int = ROWS, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
@@ -75,7 +76,30 @@ def anchors(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     # the whole window and the radius lie in one text
     text = np.searchsorted(first, at, "right") - 1
     ok = (at - RADIUS >= first[text]) & (at + max(WINDOW, RADIUS + 2) <= first[text + 1])
-    return at[ok]
+    return np.union1d(at[ok], _least(pair, first))
+
+
+def _least(pair: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The least places (all of equal ones) of every MIN_WORDS + 1 words of a text, among those whose window these words hold."""
+    places, words = MIN_WORDS + 2 - WINDOW, MIN_WORDS + 1
+    n = len(pair) - places + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    low = _sliding(np.minimum, pair, places)
+    text = np.searchsorted(first, np.arange(n), "right") - 1
+    low[np.arange(n) + words > first[text + 1]] = 0  # no such words in one text
+    edge = np.zeros(places - 1, np.uint64)
+    return np.flatnonzero((_sliding(np.maximum, np.concatenate([edge, low, edge]), places) == pair) & (pair > 0))
+
+
+def _sliding(best: np.ufunc, x: np.ndarray, k: int) -> np.ndarray:
+    """``best`` of every k consecutive values, by doubling."""
+    have, out = 1, x
+    while have < k:
+        step = min(have, k - have)
+        out = best(out[:-step], out[step:])
+        have += step
+    return out
 
 
 def _paragraphs(w: Words, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

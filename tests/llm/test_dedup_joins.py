@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from oracle import same
 from pagelore.llm import decontaminate, exact_dedup, ngram_join, substring_dedup
+from pagelore.llm._common import mix
 
 WS = re.compile("[\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, __n string, n string"
@@ -220,3 +222,32 @@ def test_short_paragraphs(spark, tmp_path):
     got = substring_dedup.op7_substring_dedup(spark, str(tmp_path)).collect()
     assert {x.doc_id for x in got} == want and len(want) > 24
     assert all(x.kind == "paragraph" and x.begin == 7 and x.end == 7 + len(lines[x.doc_id]) for x in got)
+
+
+def test_every_shortest_passage(spark):
+    """51 equal words are found whatever the words, and 50 aren't."""
+    r = np.random.default_rng(2)
+    size = substring_dedup.MIN_WORDS + 1
+    for _ in range(3000):
+        own = mix(r.integers(0, 1 << 62, size).astype(np.uint64))
+        if r.random() < 0.1:
+            own = np.tile(own[: r.integers(1, 9)], size)[:size]
+        two = [np.concatenate([mix(r.integers(0, 1 << 62, r.integers(0, 30)).astype(np.uint64)), own, mix(r.integers(0, 1 << 62, r.integers(0, 30)).astype(np.uint64))]) for _ in range(2)]
+        found = []
+        for h in two:
+            a = next(i for i in range(len(h)) if (h[i : i + size] == own).all())
+            found.append({x - a for x in substring_dedup.anchors(h, np.array([0, len(h)])).tolist() if a <= x and x + substring_dedup.WINDOW <= a + size})
+        assert found[0] & found[1]
+
+    # passages with a single place, or with places close together: a stretch of one window
+    few, rows = random.Random(4), []
+    while len(rows) < 40:
+        passage = words(few, size, 10**6)
+        two = [words(few, 20, 10**6) + passage + words(few, 20, 10**6) for _ in range(2)]
+        at = [np.array([x - 20 for x in substring_dedup.anchors(substring_dedup.Words(np.frombuffer(" ".join(w).encode(), np.uint8), np.array([0, len(" ".join(w))])).hash, np.array([0, len(w)])).tolist() if 20 <= x <= 20 + size - substring_dedup.WINDOW]) for w in two]
+        both = np.intersect1d(*at)
+        if both[-1] - both[0] < 12:
+            rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate(two)]
+    rows += [(1000 + i, " ".join(words(few, 20, 10**6) + passage[:50] + words(few, 20, 10**6))) for i in range(1)]
+    got = {(x.doc_id, x.begin, x.end) for x in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.kind == "passage"}
+    assert got == {(i, 20, 20 + size) for i in range(40)}
