@@ -187,6 +187,21 @@ def test_pages_without_container(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_large_host_keeps_phrases(spark):
+    """Phrases that a few pages of a large host share stay; blocks on many of its pages go, however little else there is."""
+    menu, notice = "<div>Home News About Contact Imprint Search</div>", "<div>This site stores small files on your device</div>"
+    rows = []
+    for i in range(120):
+        own = [f"w{i}x{j}" for j in range(12)]
+        text = " ".join([*own[:6], f"phrase{i % 60} of just six words here", *own[6:]])
+        rows.append((i, "https://large.example/", f"<body>{menu}{notice}<p>{text}</p></body>"))
+    rows += [(500 + i, "https://large.example/", f"<body>{menu}{notice}<p>short{i} text</p></body>") for i in range(3)]
+    want = {i: page.split("<p>")[1].split("</p>")[0] for i, _, page in rows}
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for part_tokens in (10**6, 300):
+        assert {r.page_id: r.text for r in html_extract.extract(pages, part_tokens).collect()} == want
+
+
 def test_articles(spark, sf_dir):
     import html as h
     import re
