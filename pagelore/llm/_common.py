@@ -7,18 +7,22 @@ so a batch of documents is tokenised and hashed without one Python object per wo
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles; bounds the temporaries of a Python worker.
 SLICE_BYTES = 1 << 19
+#: Bytes whose words are hashed at once.
+HASH_BYTES = 1 << 17
 
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,10 +34,12 @@ _LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a
-    temporary one where it is unset (single-machine tests only)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is
+    unset a local session gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="pagelore-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -86,6 +92,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(columns: Iterable[str]) -> list[Column]:
+    """Columns by their literal names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``docs`` has it (names clash whatever their case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+# ------------------------------------------------------------------ a worker's memory
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker process outlives its task, and what one
+    task freed its executor may need for another."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to ask for
+
+
+class WordMemory:
+    """Results of words, as bytes, in at most about ``most`` bytes.
+
+    Two generations: what is used moves to the younger one, and when that holds half of
+    the bound it becomes the older one, whose unused words go."""
+
+    def __init__(self, most: int = 64 << 20):
+        self.half, self.size = most // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, words: set[str]) -> list[str]:
+        """Those of ``words`` that aren't known; the others are in ``young`` until the next call."""
+        if self.size > self.half:
+            self.young, self.old, self.size = {}, self.young, 0
+        new = words.difference(self.young)
+        known = [w for w in new if w in self.old]
+        self.put(known, [self.old[w] for w in known])
+        return list(new.difference(known))
+
+    def put(self, words: list[str], results: list[bytes]) -> None:
+        self.young.update(zip(words, results, strict=True))
+        self.size += 200 * len(words) + 2 * sum(map(len, words)) + sum(map(len, results))
+
+
 # ------------------------------------------------------------------ words
 
 
@@ -108,7 +166,7 @@ _powers: list[np.ndarray] = []
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
-        m = max(n, SLICE_BYTES + 1)
+        m = max(n, HASH_BYTES + 1)
         tables = []
         for base in (_P, _PINV):
             t = np.full(m, base, np.uint64)
@@ -145,12 +203,19 @@ class Words:
         self.hash = self._hash() if hashes else None
 
     def _hash(self) -> np.ndarray:
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        pw, inv = _power_tables(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[self.data] * pw[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * inv[self.start] + (self.end - self.start).astype(np.uint64))
+        out = np.zeros(len(self.start), np.uint64)
+        i = 0
+        while i < len(out):  # whole words of about HASH_BYTES at a time (or one longer word)
+            at = self.start[i]
+            j = max(i + 1, int(np.searchsorted(self.end, at + HASH_BYTES, "right")))
+            part = self.data[at : self.end[j - 1]]
+            pw, inv = _power_tables(len(part) + 1)
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(_BYTE_VALUE[part] * pw[: len(part)], out=total[1:])
+            start, end = self.start[i:j] - at, self.end[i:j] - at
+            out[i:j] = mix((total[end] - total[start]) * inv[start] + (end - start).astype(np.uint64))
+            i = j
+        return out
 
 
 def slices(texts: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -188,10 +253,11 @@ def shingle_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out + np.uint64(k))
 
 
-def odd_sketch(s: np.ndarray) -> np.ndarray:
-    """256 bits of a set of hashes, as four 64-bit integers: bit i is the parity of the
+def odd_sketch(s: np.ndarray, words: int = 4) -> np.ndarray:
+    """A set of hashes as ``words`` (a power of two) 64-bit integers: bit i is the parity of the
     hashes that end in i. Two sketches never differ in more bits than their sets in elements."""
-    parity = (np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)
+    bits = 64 * words
+    parity = (np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(parity).view(np.int64)
 
 

@@ -1,9 +1,12 @@
 """Links among the members of many lists, without making all pairs of a list.
 
 Members of a list are compared with one representative, then (among what isn't yet in
-one component) with another, and only members of still different components are compared
-in full. Whatever pairs of a list are never compared are in one component already, so the
-components of the links are those of all pairs.
+one component) with another. Of the members that are still in different components, a
+pair is compared in full only if it can link: the distances of both to each
+representative (known exactly, in elements) differ by no more than two linked sets do, and
+so do their odd sketches. Both tests stand in the join, and neither loses a link. Whatever
+else is never compared is in one component already, so the components of the links are
+those of all pairs.
 """
 
 from __future__ import annotations
@@ -33,42 +36,53 @@ def open_lists(live: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return materialize(with_comp.join(mixed, "sig"), name)
 
 
-def _differ(x: DataFrame, y: DataFrame) -> Column:
-    """In how many bits two odd sketches differ."""
-    return sum((F.bit_count(x[f"x{i}"].bitwiseXOR(y[f"y{i}"])) for i in range(4)), F.lit(0))
+def _differ(x: DataFrame, y: DataFrame, words: int) -> Column:
+    """In how many bits two odd sketches of so many integers differ."""
+    return sum((F.bit_count(x[f"x{i}"].bitwiseXOR(y[f"y{i}"])) for i in range(words)), F.lit(0))
 
 
 def link_lists(entries: DataFrame, verify: Verify, fits: Fits, name: str, sketches: DataFrame, spread: int) -> DataFrame:
     """Links (a, b) whose components are those of all linked pairs that share a list.
 
-    ``sketches``: class, q0 .. q3, the odd sketch of its set. Sets that link differ in at
-    most (n + m) / ``spread`` elements, so pairs whose sketches differ in more bits are
-    left out of the full comparison without loss.
+    ``sketches``: class, q0, q1, ..., the odd sketch of its set. Sets that link differ in at
+    most (n + m) / ``spread`` elements.
     ``entries``: class, n (a size), sig (a list). ``fits(n, m)``: can these sizes link?
-    ``verify(pairs, name)``: those of the pairs (a, b) that do link."""
+    ``verify(pairs, name)``: the pairs (a, b) with their ``distance`` (elements in just one
+    of the two sets) and whether they link (``linked``)."""
     live = shared_lists(entries, name)
     # the smallest class heads each of its lists, so that near copies of one text share few heads
     heads = live.groupBy("sig").agg(F.min(F.struct("class", "n")).alias("h")).select("sig", F.col("h.class").alias("f"), F.col("h.n").alias("fn"))
     heads = materialize(heads, f"{name}-heads")
     star = live.join(heads, "sig").where((F.col("class") != F.col("f")) & fits("fn", "n"))
-    links = verify(star.select(F.col("f").alias("a"), F.col("class").alias("b")).distinct(), f"{name}-star")
+    first = verify(star.select(F.col("f").alias("a"), F.col("class").alias("b")).distinct(), f"{name}-star")
+    links = first.where("linked").select("a", "b")
 
     rest = open_lists(live, links, f"{name}-open")
     if rest.isEmpty():
         return links
     order = F.xxhash64("comp")
-    heads = rest.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "class", "n", "comp")).alias("h")).select("sig", F.col("h.class").alias("f"), F.col("h.n").alias("fn"), F.col("h.comp").alias("fc"))
-    heads = materialize(heads, f"{name}-heads2")
-    star = rest.join(heads, "sig").where((F.col("comp") != F.col("fc")) & fits("fn", "n"))
-    links = links.union(verify(star.select(F.least("class", "f").alias("a"), F.greatest("class", "f").alias("b")).distinct(), f"{name}-again"))
+    again = rest.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "class", "n", "comp")).alias("h")).select("sig", F.col("h.class").alias("g"), F.col("h.n").alias("gn"), F.col("h.comp").alias("gc"))
+    again = materialize(again, f"{name}-heads2")
+    star = rest.join(again, "sig").where((F.col("comp") != F.col("gc")) & fits("gn", "n"))
+    second = verify(star.select(F.col("g").alias("a"), F.col("class").alias("b")).distinct(), f"{name}-again")
+    links = links.union(second.where("linked").select("a", "b"))
 
     rest = open_lists(rest.select("sig", "class", "n"), links, f"{name}-rest")
     if rest.isEmpty():
         return links
-    q = lambda side: [F.col(f"q{i}").alias(f"{side}{i}") for i in range(4)]
-    rest = materialize(rest.join(sketches, "class"), f"{name}-sketched")
-    x = rest.select("sig", F.col("class").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"), *q("x"))
-    y = rest.select("sig", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), *q("y"))
-    near = spread * _differ(x, y) <= F.col("na") + F.col("nb")
-    pairs = x.join(y, (x.sig == y.sig) & (x.a < y.b) & (x.ca != y.cb) & fits("na", "nb") & near).select("a", "b").distinct()
-    return links.union(verify(pairs, f"{name}-full"))
+    # every entry with its distances to the two heads of its list (null where they were not compared)
+    rest = rest.join(heads.select("sig", "f"), "sig").join(again.select("sig", "g"), "sig")
+    rest = rest.join(first.select(F.col("a").alias("f"), F.col("b").alias("class"), F.col("distance").alias("df")), ["f", "class"], "left")
+    rest = rest.join(second.select(F.col("a").alias("g"), F.col("b").alias("class"), F.col("distance").alias("dg")), ["g", "class"], "left")
+    rest = rest.withColumn("df", F.when(F.col("class") == F.col("f"), 0).otherwise(F.col("df"))).withColumn("dg", F.when(F.col("class") == F.col("g"), 0).otherwise(F.col("dg")))
+    words = len(sketches.columns) - 1
+    rest = materialize(rest.select("sig", "class", "n", "comp", "df", "dg").join(sketches, "class"), f"{name}-sketched")
+    x = rest.select("sig", *(F.col(c).alias(f"{c}_x") for c in ("class", "n", "comp", "df", "dg")), *(F.col(f"q{i}").alias(f"x{i}") for i in range(words)))
+    y = rest.select("sig", *(F.col(c).alias(f"{c}_y") for c in ("class", "n", "comp", "df", "dg")), *(F.col(f"q{i}").alias(f"y{i}") for i in range(words)))
+    most = F.col("n_x") + F.col("n_y")
+    near = spread * _differ(x, y, words) <= most
+    for d in ("df", "dg"):
+        near = F.coalesce(spread * F.abs(F.col(f"{d}_x") - F.col(f"{d}_y")) <= most, F.lit(True)) & near
+    met = x.join(y, (x.sig == y.sig) & (x.class_x < y.class_y) & (x.comp_x != y.comp_y) & fits("n_x", "n_y") & near)
+    last = verify(met.select(F.col("class_x").alias("a"), F.col("class_y").alias("b")).distinct(), f"{name}-full")
+    return links.union(last.where("linked").select("a", "b"))

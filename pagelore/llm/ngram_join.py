@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm._common import Words, components, drop_scratch, materialize, mix, odd_sketch, shingle_hashes, signed, slices, table
+from pagelore.llm._common import Words, components, drop_scratch, give_back, materialize, mix, odd_sketch, shingle_hashes, signed, slices, table
 from pagelore.llm._links import link_lists
 from pagelore.llm.exact_dedup import member_filter
 
@@ -54,6 +54,9 @@ COMPARE_COST = 4.0
 COMPANY = 0.01
 #: Sizes that the histogram resolves; larger sets are never light.
 HISTOGRAM = 128
+#: 64-bit integers of a set's odd sketch.
+SKETCH = 16
+QS = [f"q{i}" for i in range(SKETCH)]
 
 SQL = r"""
 WITH RECURSIVE w AS (
@@ -192,15 +195,16 @@ def _signatures(light: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                     sizes.append(len(s))
                     keys.append(key)
                     sigs.append(sig)
-                    sketches.append(odd_sketch(s))
+                    sketches.append(odd_sketch(s, SKETCH))
                 keys = np.array(keys, np.int64).reshape(-1, 2)
-                q = np.array(sketches, np.int64).reshape(-1, 4)
+                q = np.array(sketches, np.int64).reshape(-1, SKETCH)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(sigs)), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, *(pa.array(q[:, i]) for i in range(4))],
-                    names=["doc_id", "n", "s1", "s2", "sig", "q0", "q1", "q2", "q3"],
+                    [b.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, *(pa.array(q[:, i]) for i in range(SKETCH))],
+                    names=["doc_id", "n", "s1", "s2", "sig", *QS],
                 )
+        give_back()
 
     return run
 
@@ -209,15 +213,16 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact comparison of rows (a, b, text of a, text of b); rows of one a follow each other."""
     last, mine = None, None
     for b in batches:
-        ok = np.zeros(b.num_rows, bool)
+        ok, apart = np.zeros(b.num_rows, bool), np.zeros(b.num_rows, np.int32)
         a_texts = b.column(2)
         for i, (a, other) in enumerate(zip(b.column(0).to_pylist(), shingle_sets(b.column(3)), strict=True)):
             if a != last:
                 last, mine = a, next(shingle_sets(a_texts.slice(i, 1)))
             both = len(np.intersect1d(mine, other, assume_unique=True))
             ok[i] = PER[0] * both >= PER[1] * (len(mine) + len(other) - both)
-        keep = pa.array(ok)
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
+            apart[i] = len(mine) + len(other) - 2 * both
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(apart), pa.array(ok)], names=["a", "b", "distance", "linked"])
+    give_back()
 
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +232,14 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.array([[(x := mix(s + salt)).sum(dtype=np.uint64), mix(x).sum(dtype=np.uint64)] for s in shingle_sets(b.column(3))], np.uint64).reshape(-1, 2).view(np.int64)
         keep = pa.array((keys[:, 0] == np.asarray(b.column(1))) & (keys[:, 1] == np.asarray(b.column(2))))
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(3).filter(keep)], names=["class", "text"])
+    give_back()
 
 
 # ------------------------------------------------------------------ join
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Those of ``pairs`` (a, b: class numbers) that link.
+    """``pairs`` (a, b: class numbers) with their distances and whether they link.
 
     The texts of the classes concerned meet by pair and their sets are made anew: text
     compresses in a shuffle, hashes don't."""
@@ -247,9 +253,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str)
     right = one.select(F.col("class").alias("b"), F.col("text").alias("tb"))
     left = one.select(F.col("class").alias("a"), F.col("text").alias("ta"))
     met = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    links = materialize(met.mapInArrow(_linked, "a long, b long"), f"{name}-links")
+    compared = materialize(met.mapInArrow(_linked, "a long, b long, distance int, linked boolean"), f"{name}-compared")
     drop_scratch(pairs, wanted, texts)
-    return links
+    return compared
 
 
 def _repeats(texts: DataFrame) -> bool:
@@ -267,14 +273,14 @@ def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     light = boundary(size_histogram(docs))
-    sig = docs.mapInArrow(_signatures(light), "doc_id long, n long, s1 long, s2 long, sig array<long>, q0 long, q1 long, q2 long, q3 long")
+    sig = docs.mapInArrow(_signatures(light), "doc_id long, n long, s1 long, s2 long, sig array<long>, " + ", ".join(f"{q} long" for q in QS))
     sig = materialize(sig.withColumn("row", F.monotonically_increasing_id()), "join-signatures")
 
     key = ["n", "s1", "s2"]
     classes = materialize(sig.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("m")).select(*key, F.col("m.row").alias("class"), F.col("m.doc_id").alias("doc")), "join-classes")
     heads = sig.join(classes.select("class"), F.col("row") == F.col("class"), "left_semi").withColumn("class", F.col("row"))
     entries = heads.select("class", F.col("n").cast("int"), F.explode("sig").alias("sig"))
-    sketches = heads.select("class", "q0", "q1", "q2", "q3")
+    sketches = heads.select("class", *QS)
     links = link_lists(entries, lambda pairs, name: _verified(pairs, classes, docs, name), _fits, "join", sketches, (PER[0] + PER[1]) // (PER[0] - PER[1]))
 
     comp = components(links, "join-components")

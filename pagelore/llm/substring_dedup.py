@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelore.llm._common import Words, components, drop_scratch, materialize, mix, shingle_hashes, signed, slices, table
+from pagelore.llm._common import Words, components, drop_scratch, give_back, materialize, mix, shingle_hashes, signed, slices, table
 from pagelore.llm._links import link_lists
 from pagelore.llm.exact_dedup import member_filter
 
@@ -172,6 +172,7 @@ def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
                 cols[7].append(sketches[a:z].ravel() if z > a else np.zeros(0, np.int64))
             kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(offsets) - 1), *(_signed_list(c, k) for c, k in zip(cols, kinds, strict=False))], names=["k", "at", "gram", "lo", "hi", "sets", "bands", "sizes", "sketches"])
+    give_back()
 
 
 def _paragraph_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,8 @@ def _paragraph_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, paragraph of a, of b) whose Jaccard similarity is at least 0.8; rows of one a follow each other."""
+    """Rows (a, b, paragraph of a, of b) with the distance of the two and whether their Jaccard
+    similarity is at least 0.8; rows of one a follow each other."""
 
     def shingles(texts: pa.Array) -> Iterator[np.ndarray]:
         for _, data, offsets in slices(texts):
@@ -197,13 +199,15 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     last, mine = None, None
     for b in batches:
-        ok = np.zeros(b.num_rows, bool)
+        ok, apart = np.zeros(b.num_rows, bool), np.zeros(b.num_rows, np.int32)
         for i, (a, other) in enumerate(zip(b.column(0).to_pylist(), shingles(b.column(3)), strict=True)):
             if a != last:
                 last, mine = a, next(shingles(b.column(2).slice(i, 1)))
             both = len(np.intersect1d(mine, other, assume_unique=True))
             ok[i] = 5 * both >= 4 * (len(mine) + len(other) - both)
-        yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], names=["a", "b"])
+            apart[i] = len(mine) + len(other) - 2 * both
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(apart), pa.array(ok)], names=["a", "b", "distance", "linked"])
+    give_back()
 
 
 def _long_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,9 +252,9 @@ def paragraph_links(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFr
         texts = _texts_of(docs, materialize(wanted, f"{name}-wanted"))
         texts = materialize(texts.select("text", "wanted").mapInArrow(_paragraph_texts, "class long, text string"), f"{name}-texts")
         met = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
-        links = materialize(met.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long"), f"{name}-links")
+        compared = materialize(met.select("a", "b", "ta", "tb").mapInArrow(_similar, "a long, b long, distance int, linked boolean"), f"{name}-compared")
         drop_scratch(pairs, texts)
-        return links
+        return compared
 
     sketches = heads.select("class", "q0", "q1", "q2", "q3")
     links = link_lists(entries, verify, lambda n, m: (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n)), "paragraph", sketches, 9)
