@@ -19,8 +19,9 @@ without them). Decoding joins pieces and bytes back.
 Defined cases: null and empty texts have no ids and decode to the empty text; texts
 that contain the space mark U+2581 itself decode with spaces in its place, as the
 library does; any text of any length is encoded whole; further columns are kept by
-:func:`encode` under their names (its own are ``ids`` and ``n_tokens``, replaced if
-they exist); a repeated row is encoded again.
+:func:`encode` under their names, dots and all (its own are ``ids`` and ``n_tokens``,
+which replace columns of these names in any case); a repeated row is encoded again; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,12 +37,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from pagelore.llm._common import mix, table
+from pagelore.llm._common import WordMemory, give_back, mix, named, table
 
 SPACE = "▁"
-#: Distinct words whose ids a worker process remembers for its tasks; beyond it the memory starts anew.
-CACHE_WORDS = 400_000
 #: Words of one length that advance together.
 ROWS = 4096
 
@@ -106,7 +106,8 @@ class Model:
         # a cut before a space mark is safe if no piece has one after something else
         self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in known) else re.compile(r"(?s).+")
         self.lowest = self.scores[known].min() - 10
-        self.cache: dict[str, bytes] = {}
+        #: Words that the tasks of a worker process share, in bounded memory.
+        self.memory = WordMemory()
 
     @staticmethod
     def _key(poly: np.ndarray, length: int) -> np.ndarray:
@@ -290,17 +291,14 @@ class Model:
             self._table = {self.pieces[i]: int(i) for i in self.ids.tolist()}
         return self._table
 
-    def encode(self, texts: list[str], cache: dict[str, bytes]) -> Iterator[np.ndarray]:
-        """Ids of each text; ``cache`` keeps the words of earlier batches, their ids as bytes."""
+    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text; the words of earlier batches are remembered, their ids as bytes."""
         cut = [self.cut.findall(self.normal(t)) for t in texts]
-        every = set(itertools.chain.from_iterable(cut))
-        new = every.difference(cache)
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = every
-        cache.update((w, array.array("i", ids).tobytes()) for w, ids in self.encode_words(list(new)).items())
+        new = self.encode_words(self.memory.missing(set(itertools.chain.from_iterable(cut))))
+        self.memory.put(list(new), [array.array("i", ids).tobytes() for ids in new.values()])
+        known = self.memory.young
         for words in cut:
-            yield np.frombuffer(b"".join([cache[w] for w in words]), np.int32)
+            yield np.frombuffer(b"".join([known[w] for w in words]), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         out = self.out
@@ -333,22 +331,25 @@ def _batches(texts: pa.Array, chars: int = 1 << 20) -> Iterator[list[str]]:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``docs`` with the ids of every text (``ids``: array of int) and ``n_tokens``."""
     where = path or public_model()
-    kept = [c for c in docs.columns if c not in ("ids", "n_tokens")]
-    schema = docs.select(*kept).withColumn("ids", F.lit(None).cast("array<int>")).withColumn("n_tokens", F.lit(None).cast("long")).schema
+    text = next((c for c in docs.columns if c == "text"), None) or next(c for c in docs.columns if c.lower() == "text")
+    kept = [c for c in docs.columns if c.lower() not in ("ids", "n_tokens")]
+    at, plain = kept.index(text), [f"c{i}" for i in range(len(kept))]
+    schema = StructType([*docs.select(*named(kept)).toDF(*plain).schema, StructField("ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(where)
         for b in batches:
-            names, start = b.schema.names, 0
-            for texts in _batches(b.column(names.index("text"))):
-                ids = list(m.encode(texts, m.cache))
+            start = 0
+            for texts in _batches(b.column(at)):
+                ids = list(m.encode(texts))
                 n = [len(x) for x in ids]
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 part = b.slice(start, len(texts))
                 start += len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())), pa.array(n, pa.int64())], names=[*names, "ids", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())), pa.array(n, pa.int64())], names=[*plain, "ids", "n_tokens"])
+        give_back()
 
-    return docs.select(*kept).mapInArrow(run, schema)
+    return docs.select(*named(kept)).toDF(*plain).mapInArrow(run, schema).toDF(*kept, "ids", "n_tokens")
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -362,12 +363,13 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             rows = []
             for texts in _batches(b.column(1)):
-                for t, ids in zip(texts, m.encode(texts, m.cache), strict=True):
+                for t, ids in zip(texts, m.encode(texts), strict=True):
                     back = m.decode(ids)
                     rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), int(odd[ids].sum()), hashlib.sha256(back.encode()).hexdigest(), back == t))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_tokens", "ids_crc32", "n_fallback", "decoded_sha256", "round_trip"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, n_fallback long, decoded_sha256 string, round_trip boolean")
 
@@ -376,7 +378,7 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
     """``rows`` (with ``ids``) with ``text`` in place of the ids."""
     where = path or public_model()
     shared = F.pandas_udf(lambda s: s.map(lambda ids: model(where).decode(np.asarray(ids, np.int32)) if ids is not None else ""), "string")
-    return rows.select(*[c for c in rows.columns if c not in ("ids", "text")], shared("ids").alias("text"))
+    return rows.select(*named(c for c in rows.columns if c.lower() not in ("ids", "text")), shared("ids").alias("text"))
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,31 +8,37 @@ chunk index at the end gives every block's position, so a block is read alone.
 
 File layout (all numbers little-endian)::
 
-    magic "PLNS1\\0" | u8 layout (1 bits, 2 bytes) | u8 planes | u32 ids a block
-    blocks: the compressed planes, one after the other
-    document table, zstandard: i64 doc_id (0 where null), u64 n_tokens, u8 null mark, column by column
-    index, zstandard: per block u64 offset, u32 ids, then u32 length of each plane
-    footer: u64 table offset, u64 index offset, u64 documents, u64 ids, u32 blocks, magic
-
-Documents are dealt to shards by ranges of doc_id and sorted in each, so shard after
-shard the ids stand in ascending doc_id order. Every task streams: it holds one batch of
-texts and one block. A shard is written under a name of its own attempt and the job's
-result lists the names that count, so a retried or speculative task leaves no harm.
+    magic "PLNS2\\0" | u8 layout (1 bits, 2 bytes) | u8 planes | u32 ids a block
+    blocks of ids: the compressed planes, one after the other; between them
+    blocks of the document table, zstandard: i64 doc_id (0 where null), u64 n_tokens, u8 null mark, column by column
+    index, zstandard: per id block u64 offset, u32 ids, then u32 length of each plane;
+        per table block u64 offset, u32 length, u32 documents
+    footer: u64 index offset, u64 documents, u64 ids, u32 id blocks, u32 table blocks, magic
+
+Documents are dealt to shards by ranges of doc_id (rows that share one by their text's
+hash) and sorted in each, so shard after shard the ids stand in ascending doc_id order.
+Shards are as many as the input's bytes call for. Every task streams: it holds one batch
+of texts, one block of ids and one of the document table. A shard is written under a name
+of its own attempt and ``manifest.json`` lists the names that count, so a retried or
+speculative task leaves no harm and another job can read the files.
 
 Defined cases: null or empty text is the end id alone; a null doc_id sorts first;
-repeated doc_ids each get their rows' ids in (text) order; an empty table gives no file
-and no rows; very long texts fill as many blocks as they need.
+repeated doc_ids each get their rows' ids, equal rows too, in the order of their texts'
+hashes; an empty table gives no shard and no rows; very long texts fill as many blocks as
+they need; a special token's string in a text is that token, as the library has it; other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -43,14 +49,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm._common import scratch, table
+from pagelore.llm._common import WordMemory, give_back, scratch, table
 
-MAGIC = b"PLNS1\0"
+MAGIC = b"PLNS2\0"
 BITS, BYTES = 1, 2
 BLOCK_IDS = 1 << 16
 END_ID = 0
 LEVEL = 3
-_FOOTER = struct.Struct("<QQQQI6s")
+#: Documents of one block of the document table.
+TABLE_DOCS = 1 << 16
+#: Bytes of stored input that one shard is made of, about.
+SHARD_BYTES = 128 << 20
+_FOOTER = struct.Struct("<QQQII6s")
+_TABLE = struct.Struct("<QII")
 
 
 def public_vocabulary() -> str:
@@ -84,13 +95,15 @@ def from_planes(parts: list[bytes], n: int, layout: int) -> np.ndarray:
 
 
 class Writer:
-    """One shard file; ``add`` takes whole documents, memory holds one block."""
+    """One shard file; ``add`` takes whole documents, memory holds one block of ids and one of documents."""
 
-    def __init__(self, sink: Any, layout: int = BITS, planes: int = 16, block: int = BLOCK_IDS):
-        self.sink, self.layout, self.planes, self.block = sink, layout, planes, block
-        self.at, self.held, self.n_held, self.n = 0, [], 0, 0
-        self.docs: list[tuple[int, int, int]] = []
+    def __init__(self, sink: Any, layout: int = BITS, planes: int = 16, block: int = BLOCK_IDS, table_docs: int = TABLE_DOCS):
+        self.sink, self.layout, self.planes, self.block, self.table_docs = sink, layout, planes, block, table_docs
+        self.at = self.n = self.n_docs = self.n_held = 0
+        self.held: list[np.ndarray] = []
+        self.docs: list[tuple[int, int, bool]] = []
         self.index: list[tuple[int, int, list[int]]] = []
+        self.tables: list[tuple[int, int, int]] = []
         self._put(MAGIC + struct.pack("<BBI", layout, planes, block))
 
     def _put(self, data: bytes) -> None:
@@ -101,6 +114,8 @@ class Writer:
         if len(ids) and int(ids.max()) >= 1 << (self.planes * (1 if self.layout == BITS else 8)):
             raise ValueError("an id needs more planes than the file has")
         self.docs.append((doc_id or 0, len(ids), doc_id is None))
+        if len(self.docs) == self.table_docs:
+            self._documents()
         self.held.append(ids)
         self.n_held += len(ids)
         if self.n_held >= self.block:
@@ -117,15 +132,23 @@ class Writer:
         self._put(b"".join(parts))
         self.n += len(ids)
 
+    def _documents(self) -> None:
+        doc_ids, sizes, null = zip(*self.docs, strict=True)
+        data = zstandard.ZstdCompressor(level=LEVEL).compress(np.array(doc_ids, "<i8").tobytes() + np.array(sizes, "<u8").tobytes() + np.array(null, "u1").tobytes())
+        self.tables.append((self.at, len(data), len(self.docs)))
+        self._put(data)
+        self.n_docs += len(self.docs)
+        self.docs = []
+
     def close(self) -> None:
         if self.n_held:
             self._block(np.concatenate(self.held))
-        press, table_at = zstandard.ZstdCompressor(level=LEVEL), self.at
-        d = list(zip(*self.docs, strict=True)) or [(), (), ()]
-        self._put(press.compress(np.array(d[0], "<i8").tobytes() + np.array(d[1], "<u8").tobytes() + np.array(d[2], "u1").tobytes()))
+        if self.docs:
+            self._documents()
         index_at = self.at
-        self._put(press.compress(b"".join(struct.pack(f"<QI{self.planes}I", o, n, *lengths) for o, n, lengths in self.index)))
-        self._put(_FOOTER.pack(table_at, index_at, len(self.docs), self.n, len(self.index), MAGIC))
+        blocks = [struct.pack(f"<QI{self.planes}I", o, n, *lengths) for o, n, lengths in self.index]
+        self._put(zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(blocks + [_TABLE.pack(*t) for t in self.tables])))
+        self._put(_FOOTER.pack(index_at, self.n_docs, self.n, len(self.index), len(self.tables), MAGIC))
 
 
 class Reader:
@@ -136,19 +159,15 @@ class Reader:
         if self._get(0, 6) != MAGIC:
             raise ValueError("not a token plane file")
         self.layout, self.planes, self.block = struct.unpack("<BBI", self._get(6, 6))
-        size = source.size()
-        at = size - _FOOTER.size
-        table_at, index_at, n_docs, self.n, n_blocks, magic = _FOOTER.unpack(self._get(at, _FOOTER.size))
+        at = source.size() - _FOOTER.size
+        index_at, self.n_docs, self.n, n_blocks, n_tables, magic = _FOOTER.unpack(self._get(at, _FOOTER.size))
         if magic != MAGIC:
             raise ValueError("the file is cut off")
-        open_ = zstandard.ZstdDecompressor()
-        t = open_.decompress(self._get(table_at, index_at - table_at), max_output_size=17 * n_docs + 1)
-        self.doc_ids = np.frombuffer(t, "<i8", n_docs)
-        self.n_tokens = np.frombuffer(t, "<u8", n_docs, 8 * n_docs).astype(np.int64)
-        self.null = np.frombuffer(t, "u1", n_docs, 16 * n_docs)
         one = struct.Struct(f"<QI{self.planes}I")
-        raw = open_.decompress(self._get(index_at, at - index_at), max_output_size=one.size * n_blocks + 1)
+        first_table = one.size * n_blocks
+        raw = zstandard.ZstdDecompressor().decompress(self._get(index_at, at - index_at), max_output_size=first_table + _TABLE.size * n_tables + 1)
         self.index = [one.unpack_from(raw, i * one.size) for i in range(n_blocks)]
+        self.tables = [_TABLE.unpack_from(raw, first_table + i * _TABLE.size) for i in range(n_tables)]
 
     def _get(self, at: int, n: int) -> bytes:
         self.source.seek(at)
@@ -158,16 +177,23 @@ class Reader:
         """The ids of block i alone."""
         at, n, *lengths = self.index[i]
         raw, open_, parts, o = self._get(at, sum(lengths)), zstandard.ZstdDecompressor(), [], 0
-        most = n * (1 if self.layout == BYTES else 1) + 8
         for x in lengths:
-            parts.append(open_.decompress(raw[o : o + x], max_output_size=most))
+            parts.append(open_.decompress(raw[o : o + x], max_output_size=n + 8))
             o += x
         return from_planes(parts, n, self.layout)
 
+    def table_rows(self) -> Iterator[tuple[int | None, int]]:
+        """(doc_id, number of ids) of every document, one block of the table in memory."""
+        for at, length, n in self.tables:
+            t = zstandard.ZstdDecompressor().decompress(self._get(at, length), max_output_size=17 * n + 1)
+            columns = (np.frombuffer(t, "<i8", n), np.frombuffer(t, "<u8", n, 8 * n), np.frombuffer(t, "u1", n, 16 * n))
+            for doc_id, size, null in zip(*(c.tolist() for c in columns), strict=True):
+                yield (None if null else doc_id), size
+
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids) in file order, one block in memory (and one document)."""
         block, held = 0, np.zeros(0, np.uint32)
-        for doc_id, n, null in zip(self.doc_ids.tolist(), self.n_tokens.tolist(), self.null.tolist(), strict=True):
+        for doc_id, n in self.table_rows():
             parts, have = [held], len(held)
             while have < n:
                 x = self.block_ids(block)
@@ -175,56 +201,54 @@ class Reader:
                 parts.append(x)
                 have += len(x)
             held = np.concatenate(parts) if len(parts) > 1 else held
-            yield (None if null else doc_id), held[:n]
+            yield doc_id, held[:n]
             held = held[n:]
 
 
 # ------------------------------------------------------------------ encoding
 
-#: Distinct words whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 800_000
-#: Characters whose class all Unicode versions share; white space other than these could join words.
-_ODD = re.compile("[^\t\n\r -~\xa1-\u024f\u2010-\u2027\u2030-\u205e]|  ")
+#: Characters beyond those whose class all Unicode versions share.
+_ODD = re.compile("[^\t\n\r -~\xa1-\u024f\u2010-\u2027\u2030-\u205e]")
+# How a byte-level model's own expression cuts a text, over the plain characters.
+_LETTERS, _DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\\s{_LETTERS}{_DIGITS}]+|\\s+(?!\\S)|\\s+")
 
 
 class Encoder:
-    """Ids by the tokenizers library, a distinct word at a time.
+    """Ids by the tokenizers library, a distinct piece at a time.
 
-    The library's byte-level models never join across a single space, so the ids of a
-    text are those of its space-separated words (each with the space before it), which
-    it encodes once and this class remembers. Texts with two spaces in a row, or with
-    characters beyond the plain ones, go to the library whole."""
+    A byte-level model cuts a text by a fixed expression and encodes each piece by itself,
+    so the ids of a text are those of its pieces, which the library encodes once and this
+    class remembers (in bounded memory). Texts with characters beyond the plain ones or
+    with a special token's string go to the library whole, and so does everything for
+    models of another kind."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.by_word = '"ByteLevel"' in self.library.to_str() and self.library.normalizer is None and not getattr(self.library.pre_tokenizer, "add_prefix_space", True)
+        before = json.loads(self.library.to_str())["pre_tokenizer"] or {}
+        self.by_piece = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space", True) and self.library.normalizer is None
         #: Does a token begin with a space?
         self.opens = np.zeros(self.library.get_vocab_size() + 1, bool)
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith("\u0120")
-        #: Words to their ids, as bytes of the smallest type.
+        #: Pieces to their ids, as bytes of the smallest type.
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
+        self.memory = WordMemory()
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [() if not self.by_word or _ODD.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        cache, size = self.cache, self.type.itemsize
-        every = set(itertools.chain.from_iterable(cut))
-        new = every.difference(cache)
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = every
+        cut = [() if not self.by_piece or any(x in t for x in self.special) or _ODD.search(t) else _PIECES.findall(t) for t in texts]
+        new, size = self.memory.missing(set(itertools.chain.from_iterable(cut))), self.type.itemsize
         # words that open with a space are encoded as one text, and cut where a token opens with one
-        later = [w for w in new if w[:1] == " " and len(w) > 1]
-        first = list(new.difference(later))
-        cache.update(zip(first, [x.astype(self.type).tobytes() for x in self.whole(first)], strict=True))
+        later = [w for w in new if w[:1] == " " and w[1:].isalpha()]
+        first = list(set(new).difference(later))
+        self.memory.put(first, [x.astype(self.type).tobytes() for x in self.whole(first)])
         for i in range(0, len(later), 2048):
             part = later[i : i + 2048]
             ids = self.whole(["".join(part)])[0]
@@ -234,18 +258,9 @@ class Encoder:
                 found = [raw[a:b] for a, b in itertools.pairwise(at)]
             else:
                 found = [x.astype(self.type).tobytes() for x in self.whole(part)]
-            cache.update(zip(part, found, strict=True))
-        return [np.frombuffer(b"".join([cache[w] for w in parts]), self.type).astype(np.uint32) if parts else self.whole([t])[0] for t, parts in zip(texts, cut, strict=True)]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One encoder a worker process, shared by its tasks."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+            self.memory.put(part, found)
+        known = self.memory.young.__getitem__
+        return [np.frombuffer(b"".join(map(known, pieces)), self.type).astype(np.uint32) if pieces else self.whole([t])[0] for t, pieces in zip(texts, cut, strict=True)]
 
 
 # ------------------------------------------------------------------ Spark
@@ -256,16 +271,22 @@ def _place(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (pafs.LocalFileSystem(), folder)
 
 
+def _shards(docs: DataFrame) -> int:
+    """One shard for SHARD_BYTES of input, and at least as many as shuffles have partitions."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // SHARD_BYTES), 1_000_000))
+
+
 def write(docs: DataFrame, folder: str, vocabulary: str | None = None, layout: int = BITS, planes: int = 16, block: int = BLOCK_IDS, shards: int | None = None) -> list[dict]:
     """Write the ids of ``docs`` (doc_id, text) to shard files in ``folder``.
 
     Returns the manifest, in order: file, n_docs, n_ids of every shard (as many rows as
-    shards; it is saved as ``manifest`` beside them too)."""
-    spark, where = docs.sparkSession, vocabulary or public_vocabulary()
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards); it is saved as ``manifest.json`` beside them too, for :func:`manifest`."""
+    where = vocabulary or public_vocabulary()
+    shards = shards or _shards(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(where).encode
+        encode = Encoder(where).encode  # a memory of its own, so that it ends with the task
         part = TaskContext.get().partitionId()
         fs, base = _place(folder)
         fs.create_dir(base, recursive=True)
@@ -282,18 +303,37 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, layout: i
         if writer is not None:
             writer.close()
             out.close()
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": pa.array([len(writer.docs)], pa.int64()), "n_ids": pa.array([writer.n], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": pa.array([writer.n_docs], pa.int64()), "n_ids": pa.array([writer.n], pa.int64())})
+        del encode, writer
+        give_back()
 
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    manifest = sorted(dealt.mapInArrow(run, "part int, file string, n_docs long, n_ids long").collect())  # one row a shard
-    return [r.asDict() for r in manifest]
+    order = [F.col("doc_id").asc_nulls_first(), F.col("__h").asc()]
+    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("__h", F.xxhash64("text")).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+    written = sorted(dealt.select("doc_id", "text").mapInArrow(run, "part int, file string, n_docs long, n_ids long").collect())  # one row a shard
+    rows = [{"file": r.file, "n_docs": r.n_docs, "n_ids": r.n_ids} for r in written]
+    fs, base = _place(folder)
+    fs.create_dir(base, recursive=True)
+    with fs.open_output_stream(f"{base}/manifest.json") as out:
+        out.write(json.dumps(rows).encode())
+    return rows
 
 
-def read(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
-    rows, start = [], 0
-    for m in manifest:
-        rows.append((m["file"], start))
+def manifest(folder: str) -> list[dict]:
+    """The saved manifest of a folder that :func:`write` filled."""
+    fs, base = _place(folder)
+    with fs.open_input_stream(f"{base}/manifest.json") as source:
+        return json.loads(source.read())
+
+
+#: Rows of a batch that a reader hands on.
+READ_ROWS = 1024
+
+
+def _read(spark: SparkSession, folder: str, rows: list[dict] | None, row: Callable[[int | None, np.ndarray, int], tuple], types: list[pa.DataType], names: list[str], schema: str) -> DataFrame:
+    """``row(doc_id, ids, number of ids before)`` of every document of the files of a manifest (the saved one by default)."""
+    files, start = [], 0
+    for m in manifest(folder) if rows is None else rows:
+        files.append((m["file"], start))
         start += m["n_ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,29 +341,28 @@ def read(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
         for b in batches:
             for file, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{base}/{file}") as source:
-                    out: list[list] = [[], [], [], []]
+                    out, size = [], 0
                     for doc_id, ids in Reader(source).documents():
-                        for c, v in zip(out, (doc_id, at, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())), strict=True):
-                            c.append(v)
-                        at += len(ids)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                        out.append(row(doc_id, ids, at))
+                        at, size = at + len(ids), size + len(ids)
+                        if len(out) == READ_ROWS or size >= 1 << 22:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                            out, size = [], 0
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    files = spark.createDataFrame(rows, "file string, start long")
-    return files.repartition(max(1, len(rows))).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.createDataFrame(files, "file string, start long").repartition(max(1, len(files))).mapInArrow(run, schema)
 
 
-def read_ids(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
-    """doc_id and ids of every document, from the files."""
+def read(spark: SparkSession, folder: str, rows: list[dict] | None = None) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
+    digest = lambda doc_id, ids, at: (doc_id, at, len(ids), zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes()))
+    return _read(spark, folder, rows, digest, [pa.int64()] * 4, ["doc_id", "start", "n_tokens", "ids_crc32"], "doc_id long, start long, n_tokens long, ids_crc32 long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = _place(folder)
-        for b in batches:
-            for file in b.column(0).to_pylist():
-                with fs.open_input_file(f"{base}/{file}") as source:
-                    for doc_id, ids in Reader(source).documents():
-                        yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([ids.astype(np.int32)], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return spark.createDataFrame([(m["file"],) for m in manifest], "file string").repartition(max(1, len(manifest))).mapInArrow(run, "doc_id long, ids array<int>")
+def read_ids(spark: SparkSession, folder: str, rows: list[dict] | None = None) -> DataFrame:
+    """doc_id and ids of every document, from the files."""
+    return _read(spark, folder, rows, lambda doc_id, ids, at: (doc_id, ids.astype(np.int32)), [pa.int64(), pa.list_(pa.int32())], ["doc_id", "ids"], "doc_id long, ids array<int>")
 
 
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
