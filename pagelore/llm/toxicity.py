@@ -1,28 +1,44 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A clause is a string over five symbol classes: INSULT, THREAT, TARGET, NEGATION and
-REPORT (all other words are skipped). Small weighted transducers - one for targets,
-one for negation, one for reported speech - read the same string and are composed
-into one machine whose state is (targeted, negated, reported); an INSULT or THREAT
-symbol emits its own weight on the channel of the state it is read in. A text's
-emissions are summed per channel over its clauses, and a logistic layer on the
-channels gives the score, so an insult counts differently when it is aimed, denied
-or quoted.
-
-Learnt from labelled rows (at most ``max_rows`` of them, the smallest hashes of
-doc_id, so the same rows at every run): the insult lexicon - whole words and word
-stems whose log-odds between toxic and other texts are high - and the channel
-weights. The cue lists are fixed values.
-
-Defined cases: null or empty text has no clause and gets the base rate of such texts
-(the bias), as does a text with no matched clause; a null doc_id is scored, its
-held_out is null; a table without labels of both kinds yields the constant score 0;
-very long texts are scanned in full, clause by clause.
+A text is cut into clauses, and a clause is read as a string over seven symbol classes:
+INSULT, THREAT, OBJECT, SUBJECT, INTENT, NEGATION and REPORT (other words are skipped).
+Five small automata read the same string - the insult transducer (an insult, aimed at a
+person or not), the threat transducer (a verb of harm that has a person as its object,
+with or without an intent), targets, negation in front of what it denies, and reported
+speech - and are composed into one machine. Nothing is scored before a clause ends: its
+final state says what the clause is, and the arc weights below what that counts:
+
+* an insult clause counts the learnt weights of its insults, AIMED times as much with a
+  person in it;
+* a threat clause needs verb and object (``kill time`` is none) and counts THREAT_WEIGHT,
+  less without an intent;
+* a denied clause counts NEGATED times, a reported one REPORTED times as much.
+
+So aiming never lowers a score and denying or quoting never raises one, whatever the
+labels are. A text's evidence is the sum over its clauses; a logistic curve gives the
+score, which rises with the logarithm of the evidence and falls with that of the number
+of clauses (both slopes are zero at least).
+
+Learnt from a bounded sample of labelled rows (:mod:`pagelore.llm._labels`): the insult
+lexicon - whole words and word stems whose log-odds between toxic and other texts are
+high - and the curve. The curve is fitted on rows that the lexicon of that step has not
+seen, so words that merely memorise their texts don't make it steep; then the lexicon is
+learnt from all rows. Of near copies in the sample only one is learnt from. Cue lists and
+arc weights are fixed values.
+
+Defined cases: null or empty text has no clause and gets the base score, as does a text
+with no matched clause; a null doc_id is scored, its held_out is null; equal texts tie,
+repeated rows are scored each; a table without labels of both kinds yields the constant
+score 0; an empty table gives no rows; very long texts are scanned in full, clause by
+clause; of several labels of a doc_id the largest counts; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -31,30 +47,35 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pagelore.llm._common import table
+from pagelore.llm._common import Words, give_back, mix, shingle_hashes, table
+from pagelore.llm._labels import labelled_sample
 
 # Cue words of the grammar.
-THREATS = ("kill", "hurt", "destroy", "die", "beat", "burn", "shoot", "stab", "töten", "matar", "tuer")
-TARGETS = ("you", "your", "yours", "u", "ur", "he", "she", "they", "him", "them", "du", "dich", "dein", "ihr", "sie", "tu", "toi", "vous", "ton", "te", "ti", "usted", "ustedes")
-NEGATIONS = ("not", "no", "never", "none", "isn't", "aren't", "wasn't", "don't", "nicht", "kein", "keine", "nie", "pas", "jamais", "ne", "nunca", "ni")
+THREATS = ("kill", "hurt", "destroy", "murder", "beat", "burn", "shoot", "stab", "strangle", "töten", "umbringen", "schlagen", "tuer", "frapper", "matar", "golpear")
+OBJECTS = ("you", "your", "yours", "yourself", "u", "ur", "him", "her", "them", "dich", "dir", "euch", "dein", "toi", "vous", "ti", "usted", "ustedes")
+SUBJECTS = ("he", "she", "they", "du", "ihr", "er", "tu", "il", "elle", "ils", "ellos")
+INTENTS = ("will", "i'll", "we'll", "gonna", "going", "shall", "should", "must", "werde", "werden", "vais", "allons", "voy", "vamos")
+NEGATIONS = ("not", "no", "never", "none", "isn't", "aren't", "wasn't", "don't", "won't", "nicht", "kein", "keine", "nie", "pas", "jamais", "ne", "nunca", "ni")
 REPORTS = ("said", "says", "called", "calls", "quoted", "quotes", "wrote", "claimed", "alleged", "sagte", "nannte", "dit", "appelé", "dijo", "llamó")
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = range(5)
-_WORD_OR_STOP = re.compile(r"[\w'’]+|[.!?;:\n]+")
-_STOP = re.compile(r"[.!?;:\n]")
-#: Channels: 8 states (targeted + 2 negated + 4 reported) of insults, then of threats.
-CHANNELS = 16
+INSULT, THREAT, OBJECT, SUBJECT, INTENT, NEGATION, REPORT = range(7)
+_WORD_OR_STOP = re.compile(r"[\w'’]+|[.!?;\n]+")
+_STOP = re.compile(r"[.!?;\n]")
+
+# Arc weights of the grammar.
+AIMED, NEGATED, REPORTED = 1.5, 0.1, 0.5
+THREAT_WEIGHT, WITHOUT_INTENT = 24.0, 0.5
 
 
 @dataclass
 class Grammar:
-    """The composed machine with its learnt weights."""
+    """The composed machine with its learnt lexicon and curve."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(CHANNELS + 1))
+    slope: float = 0.0
+    length: float = 0.0
     bias: float = 0.0
     constant: bool = True
 
@@ -68,35 +89,60 @@ class Grammar:
 
 
 _CUES: dict[str, tuple[int, float]] = {}
-for _kind, _list in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+for _kind, _list in ((THREAT, THREATS), (OBJECT, OBJECTS), (SUBJECT, SUBJECTS), (INTENT, INTENTS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
     for _w in _list:
         _CUES[_w] = (_kind, 1.0)
 
 #: Lengths of learnt stems, in characters.
 STEM = (4, 8)
 
+Automaton = list[list[int]]
+
+
+def _automaton(states: int, arcs: dict[tuple[int, int], int]) -> Automaton:
+    """Rows of next states by symbol; without an arc the state stays."""
+    return [[arcs.get((s, symbol), s) for symbol in range(7)] for s in range(states)]
 
-def _component(opens: int, lasts: bool) -> dict[tuple[int, int], int]:
-    """A two-state transducer opened by one symbol; unless it lasts, an emission closes it."""
-    arcs = {}
-    for state in (0, 1):
-        for symbol in range(5):
-            arcs[state, symbol] = 1 if symbol == opens else (state if lasts or symbol not in (INSULT, THREAT) else 0)
-    return arcs
+
+def _compose(parts: list[Automaton]) -> Automaton:
+    """The product of automata that read the same string; a state's number has their states as digits."""
+    out: Automaton = [[0] * 7]
+    size = 1
+    for part in parts:
+        out = [[out[a][x] + size * part[b][x] for x in range(7)] for b in range(len(part)) for a in range(size)]
+        size *= len(part)
+    return out
 
 
-def _compose(*parts: dict[tuple[int, int], int]) -> list[list[int]]:
-    """Product machine: bit i of a state is the state of part i."""
-    n = 1 << len(parts)
-    return [[sum(part[(s >> i) & 1, symbol] << i for i, part in enumerate(parts)) for symbol in range(5)] for s in range(n)]
+#: 1 insult, 2 insult and a person (either first); 3 only the person so far.
+_INSULT = _automaton(4, {(0, INSULT): 1, (3, INSULT): 2, **{(a, x): b for x in (OBJECT, SUBJECT) for a, b in ((0, 3), (1, 2))}})
+#: Bits: 1 a verb of harm, 2 an object.
+_THREAT = _automaton(4, {(0, THREAT): 1, (2, THREAT): 3, (0, OBJECT): 2, (1, OBJECT): 3})
+_INTENT = _automaton(2, {(0, INTENT): 1})
+#: 1 a negation, 2 one in front of what it denies, 3 an insult or verb that none stands before.
+_NEGATION = _automaton(4, {(0, NEGATION): 1, **{(a, x): b for x in (INSULT, THREAT) for a, b in ((0, 3), (1, 2))}})
+_REPORT = _automaton(2, {(0, REPORT): 1})
+MACHINE = _compose([_INSULT, _THREAT, _INTENT, _NEGATION, _REPORT])
 
 
-MACHINE = _compose(_component(TARGET, True), _component(NEGATION, False), _component(REPORT, True))
+def _output(state: int) -> tuple[float, float]:
+    """(what the clause's insult weights count, what its threat counts) by the final state."""
+    state, insult = divmod(state, 4)
+    state, threat = divmod(state, 4)
+    state, intent = divmod(state, 2)
+    report, negation = divmod(state, 4)
+    by = (NEGATED if negation == 2 else 1.0) * (REPORTED if report else 1.0)
+    return by * (AIMED if insult == 2 else 1.0 if insult == 1 else 0.0), by * (THREAT_WEIGHT * (1.0 if intent else WITHOUT_INTENT) if threat == 3 else 0.0)
 
 
-def channels(text: str, grammar: Grammar, seen: dict[str, tuple[int, float] | None]) -> np.ndarray | None:
-    """Sums of emitted weights by channel, or None if no clause emits anything."""
-    out, state = None, 0
+OUTPUTS = [_output(s) for s in range(len(MACHINE))]
+
+Seen = dict[str, tuple[int, float] | None]
+
+
+def evidence(text: str, grammar: Grammar, seen: Seen) -> tuple[float, int]:
+    """(the sum of what the text's clauses count, number of clause ends). ``seen`` remembers words' symbols."""
+    total, state, insults, ends = 0.0, 0, 0.0, 0
     for token in _WORD_OR_STOP.findall(text.lower()):
         try:
             hit = seen[token]
@@ -108,58 +154,63 @@ def channels(text: str, grammar: Grammar, seen: dict[str, tuple[int, float] | No
             continue
         symbol, weight = hit
         if symbol < 0:
-            state = 0
+            ends += 1
+            if state:
+                aimed, threat = OUTPUTS[state]
+                total += insults * aimed + threat
+                state, insults = 0, 0.0
             continue
-        if symbol <= THREAT:
-            if out is None:
-                out = np.zeros(CHANNELS)
-            out[symbol * 8 + state] += weight
+        if symbol == INSULT:
+            insults += weight
         state = MACHINE[state][symbol]
-    return out
+    aimed, threat = OUTPUTS[state]
+    return total + insults * aimed + threat, ends
 
 
-def _scored(sums: np.ndarray | None, grammar: Grammar) -> float:
+def text_score(text: str | None, grammar: Grammar, seen: Seen) -> float:
+    """Between 0 and 1, from the whole text."""
     if grammar.constant:
         return 0.0
-    z = grammar.bias
-    if sums is not None:
-        x = np.append(np.log1p(sums), sums[:8].sum() > 0)
-        z += float(x @ grammar.weights)
-    return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+    found, ends = evidence(text, grammar, seen) if text else (0.0, 0)
+    z = grammar.bias + grammar.slope * math.log1p(found) - grammar.length * math.log1p(ends)
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def _lexicon(texts: list[str], y: np.ndarray, least: int = 4, odds: float = 2.5) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that mark toxic texts, with their capped log-odds.
+def _lexicon(texts: list[str], y: np.ndarray, least: int = 8, odds: float = 3.5) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems that mark toxic texts, with their capped log-odds: how much more often
+    they occur among the words of toxic texts than among those of others.
 
-    A stem must carry several words, none of which decides alone; where a stem and a
-    longer one mark the same texts the shorter stays."""
-    n = np.array([(y == 0).sum(), (y == 1).sum()], float)
+    Each must stand in ``least`` toxic texts, so no text's own words count however often
+    they repeat. A stem must carry three words; of stems that hold each other the most
+    frequent stays, and the longest of equally frequent ones."""
     number: dict[str, int] = {}
-    docs = [np.fromiter({number.setdefault(w, len(number)) for w in _WORD_OR_STOP.findall(t.lower()) if not _STOP.match(w)}, np.int32) for t in texts]
-    names = list(number)
-    count = [np.bincount(np.concatenate([np.zeros(0, np.int32), *(v for v, c in zip(docs, y, strict=True) if c == k)]), minlength=len(names)) for k in (0, 1)]
+    docs = [np.array([number.setdefault(w, len(number)) for w in _WORD_OR_STOP.findall(t.lower()) if not _STOP.match(w)], np.int64) for t in texts]
+    names, none = list(number), [np.zeros(0, np.int64)]
+    count = np.stack([np.bincount(np.concatenate(none + [v for v, c in zip(docs, y, strict=True) if c == k]), minlength=len(names)) for k in (0, 1)])
+    total = count.sum(1)
+    odd = lambda c: float(np.log((c[1] + 0.5) / (total[1] + 1)) - np.log((c[0] + 0.5) / (total[0] + 1)))
     prefixes = lambda w: [w[:m] for m in range(STEM[0], min(len(w), STEM[1]) + 1)]
-    forms = Counter(s for i in np.flatnonzero(count[1]).tolist() for s in prefixes(names[i]))
-    stem_number = {s: i for i, s in enumerate(sorted(s for s, c in forms.items() if c >= 3))}
-    stems_of = {i: mine for i, w in enumerate(names) if (mine := [stem_number[s] for s in prefixes(w) if s in stem_number])}
-    stem_count = np.zeros((2, len(stem_number)), np.int64)
-    for v, k in zip(docs, y, strict=True):
-        stem_count[k, list({s for i in v.tolist() if i in stems_of for s in stems_of[i]})] += 1
-    odd = lambda c0, c1: float(np.log((c1 + 0.5) / (n[1] + 1)) - np.log((c0 + 0.5) / (n[0] + 1)))
-    precise = lambda c0, c1: c1 >= 2 * least and c1 >= 0.75 * (c0 + c1)
+    stems: dict[str, list[int]] = defaultdict(lambda: [0, 0, 0])  # occurrences elsewhere, in toxic texts, words
+    for i in np.flatnonzero(count[1]).tolist():
+        for p in prefixes(names[i]):
+            at = stems[p]
+            at[1] += int(count[1][i])
+            at[2] += 1
+    for i in np.flatnonzero(count[0]).tolist():
+        for p in prefixes(names[i]):
+            if p in stems:
+                stems[p][0] += int(count[0][i])
+    toxic = [{names[i] for i in np.unique(v).tolist()} for v, k in zip(docs, y, strict=True) if k == 1]
+    marks = {p for p, c in stems.items() if c[2] >= 3 and c[1] >= least and odd(c) >= odds}
+    stands = Counter(p for v in toxic for p in {p for w in v for p in prefixes(w) if p in marks})
     found_stems: dict[str, float] = {}
-    for s in sorted(stem_number, key=len):
-        c0, c1 = stem_count[:, stem_number[s]]
-        if precise(c0, c1) and odd(c0, c1) >= odds and not any(s[:m] in found_stems for m in range(STEM[0], len(s))):
-            found_stems[s] = min(odd(c0, c1), 6.0)
-    marked = lambda w: any(w[:m] in found_stems for m in range(STEM[0], STEM[1] + 1))
-    found_words = {}
-    for i in np.flatnonzero(count[1] >= 2 * least).tolist():
-        c0, c1 = count[0][i], count[1][i]
-        if precise(c0, c1) and odd(c0, c1) >= odds and not marked(names[i]):
-            found_words[names[i]] = min(odd(c0, c1), 6.0)
-    toxic = [{names[i] for i in v.tolist() if names[i] in found_words or marked(names[i])} for v, k in zip(docs, y, strict=True) if k == 1]
-    return _explained(found_words, found_stems, toxic, {w: int(count[0][number[w]]) for w in found_words}, least)
+    for p in sorted(marks, key=lambda p: (-stems[p][1], -len(p), p)):
+        if stands[p] >= least and not any(p.startswith(f) or f.startswith(p) for f in found_stems):
+            found_stems[p] = min(odd(stems[p]), 6.0)
+    marked = lambda w: any(p in found_stems for p in prefixes(w))
+    often = Counter(w for v in toxic for w in v)
+    found_words = {w: min(odd(count[:, number[w]]), 6.0) for w, n in often.items() if n >= least and odd(count[:, number[w]]) >= odds and not marked(w)}
+    return _explained(found_words, found_stems, [{w for w in v if w in found_words or marked(w)} for v in toxic], {w: int(count[0][number[w]]) for w in found_words}, least)
 
 
 def _explained(words: dict[str, float], stems: dict[str, float], toxic: list[set[str]], clean: dict[str, int], least: int) -> tuple[dict[str, float], dict[str, float]]:
@@ -176,7 +227,7 @@ def _explained(words: dict[str, float], stems: dict[str, float], toxic: list[set
     kept = {}
     for w in sorted(words, key=lambda w: (-len(places[w]), w)):
         alone = len(places[w] - covered)
-        if len(places[w]) >= max(2 * least, 0.02 * len(toxic)) or (alone >= least and alone >= 0.75 * (alone + clean[w])):
+        if len(places[w]) >= max(least, 0.02 * len(toxic)) or (2 * alone >= least and alone >= 0.75 * (alone + clean[w])):
             kept[w] = words[w]
             covered |= places[w]
     return kept, stems
@@ -197,34 +248,52 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60
     return w[:-1], float(w[-1])
 
 
+def _no_near_copies(texts: list[str]) -> list[int]:
+    """The numbers of texts that share fewer than two of four MinHash values (of word pairs) with an earlier one."""
+    first: dict[tuple[int, int], int] = {}
+    out = []
+    for i, t in enumerate(texts):
+        raw = t.encode()
+        h = shingle_hashes(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=True).hash, 2)
+        low = [(k, int((h * seed).min())) for k, seed in enumerate(_COPY_SEEDS)] if len(h) else [(4, zlib.crc32(raw))]
+        same = Counter(first[x] for x in low if x in first)
+        if same and max(same.values()) >= min(2, len(low)):
+            continue
+        for x in low:
+            first.setdefault(x, i)
+        out.append(i)
+    return out
+
+
+_COPY_SEEDS = mix(np.arange(1, 5, dtype=np.uint64)) | np.uint64(1)
+
+
 def fit(texts: list[str], labels: list[int]) -> Grammar:
-    """Lexicon on one half of the rows, channel weights on the other, so that words
-    which only memorise their own texts get no weight; then the lexicon over all rows."""
-    y = np.asarray(labels, int)
-    if not len(y) or y.min() == y.max():
+    """Lexicon on one half of the rows, curve on the other half's evidence by it (and the
+    halves changed about, so that every row is used); then the lexicon over all rows."""
+    if len(set(labels)) < 2:
         return Grammar(constant=True)
-    words, stems = _lexicon(texts, y)
-    g = Grammar(words, stems, constant=False)
-    seen: dict[str, tuple[int, float] | None] = {}
-    sums = [channels(t, g, seen) for t in texts]
-    x = np.array([np.append(np.log1p(s), s[:8].sum() > 0) if s is not None else np.zeros(CHANNELS + 1) for s in sums])
-    g.weights, g.bias = _logistic(x, y)
-    return g
+    own = [_no_near_copies([t for t, c in zip(texts, labels, strict=True) if c == k]) for k in (0, 1)]
+    kind = [[t for t, c in zip(texts, labels, strict=True) if c == k] for k in (0, 1)]
+    texts = [kind[k][i] for k in (0, 1) for i in own[k]]
+    y = np.repeat([0, 1], [len(own[0]), len(own[1])])
+    half = np.arange(len(y)) % 2
+    x = np.zeros((len(y), 2))
+    for k in (0, 1):
+        g, seen = Grammar(*_lexicon([texts[i] for i in np.flatnonzero(half == k).tolist()], y[half == k])), {}
+        for i in np.flatnonzero(half != k).tolist():
+            x[i] = np.log1p(evidence(texts[i], g, seen))
+    w, bias = _logistic(x, y)
+    if w[1] > 0:  # a longer text alone is no evidence
+        (one, bias), w = _logistic(x[:, :1], y), np.zeros(2)
+        w[0] = one[0]
+    return Grammar(*_lexicon(texts, y), slope=max(0.0, float(w[0])), length=max(0.0, -float(w[1])), bias=bias, constant=False)
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, max_chars: int = 30_000_000, fold: int = 5, held: int = 0) -> Grammar:
-    """Fit on labelled rows outside the held-out fold.
-
-    The sample is bounded: ``max_rows`` rows, in the order of their hashes while they sum
-    to at most ``max_chars`` characters; scoring covers every row and whole texts."""
-    rows = labels.where("toxic is not null").select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__y"))
-    rows = rows.where(F.expr(f"pmod(crc32(cast(__id as string)), {fold}) <> {held}")).dropDuplicates(["__id"])
-    rows = rows.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    got = docs.select(F.col("doc_id").alias("__id"), F.coalesce("text", F.lit("")).alias("__t")).join(F.broadcast(rows), "__id").select("__t", "__y", F.xxhash64("__id").alias("__o"), F.char_length("__t").alias("__n"))
-    so_far = F.sum("__n").over(Window.orderBy("__o").rowsBetween(Window.unboundedPreceding, 0))  # over the bounded sample
-    sample = got.withColumn("__s", so_far).where(F.col("__s") <= max_chars).orderBy("__o").select("__t", "__y").collect()
-    texts, ys = [r["__t"] for r in sample], [r["__y"] for r in sample]
-    return fit(texts, ys)
+    """Fit on a bounded sample of the labelled rows outside the held-out fold; scoring covers
+    every row and whole texts."""
+    return fit(*labelled_sample(docs, labels, "toxic", fold, held, max_rows, max_chars))
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
@@ -234,8 +303,10 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, seen = shared.value, {}
         for b in batches:
-            b["score"] = [_scored(channels(t, g, seen) if t else None, g) for t in b.pop("__t")]
+            b["score"] = [text_score(t, g, seen) for t in b.pop("__t")]
             yield b
+        seen.clear()
+        give_back()
 
     return docs.select("doc_id", F.col("text").alias("__t")).mapInPandas(run, "doc_id long, score double")
 
@@ -243,12 +314,14 @@ def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
 def toxic_flag(grammar: Grammar, spark: SparkSession, threshold: float = 0.5):
     """A boolean column function: does a text reach the threshold?"""
     shared = spark.sparkContext.broadcast(grammar)
-    seen: dict[str, tuple[int, float] | None] = {}
 
     @F.pandas_udf("boolean")
-    def flag(text: pd.Series) -> pd.Series:
-        g = shared.value
-        return text.map(lambda t: _scored(channels(t, g, seen) if t else None, g) >= threshold)
+    def flag(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        g, seen = shared.value, {}
+        for text in parts:
+            yield text.map(lambda t: text_score(t, g, seen) >= threshold).astype(bool)
+        seen.clear()
+        give_back()
 
     return flag
 
