@@ -3,15 +3,20 @@
 A template is any function from a list of turns to a string; the operator doesn't look
 inside. It renders the turns so far, then the same with one more, and compares the two
 outputs: if the longer one begins with the shorter, the rest is the new turn's span;
-if not, the template rewrote history, and the turn is marked (its span then starts
-where the outputs part). The text of a turn is located inside its span by rendering the
-turn once more with its text emptied: what the two renderings share at either end is
-the turn's frame.
-
-Prefixes are rendered over a window of the last ``context`` turns, so a conversation of
-any length costs ``context`` turns a turn and streams through a task in bounded memory:
-rows are dealt by conv_id, sorted by turn, and never gathered. A template whose
-rendering of a turn depends on more than ``context`` turns before it isn't supported.
+if not, the template rewrote history: the turn is marked, and its piece begins where the
+outputs part. The formatted conversation is the pieces in order, each put in place of
+what stands from its ``begin`` on. The text of a turn is located inside its piece by
+rendering the turn once more with its text emptied: what the two renderings share at
+either end is the turn's frame.
+
+The prefixes are true ones (:class:`Template` with ``context=None``): whatever a template
+does with its first turn, its turns' numbers or their count is rendered so or marked, at
+the cost of a whole rendering a turn. A template may state instead that the rendering of
+a turn depends on so many turns before it; then only these are rendered again, and a
+conversation of any length streams through a task in bounded memory: rows are dealt by
+conv_id, sorted by turn, and never gathered. It is held to its word: at every power of
+two up to ``CHECKED`` turns the whole prefix is rendered and compared, and a template
+that needs more than it states is refused with an error.
 
 The template here marks turns by ``<s>[ROLE]...[/ROLE]`` and escapes the characters
 that its marks use (``[``, ``]``, ``<``, ``>`` and the escape ``\\`` itself), so no text
@@ -20,7 +25,8 @@ can forge a mark and every text is read back exactly.
 Defined cases: a null text or role is empty; a null turn sorts first, equal turns by
 role and text; a null conv_id is a conversation of its own; repeated rows are repeated
 turns; a conversation without an assistant turn has an empty loss text (digest of
-nothing); other columns are ignored.
+nothing); an empty table gives no rows; very long texts are rendered whole; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +43,8 @@ from pyspark.sql import functions as F
 from pagelore.llm._common import table
 
 Turn = tuple[str, str]
-CONTEXT = 4
+#: Turns up to which a template's stated context is checked against its whole prefixes.
+CHECKED = 1024
 
 SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations UNION ALL
@@ -66,6 +74,21 @@ def bracket_template(turns: list[Turn]) -> str:
     return "".join(f"<s>[{escape(role)}]\n{escape(text)}[/{escape(role)}]</s>\n" for role, text in turns)
 
 
+@dataclass(frozen=True)
+class Template:
+    """``render`` turns a list of turns into a string. ``unescape`` undoes what it does to a
+    text (nothing by default). ``context``: how many turns before one its rendering depends
+    on, or None for all of them."""
+
+    render: Callable[[list[Turn]], str]
+    unescape: Callable[[str], str] = str
+    context: int | None = None
+
+
+#: The default template; a turn looks the same wherever it stands.
+BRACKETS = Template(bracket_template, unescape, 1)
+
+
 def common_prefix(a: str, b: str) -> int:
     n = min(len(a), len(b))
     if a[:n] == b[:n]:
@@ -77,14 +100,16 @@ def common_prefix(a: str, b: str) -> int:
     return lo
 
 
-def locate(render: Callable[[list[Turn]], str], context: list[Turn], turn: Turn) -> tuple[str, bool, int, int]:
-    """(piece, rewritten, begin, end): what ``turn`` adds after ``context``, whether that
-    changed what was there, and where the turn's text stands in the piece."""
+def locate(template: Template, context: list[Turn], turn: Turn) -> tuple[str, int, int, int]:
+    """(piece, dropped, begin, end): what ``turn`` adds after ``context``, how much of what was
+    there it replaces, and where the turn's text stands in the piece."""
+    render = template.render
     before, after = render(context), render([*context, turn])
     at = common_prefix(before, after)
-    rewritten = at < len(before)
-    piece = after[at:]
-    bare = render([*context, (turn[0], "")])[at:]
+    piece, bare = after[at:], render([*context, (turn[0], "")])
+    if bare[:at] != after[:at]:
+        return piece, len(before) - at, 0, len(piece)  # the text changes what stands before it: it can't be told from its frame
+    bare = bare[at:]
     head = common_prefix(piece, bare)
     tail = common_prefix(piece[head:][::-1], bare[head:][::-1])
     begin, end = head, len(piece) - tail
@@ -93,35 +118,66 @@ def locate(render: Callable[[list[Turn]], str], context: list[Turn], turn: Turn)
     if end - begin != long:
         begin, end = head, head + long
     for shift in range(min(head, 64) + 1):
-        if piece[: begin - shift] + piece[begin - shift + long :] == bare and unescape(piece[begin - shift : begin - shift + long]) == turn[1]:
-            return piece, rewritten, begin - shift, begin - shift + long
-    return piece, rewritten, begin, end
-
-
-def format_turns(convs: DataFrame, render: Callable[[list[Turn]], str] = bracket_template, context: int = CONTEXT) -> DataFrame:
+        if piece[: begin - shift] + piece[begin - shift + long :] == bare and template.unescape(piece[begin - shift : begin - shift + long]) == turn[1]:
+            return piece, len(before) - at, begin - shift, begin - shift + long
+    return piece, len(before) - at, begin, end
+
+
+class Conversation:
+    """One conversation as it is formatted: ``add`` gives (piece, begin, loss begin, loss end, rewritten) of a turn."""
+
+    def __init__(self, template: Template):
+        self.template, self.tail, self.n, self.size = template, [], 0, 0
+        self.turns: list[Turn] | None = None if template.context is None else []
+        self.text = ""
+
+    def add(self, turn: Turn) -> tuple[str, int, int, int, bool]:
+        piece, dropped, lo, hi = locate(self.template, self.tail, turn)
+        if not self.n:  # what a template writes for no turns belongs to the first one
+            opening = self.template.render([])
+            opening, dropped = opening[: len(opening) - dropped], 0
+            piece, lo, hi = opening + piece, lo + len(opening), hi + len(opening)
+        begin = self.size - dropped
+        self.n, self.size = self.n + 1, begin + len(piece)
+        context = self.template.context
+        self.tail.append(turn)
+        if context is not None:
+            self.tail = self.tail[max(0, len(self.tail) - context) :]
+        if self.turns is not None:
+            self._check(turn, piece, begin)
+        return piece, begin, begin + lo, begin + hi, dropped > 0
+
+    def _check(self, turn: Turn, piece: str, begin: int) -> None:
+        """Compare with the rendering of all turns, as long as they are few."""
+        self.turns.append(turn)
+        self.text = self.text[:begin] + piece
+        if self.n & (self.n - 1) == 0 and self.template.render(self.turns) != self.text:
+            raise ValueError(f"the template depends on more than {self.template.context} turns before one")
+        if self.n == CHECKED:
+            self.turns, self.text = None, ""
+
+
+def format_turns(convs: DataFrame, template: Template = BRACKETS) -> DataFrame:
     """One row per turn, in order within each task: conv_id, turn, seq, role, piece (what the
     turn adds to the formatted conversation), begin (where it starts), loss_begin and
-    loss_end (span under the loss mask, in the conversation; null for other roles), rewritten."""
+    loss_end (span under the loss mask, in the conversation; null for other roles), rewritten
+    (it replaces something that stood there)."""
     rows = convs.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "text"]
     dealt = rows.repartition("conv_id").sortWithinPartitions(*order)
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    names = ["conv_id", "turn", "seq", "role", "piece", "begin", "loss_begin", "loss_end", "rewritten"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: object = run  # no conversation yet
-        tail: list[Turn] = []
-        seq = at = 0
         for b in batches:
             out: list[tuple] = []
             for conv, turn, role, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if conv != held or held is run:
-                    held, tail, seq, at = conv, [], 0, 0
-                piece, rewritten, begin, end = locate(render, tail, (role, text))
+                if held is run or conv != held:
+                    held, state = conv, Conversation(template)
+                piece, begin, lo, hi, rewritten = state.add((role, text))
                 mine = role == "assistant"
-                out.append((conv, turn, seq, role, piece, at, at + begin if mine else None, at + end if mine else None, rewritten))
-                seq, at = seq + 1, at + len(piece)
-                tail = [*tail, (role, text)][-context:]
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            names = ["conv_id", "turn", "seq", "role", "piece", "begin", "loss_begin", "loss_end", "rewritten"]
+                out.append((conv, turn, state.n - 1, role, piece, begin, lo if mine else None, hi if mine else None, rewritten))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 9, types, strict=True)], names=names)
 
     return dealt.mapInArrow(run, "conv_id long, turn long, seq long, role string, piece string, begin long, loss_begin long, loss_end long, rewritten boolean")
@@ -144,8 +200,8 @@ def parse(formatted: str) -> list[Turn]:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of every conversation from its formatted pieces: n_turns, turns_sha256,
-    loss_chars, loss_sha256, formatted_chars, n_rewritten.
+    """Digests of every conversation from its formatted pieces, for the default template:
+    n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_rewritten.
 
     Streams over the order that :func:`format_turns` left, without another shuffle."""
 
@@ -176,7 +232,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     masked = unescape(piece[lo - begin : hi - begin])
                     state[2] += len(masked)
                     state[3].update(masked.encode())
-                state[4] += len(piece)
+                state[4] = begin + len(piece)
                 state[5] += bool(changed)
             yield batch(out)
         if held is not run:
