@@ -10,14 +10,18 @@ chunks of the text, and a logistic layer gives one probability.
 Convolution by tables: embedding times filter is one table of responses for each
 (offset, byte), so a convolution is WIDTH table rows added up; there is no im2col.
 
-Training is mini-batch Adam with hand-written gradients on the driver, from labelled
-rows outside the held-out fold: at most ``max_rows`` rows (the smallest hashes of
-doc_id) of which training sees at most ``train_bytes`` bytes each, at random places.
-Scoring always reads the whole text.
+Training is mini-batch Adam with hand-written gradients on the driver, from the whole
+texts of labelled rows outside the held-out fold: at most ``max_rows`` rows and
+``max_chars`` characters (:mod:`pagelore.llm._labels`). An epoch shows each text a window
+at a random place of the whole of it, of one to ``WINDOWS[-1]`` times ``train_bytes``, so
+that maxima over few and over many chunks are both learnt. Scoring always reads the
+whole text.
 
 Defined cases: null or empty text is one chunk of padding, so it has a score as well;
 a table without labels of both kinds yields 0.5 for every text; a null doc_id is scored
-(held_out null); other columns are ignored.
+(held_out null); equal texts tie, repeated rows are scored each; an empty table gives no
+rows; very long texts are scored whole; of several labels of a doc_id the largest counts;
+other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,12 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm._common import slices, table
+from pagelore.llm._common import give_back, slices, table
+from pagelore.llm._labels import labelled_sample
 
 CHUNK, STRIDE, WIDTH = 256, 192, 6
 EMBED, FILTERS, HIDDEN = 8, 16, 16
 #: Byte number of padding in the embedding table.
 PAD = 256
+#: Lengths of training windows, in units of ``train_bytes``, and how often each is drawn.
+WINDOWS, WINDOW_SHARES = (1, 2, 4, 16), (0.42, 0.36, 0.2, 0.02)
 
 
 @dataclass
@@ -129,8 +136,9 @@ def _gradients(net: Network, x: np.ndarray, text: np.ndarray, d: np.ndarray, hel
     return [np.einsum("wbf,wef->be", g_tables, net.conv), np.einsum("wbf,be->wef", g_tables, net.embed), g_conv_b, g_hidden, g_hidden_b, g_out, g_out_b]
 
 
-def fit(texts: list[bytes], labels: list[int], epochs: int | None = None, batch: int = 32, train_bytes: int = 1792, rate: float = 4e-3, seed: int = 7) -> Network:
-    """Train on bytes and 0/1 labels; an epoch shows each text a random window of ``train_bytes``."""
+def fit(texts: list[bytes], labels: list[int], epochs: int | None = None, batch: int = 32, train_bytes: int = 896, rate: float = 4e-3, seed: int = 7) -> Network:
+    """Train on bytes and 0/1 labels; an epoch shows each text a random window of a random
+    length, long ones more rarely."""
     net, y = Network.fresh(seed), np.array(labels, np.float32)
     if not len(y) or y.min() == y.max():
         net.trained = False
@@ -146,8 +154,9 @@ def fit(texts: list[bytes], labels: list[int], epochs: int | None = None, batch:
             cut = []
             for i in part:
                 t = texts[i]
-                at = int(r.integers(0, len(t) - train_bytes + 1)) if len(t) > train_bytes else 0
-                cut.append(t[at : at + train_bytes])
+                size = train_bytes * int(r.choice(WINDOWS, p=WINDOW_SHARES))
+                at = int(r.integers(0, len(t) - size + 1)) if len(t) > size else 0
+                cut.append(t[at : at + size])
             data = np.frombuffer(b"".join(cut), np.uint8)
             x, text = chunks(data, np.concatenate([[0], np.cumsum([len(c) for c in cut])]))
             logits, held = forward(net, net.responses(), x, text, len(part))
@@ -183,19 +192,10 @@ def predict(net: Network, data: np.ndarray, offsets: np.ndarray, rows: int = 512
     return 1 / (1 + np.exp(-np.clip(logits.astype(np.float64), -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_bytes: int = 8192, fold: int = 4, held: int = 2) -> Network:
-    """Fit on labelled rows outside the held-out fold.
-
-    The sample is bounded by ``max_rows`` rows and, as training only ever looks at windows
-    of a text, ``max_bytes`` characters of each from its middle."""
-    rows = labels.where("quality is not null").select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y"))
-    rows = rows.where(F.expr(f"pmod(crc32(cast(__id as string)), {fold}) <> {held}")).dropDuplicates(["__id"])
-    rows = rows.orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
-    text = F.coalesce("text", F.lit(""))
-    middle = F.substring(text, F.greatest(F.lit(1), (F.char_length(text) - max_bytes) / 2).cast("int"), F.lit(max_bytes))
-    got = docs.select(F.col("doc_id").alias("__id"), middle.alias("__t")).join(F.broadcast(rows), "__id").select("__t", "__y", F.xxhash64("__id").alias("__o"))
-    sample = sorted(got.collect(), key=lambda r: (r["__o"], r["__t"]))
-    return fit([r["__t"].encode() for r in sample], [r["__y"] for r in sample])
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_chars: int = 30_000_000, fold: int = 4, held: int = 2) -> Network:
+    """Fit on a bounded sample of the labelled rows outside the held-out fold."""
+    texts, ys = labelled_sample(docs, labels, "quality", fold, held, max_rows, max_chars)
+    return fit([t.encode() for t in texts], ys)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
@@ -206,6 +206,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
         for b in batches:
             scores = [predict(shared.value, data, offsets) for _, data, offsets in slices(b.column(1), 1 << 19)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=["doc_id", "score"])
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
