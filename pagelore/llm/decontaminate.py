@@ -10,13 +10,19 @@ reach ``recall``, then find the window. Every candidate (document, item) is veri
 exact shingle containment: the share of the item's distinct 5-word shingles that the
 whole document has must reach 0.8.
 
-Items go to the workers in blocks of at most ``block_items``, one pass over the
-documents a block: what is broadcast has a fixed bound however many items there are.
+Items go to the workers in blocks of at most ``block_items`` items and ``block_chars``
+characters (or one longer item), one pass over the documents a block: what is broadcast
+has a fixed bound however many items there are, and however long.
 
 Defined cases: words are lower-cased (A-Z) and stripped of ASCII punctuation at either
 end; an item of fewer than five words is one shingle of all its words and must occur
-whole; null or empty texts and items match nothing; equal items are each reported; a
-null item_id or doc_id is reported as null; other columns are ignored.
+whole; null or empty texts and items match nothing; equal items and repeated rows are
+each reported, as are all items that tie; a null item_id or doc_id is reported as null;
+empty tables give no rows; very long texts are read whole; other columns are ignored.
+:func:`drop_contaminated` keeps all columns, whatever their names.
+
+Bands are never more than ``MOST_BANDS``, which the shipped threshold and recall don't
+reach; where other values would, it is an error.
 """
 
 from __future__ import annotations
@@ -29,10 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm._common import _STEP, mix, scratch, slices, table
+from pagelore.llm._common import _STEP, give_back, materialize, mix, slices, table
 from pagelore.llm._common import Words as _Words
+from pagelore.llm.exact_dedup import without
 
 SHINGLE, THRESHOLD = 5, 0.8
+MOST_BANDS = 4096
 
 SQL = r"""
 WITH di AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'),
@@ -99,7 +107,7 @@ class Index:
                     self.k.append(k)
                     self.sets.append(np.unique(_grams(h, k)))
         self.partitions: dict[int, list] = {}
-        self.seeds = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        self.seeds = mix(np.arange(1, MOST_BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
         sizes = np.array([len(s) for s in self.sets], int)
         for k in sorted(set(self.k)):
             mine = np.flatnonzero(np.array(self.k) == k)
@@ -113,7 +121,8 @@ class Index:
                 low = int(sizes[part].min())
                 # the item's shingles that are there, against a window of two blocks and the rest of the item
                 similarity = max(1e-3, THRESHOLD * low / (2 * block + (1 - THRESHOLD) * low))
-                n = min(bands(similarity, recall), len(self.seeds))
+                if (n := bands(similarity, recall)) > MOST_BANDS:
+                    raise ValueError("this recall needs more bands than there are")
                 mins = np.array([(self.sets[i][None, :] * self.seeds[:n, None]).min(1) for i in part], np.uint64)
                 keys = []
                 for j in range(n):
@@ -163,12 +172,12 @@ def _cut(first: np.ndarray, n: np.ndarray, block: int) -> tuple[np.ndarray, np.n
     return doc, np.stack([begin, np.minimum(begin + block, first[doc] + n[doc])], 1).ravel(), doc[1:] == doc[:-1]
 
 
-def search(docs: DataFrame, items: DataFrame, recall: float = 0.9999, block_items: int = 20_000) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, recall: float = 0.9999, block_items: int = 20_000, block_chars: int = 16 << 20) -> DataFrame:
     """doc_id, item_id, n_shingles (of the item), n_found: every document and item of ``items``
     (item_id, text) of which the document contains at least 0.8."""
     spark = docs.sparkSession
     out = None
-    for block in _blocks(items, block_items):
+    for block in _blocks(items, block_items, block_chars):
         shared = spark.sparkContext.broadcast(Index(block, recall))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -179,38 +188,31 @@ def search(docs: DataFrame, items: DataFrame, recall: float = 0.9999, block_item
                     w = Words(data, offsets)
                     rows += [(row + d, index.ids[i], n, m) for d, i, n, m in index.search(w.hash, w.first)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *(pa.array([r[c] for r in rows], pa.int64()) for c in (1, 2, 3))], names=["doc_id", "item_id", "n_shingles", "n_found"])
+            give_back()
 
         hits = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_shingles long, n_found long")
         out = hits if out is None else out.union(hits)
     return out if out is not None else spark.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_found long")
 
 
-def _blocks(items: DataFrame, block_items: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(items: DataFrame, block_items: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of bounded size, one block on the driver at a time."""
-    block = []
+    block, chars = [], 0
     for r in items.select(F.col("item_id").cast("long").alias("i"), F.coalesce("text", F.lit("")).alias("t")).toLocalIterator():
-        block.append((r.i, r.t))
-        if len(block) == block_items:
+        if block and (len(block) == block_items or chars + len(r.t) > block_chars):
             yield block
-            block = []
+            block, chars = [], 0
+        block.append((r.i, r.t))
+        chars += len(r.t)
     if block:
         yield block
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that contain an item; rows with a null doc_id are judged by their own text."""
-    from pagelore.llm.exact_dedup import member_filter
-
-    spark = docs.sparkSession
-    path = scratch(spark, "contaminated")
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")  # the text names the row, so repeated and null ids are safe
-    search(keyed, items).select("doc_id").distinct().write.parquet(path)
-    gone = spark.read.parquet(path).select(F.col("doc_id").alias("__pl_gone"))
-    maybe = member_filter(gone, gone.count())
-    marked = docs.withColumn("__pl_key", F.xxhash64("doc_id", "text")).withColumn("__pl_maybe", maybe(F.col("__pl_key")))
-    sure = marked.where("not __pl_maybe").select(*docs.columns)
-    asked = marked.where("__pl_maybe").join(gone, F.col("__pl_key") == F.col("__pl_gone"), "left_anti").select(*docs.columns)
-    return sure.unionByName(asked)
+    key = F.xxhash64("doc_id", "text")  # the text names the row, so repeated and null ids are safe
+    hits = search(docs.select(key.alias("doc_id"), "text"), items).select("doc_id").distinct()
+    return without(docs, key, materialize(hits, "contaminated"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,8 @@ broadcast has ``bits_per_row`` bits a row but never more than ``max_filter_bytes
 
 Defined cases: null text counts as empty; all empty texts (and texts of white space
 only) are one group; of rows equal in text length and doc_id exactly one stays (the
-null doc_id ranks last); no row in, no row out; further columns are kept untouched
-whatever their names, except the reserved prefix ``__pl_``.
+null doc_id ranks last); no row in, no row out; further columns are kept untouched,
+whatever their names; very long texts are hashed whole.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm._common import materialize, table
+from pagelore.llm._common import materialize, named, table, unused
 
 PROBES = 4
 SHARD_BITS = 1 << 20
@@ -134,6 +134,29 @@ def repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, max_fi
     return probe
 
 
+#: Rows of one bigint column that are small enough to broadcast (8 MB).
+BROADCAST_ROWS = 1 << 20
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose ``key`` (bigint) is in ``gone``, a stored table of one
+    bigint column; rows with a null key stay.
+
+    Up to BROADCAST_ROWS keys are broadcast. Beyond, a Bloom filter of them clears most
+    rows, and only the others shuffle for the exact comparison."""
+    n = gone.count()
+    mine, theirs = unused(docs, "pl_key"), unused(docs, "pl_gone")
+    keyed, gone = docs.withColumn(mine, key), gone.toDF(theirs)
+    columns = named(docs.columns)
+    if n <= BROADCAST_ROWS:
+        return keyed.join(F.broadcast(gone), F.col(mine) == F.col(theirs), "left_anti").select(*columns)
+    mark, maybe = unused(docs, "pl_maybe"), member_filter(gone, n)
+    marked = keyed.withColumn(mark, maybe(F.coalesce(mine, F.lit(0))))
+    sure = marked.where(~F.col(mark)).select(*columns)
+    asked = marked.where(mark).join(gone, F.col(mine) == F.col(theirs), "left_anti").select(*columns)
+    return sure.unionByName(asked)
+
+
 def groups(docs: DataFrame, bits_per_row: int = 16, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     text = F.coalesce("text", F.lit(""))
@@ -156,14 +179,16 @@ def drop_copies(docs: DataFrame, bits_per_row: int = 16, max_filter_bytes: int =
 
     Rows that the filter clears never shuffle; of the others, map-side aggregation
     sends at most one row per text and task, so a huge group doesn't meet in one task."""
-    d = docs.withColumn("__pl_sha", text_sha(F.col("text")))
-    h = F.xxhash64(F.unhex("__pl_sha"))
+    sha, mark, row = (unused(docs, c) for c in ("pl_sha", "pl_maybe", "pl_row"))
+    columns = named(docs.columns)
+    d = docs.withColumn(sha, text_sha(F.col("text")))
+    h = F.xxhash64(F.unhex(sha))
     hashes = materialize(d.select(h.alias("h")), "hashes")
     maybe = repeated_filter(hashes, hashes.count(), bits_per_row, max_filter_bytes)
-    d = d.withColumn("__pl_maybe", maybe(h))
-    lone = d.where(~F.col("__pl_maybe")).select(*docs.columns)
+    d = d.withColumn(mark, maybe(h))
+    lone = d.where(~F.col(mark)).select(*columns)
     order = F.struct(-F.char_length(F.coalesce("text", F.lit(""))), F.col("doc_id").isNull(), "doc_id", "text")
-    some = d.where("__pl_maybe").groupBy("__pl_sha").agg(F.min_by(F.struct(*docs.columns), order).alias("__pl_row")).select("__pl_row.*")
+    some = d.where(mark).groupBy(sha).agg(F.min_by(F.struct(*columns), order).alias(row)).select(f"{row}.*")
     return lone.unionByName(some)
 
 

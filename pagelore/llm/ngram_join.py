@@ -27,7 +27,8 @@ Defined cases: null or empty text (or white space only) has the empty set, links
 nothing and is its own component; with fewer than three words the whole sequence is the
 one shingle; of repeated rows and ties the smallest doc_id names the component; a null
 doc_id takes part but never names a component unless it is alone (then null).
-Other columns are ignored, whatever their names. Texts of any length are read whole.
+Other columns are ignored, whatever their names. Texts of any length are read whole. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from pagelore.llm._common import Words, components, drop_scratch, give_back, materialize, mix, odd_sketch, shingle_hashes, signed, slices, table
 from pagelore.llm._links import link_lists
-from pagelore.llm.exact_dedup import member_filter
+from pagelore.llm.exact_dedup import member_filter, without
 
 SHINGLE = 3
 #: Link when PER[0] * intersection >= PER[1] * union.
@@ -201,8 +202,8 @@ def _signatures(light: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(sigs)), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, *(pa.array(q[:, i]) for i in range(SKETCH))],
-                    names=["doc_id", "n", "s1", "s2", "sig", *QS],
+                    [b.column(0).slice(first, len(sizes)), b.column(2).slice(first, len(sizes)), pa.array(sizes, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), lists, *(pa.array(q[:, i]) for i in range(SKETCH))],
+                    names=["doc_id", "text_hash", "n", "s1", "s2", "sig", *QS],
                 )
         give_back()
 
@@ -245,9 +246,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str)
     compresses in a shuffle, hashes don't."""
     pairs = materialize(pairs, f"{name}-pairs")
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-    wanted = materialize(classes.join(wanted, "class").select("class", "doc", "s1", "s2"), f"{name}-wanted")
-    maybe = member_filter(wanted.select(F.xxhash64("doc")), wanted.count())
-    texts = docs.where(maybe(F.xxhash64("doc_id"))).join(wanted, F.col("doc_id").eqNullSafe(F.col("doc"))).select("class", "s1", "s2", "text")
+    wanted = materialize(classes.join(wanted, "class").select("class", "doc", "text_hash", "s1", "s2"), f"{name}-wanted")
+    maybe = member_filter(wanted.select("text_hash"), wanted.count())
+    keyed = docs.withColumn("h", F.xxhash64("text"))
+    texts = keyed.where(maybe("h")).join(wanted, (F.col("h") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("doc"))).select("class", "s1", "s2", "text")
     texts = materialize(texts.mapInArrow(_checked, "class long, text string"), f"{name}-texts")
     one = texts.groupBy("class").agg(F.min("text").alias("text")) if _repeats(texts) else texts
     right = one.select(F.col("class").alias("b"), F.col("text").alias("tb"))
@@ -271,13 +273,13 @@ def _fits(n: str, m: str) -> Column:
 
 def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     light = boundary(size_histogram(docs))
-    sig = docs.mapInArrow(_signatures(light), "doc_id long, n long, s1 long, s2 long, sig array<long>, " + ", ".join(f"{q} long" for q in QS))
+    sig = docs.withColumn("h", F.xxhash64("text")).mapInArrow(_signatures(light), "doc_id long, text_hash long, n long, s1 long, s2 long, sig array<long>, " + ", ".join(f"{q} long" for q in QS))
     sig = materialize(sig.withColumn("row", F.monotonically_increasing_id()), "join-signatures")
 
     key = ["n", "s1", "s2"]
-    classes = materialize(sig.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("m")).select(*key, F.col("m.row").alias("class"), F.col("m.doc_id").alias("doc")), "join-classes")
+    classes = materialize(sig.where("n > 0").groupBy(*key).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "text_hash")).alias("m")).select(*key, F.col("m.row").alias("class"), F.col("m.doc_id").alias("doc"), F.col("m.text_hash").alias("text_hash")), "join-classes")
     heads = sig.join(classes.select("class"), F.col("row") == F.col("class"), "left_semi").withColumn("class", F.col("row"))
     entries = heads.select("class", F.col("n").cast("int"), F.explode("sig").alias("sig"))
     sketches = heads.select("class", *QS)
@@ -294,12 +296,8 @@ def link_components(docs: DataFrame) -> DataFrame:
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose component has a smaller doc_id; rows with a null
     doc_id, or with no text, stay. Rows that share the smallest doc_id all stay."""
-    gone = materialize(link_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__pl_gone")).distinct(), "join-gone")
-    maybe = member_filter(gone.select(F.xxhash64("__pl_gone")), gone.count())
-    marked = docs.withColumn("__pl_maybe", maybe(F.xxhash64("doc_id")))
-    sure = marked.where("not __pl_maybe").select(*docs.columns)
-    asked = marked.where("__pl_maybe").join(gone, F.col("doc_id") == F.col("__pl_gone"), "left_anti").select(*docs.columns)
-    return sure.unionByName(asked)
+    gone = materialize(link_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
+    return without(docs, F.col("doc_id").cast("long"), gone)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

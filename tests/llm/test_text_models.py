@@ -71,7 +71,7 @@ def test_planes(layout):
 def test_file_format():
     docs = [(1, np.arange(10, dtype=np.uint32)), (None, np.zeros(1, np.uint32)), (7, np.full(300, 50256, np.uint32)), (8, np.zeros(0, np.uint32))]
     sink = io.BytesIO()
-    w = token_planes.Writer(sink, block=64)
+    w = token_planes.Writer(sink, block=64, table_docs=2)
     for d, ids in docs:
         w.add(d, ids)
     w.close()
@@ -89,8 +89,7 @@ def test_token_files(spark, sf_dir, duck):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_planes.public_vocabulary())
-    t.encode_special_tokens = True
-    texts = ODD + [r[0] for r in duck.sql("SELECT text FROM documents LIMIT 30").fetchall()]
+    texts = [*ODD, "a <|endoftext|> b", "x<|endoftext|>", "<|endoftext|>  "] + [r[0] for r in duck.sql("SELECT text FROM documents LIMIT 30").fetchall()]
     folder = token_planes.scratch(spark, "t")
     manifest = token_planes.write(frame(spark, texts), folder, block=512, shards=3)
     got = sorted(map(tuple, token_planes.read(spark, folder, manifest).collect()), key=lambda r: (r[0] is not None, r[0]))
@@ -100,8 +99,13 @@ def test_token_files(spark, sf_dir, duck):
         assert (start, n, crc) == (at, len(ids), zlib.crc32(ids.tobytes())) and (d is None) == (at == 0)
         at += n
     assert {r.doc_id: len(r.ids) for r in token_planes.read_ids(spark, folder, manifest).collect()} == {d: n for d, _, n, _ in got}
+    assert token_planes.manifest(folder) == manifest and sorted(map(tuple, token_planes.read(spark, folder).collect()), key=lambda r: (r[0] is not None, r[0])) == got
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_planes.write(none, token_planes.scratch(spark, "e")) == []
+    same_id = spark.createDataFrame([(5, f"text {i % 7}", "x", i) for i in range(40)] + [(6, None, "y", 0)], "doc_id long, text string, `a.b` string, TEXTS long")
+    folder = token_planes.scratch(spark, "r")
+    rows = token_planes.read(spark, folder, token_planes.write(same_id, folder, shards=4)).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == [5] * 40 + [6] and all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:]))
     assert token_planes.read(spark, folder, []).count() == 0
 
 
@@ -132,13 +136,41 @@ def test_chat_round_trip(spark):
 
 
 def test_black_box_templates():
-    def last_only(turns):  # rewrites history: only the last turn is marked
+    for t in TEXTS:
+        piece, dropped, lo, hi = chat_format.locate(chat_format.BRACKETS, [("user", "q")], ("assistant", t))
+        assert not dropped and chat_format.unescape(piece[lo:hi]) == t and chat_format.parse(piece) == [("assistant", t)]
+
+    def last_only(turns):  # only the last turn is marked
         return "".join(f"({t})" for _, t in turns[:-1]) + (f"[{turns[-1][1]}]" if turns else "")
 
-    assert chat_format.locate(last_only, [("u", "a")], ("u", "b"))[1]
-    for t in TEXTS:
-        piece, rewritten, lo, hi = chat_format.locate(chat_format.bracket_template, [("user", "q")], ("assistant", t))
-        assert not rewritten and chat_format.unescape(piece[lo:hi]) == t and chat_format.parse(piece) == [("assistant", t)]
+    def numbered(turns):
+        return "".join(f"<{i}:{role}>{t}" for i, (role, t) in enumerate(turns))
+
+    def first_again(turns):  # the first turn's text stands at the end of all
+        return "".join(f"<{role}>{t}" for role, t in turns) + (f"({turns[0][1]})" if turns else "")
+
+    def counted(turns):
+        return f"{len(turns)} turns:" + "".join(f"<{role}>{t}" for role, t in turns)
+
+    turns = [("user" if i % 2 else "assistant", f"t{i}") for i in range(9)]
+    for render, rewrites in ((numbered, False), (last_only, True), (first_again, True), (counted, True)):
+        conversation, text, marked = chat_format.Conversation(chat_format.Template(render)), "", []
+        for turn in turns:
+            piece, begin, lo, hi, rewritten = conversation.add(turn)
+            text = text[:begin] + piece
+            marked.append(rewritten)
+            if render is not counted and not (render is first_again and conversation.n == 1):  # there the text stands twice
+                assert text[lo:hi] == turn[1]
+        assert text == render(turns) and any(marked) == rewrites
+    for render in (numbered, first_again, counted):  # they need more than they state
+        conversation = chat_format.Conversation(chat_format.Template(render, context=1))
+        with pytest.raises(ValueError):
+            for turn in turns:
+                conversation.add(turn)
+    long = chat_format.Conversation(chat_format.BRACKETS)
+    for i in range(1100):
+        assert not long.add(("user", f"t{i}"))[4]
+    assert long.size == len(chat_format.bracket_template([("user", f"t{i}") for i in range(1100)]))
 
 
 def test_op6_sql(spark, sf_dir, duck):
@@ -152,10 +184,35 @@ def test_extraction_cases():
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header>Site</header><nav><ul><li>Home</ul></nav>
     <div class="cookie-notice">Cookies</div><article><header><h1>Head &amp; line</h1><p>By me</header><p>One <b>two<br>three<p>Four&nbsp;  &lt;five&gt; &am 3 < 4
     <script>var t="</p>";</script><form>Search</form><aside>Side</aside><ul><li>a<li>b</ul><div class="comments"><p>First!</div></article><footer>&copy; x</footer></body></html><p"""
+    assert main_text(page).split("\n") == ["Head & line", "One two three", "Four <five> &am 3 < 4", "a", "b"]
+    assert html_extract.parse("") == [] and html_extract.parse("<p") == [] and html_extract.parse("<!-- open") == []
+
+
+def main_text(page):
     blocks = html_extract.parse(page)
     level = html_extract.main_level(blocks)
-    assert [t for k, hide, t in blocks if k == level and not hide] == ["Head & line", "One two three", "Four <five> &am 3 < 4", "a", "b"]
-    assert html_extract.parse("") == [] and html_extract.parse("<p") == [] and html_extract.parse("<!-- open") == []
+    return "\n".join(t for k, hide, t in blocks if k >= level and not hide)
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    ('<p>One <svg class="i"/> two</p><p>three</p>', "One two\nthree"),
+    ("<p>One <noscript>two</p><p>three</p>", "One two\nthree"),
+    ("<p>One</p><script>var x = 1 <p>two</p>", "One\ntwo"),
+    ("<p>if a </ b then c</p>", "if a </ b then c"),
+    ('<p title="a > b">x</p><p title=\'c > d\'>y</p>', "x\ny"),
+    ('<p title="never closed>x</p>', "x"),
+    ("<p don't>it's</p>", "it's"),
+    ('<div class="content-sidebar-wrap"><main><p>kept</p></main><div class="sidebar">gone</div></div>', "kept"),
+    ('<div class="my-sidebar"><main><p>kept</p></main></div>', "kept"),
+    ('<article><p class="share-price">12.5</p><p class="share-buttons">Share</p><div class="ad">Buy</div></article>', "12.5"),
+    ("<main>lead<article>card</article></main>", "lead\ncard"),
+    ('<div class="comments"><article><p>only this</p></article></div>', "only this"),
+    ('<article><p>text</p></article><div class="comments"><article><p>reader</p></article></div>', "text"),
+    ('<article class="comment-free post"><p>text</p></article>', "text"),
+    ('<article><p>a</p><div class="post-comments"><p>reader</p></div><div class="sponsored-content">ad</div></article>', "a"),
+])
+def test_markup(page, text):
+    assert main_text(page) == text
 
 
 def test_suffix_runs_equal_brute_force():
@@ -254,18 +311,50 @@ def test_quality_learns_and_covers_the_end(spark):
     assert not quality.fit([b"a"], [1]).trained and quality.predict(quality.fit([], []), np.zeros(0, np.uint8), np.array([0, 0])).tolist() == [0.5]
 
 
+def brute_evidence(text, words, stems):
+    """Clauses read by plain rules instead of the machine."""
+    import re
+
+    T, total = toxicity, 0.0
+    for clause in re.split(r"[.!?;\n]+", text.lower()):
+        w = re.findall(r"[\w'’]+", clause)
+        weight = {i: words.get(x) or next((stems[x[:n]] for n in range(8, 3, -1) if x[:n] in stems and len(x) >= n), None) for i, x in enumerate(w)}
+        insults = [i for i in weight if weight[i]]
+        cue = lambda names: [i for i, x in enumerate(w) if x in names and i not in insults]  # noqa: B023, E731
+        harms, objects = cue(T.THREATS), cue(T.OBJECTS)
+        denied = any(n < min(insults + harms, default=-1) for n in cue(T.NEGATIONS))
+        by = (T.NEGATED if denied else 1) * (T.REPORTED if cue(T.REPORTS) else 1)
+        total += by * sum(weight[i] for i in insults) * (T.AIMED if objects or cue(T.SUBJECTS) else 1)
+        total += by * (T.THREAT_WEIGHT * (1 if cue(T.INTENTS) else T.WITHOUT_INTENT) if harms and objects else 0)
+    return total
+
+
 def test_toxicity_grammar(spark):
     T = toxicity
-    assert T.MACHINE[0][T.TARGET] == 1 and T.MACHINE[1][T.NEGATION] == 3 and T.MACHINE[3][T.INSULT] == 1 and T.MACHINE[0][T.REPORT] == 4
-    g = T.Grammar({"idiot": 2.0}, {"lowei": 1.0}, constant=False)
-    channel = lambda t: {int(i): float(v) for i, v in enumerate(T.channels(t, g, {})) if v} if T.channels(t, g, {}) is not None else None
-    assert channel("You idiot.") == {1: 2.0} and channel("Not an idiot") == {2: 2.0} and channel("he said: idiot") == {0: 2.0} and channel("they said an idiot") == {5: 2.0}
-    assert channel("loweischaft and loweient") == {0: 2.0} and channel("you. idiot") == {0: 2.0} and channel("nothing here") is None and channel("kill") == {8: 1.0}
-    r = random.Random(6)
+    g = T.Grammar({"idiot": 2.0}, {"lowei": 1.0}, slope=2.0, length=0.5, bias=-3.0, constant=False)
+    count = lambda t: T.evidence(t, g, {})[0]
+    assert [count(t) for t in ("An idiot.", "You idiot", "idiot, you", "nothing", "to kill time", "time will kill", "you. idiot", "loweischaft and loweient")] == [2, 3, 3, 0, 0, 0, 2, 2]
+    assert count("I will kill you") == T.THREAT_WEIGHT and count("kill him") == T.THREAT_WEIGHT * T.WITHOUT_INTENT
+    assert count("Not an idiot") == pytest.approx(2 * T.NEGATED) and count("an idiot, not") == 2 and count("they said an idiot") == 3 * T.REPORTED
+    r = random.Random(8)
+    every = ["idiot", "loweix", "x", "yy", ".", "\n", *T.THREATS[:2], *T.OBJECTS[:2], *T.SUBJECTS[:2], *T.INTENTS[:2], *T.NEGATIONS[:2], *T.REPORTS[:2]]
+    for _ in range(3000):
+        text = " ".join(r.choices(every, k=r.randrange(14)))
+        e = brute_evidence(text, g.words, g.stems)
+        assert T.evidence(text, g, {})[0] == pytest.approx(e)
+        ends = len([x for x in __import__("re").findall(r"[.!?;\n]+", text)])
+        assert T.text_score(text, g, {}) == pytest.approx(1 / (1 + np.exp(3 - 2 * np.log1p(e) + 0.5 * np.log1p(ends))))
+
+
+def test_toxicity_learns(spark):
+    T, r = toxicity, random.Random(6)
     plain = lambda: " ".join(r.choices([f"w{i}" for i in range(300)], k=30))
     texts = [plain() + (" idiot lowei" + r.choice("abcdefghi") + r.choice("xyz") if i % 4 == 0 else "") for i in range(400)]
     g = T.fit(texts, [int(i % 4 == 0) for i in range(400)])
-    assert "idiot" in g.words or "idiot"[:5] in g.stems
+    assert g.symbol("idiot")[0] == T.INSULT and g.slope > 0 and g.length >= 0
+    score = lambda t: T.text_score(t, g, {})
+    assert score("You are an idiot.") > score("An idiot.") > score("He said an idiot.") > score("Not an idiot.") > score("")
+    assert score("I will kill you") > 0.5 > score("to kill time")
     rows = [plain() + " idiot", plain(), "", None, "IDIOT!", plain() * 500 + " idiot"]
     got = {x.doc_id: x.score for x in T.score(frame(spark, rows), g).collect()}
     assert got[0] > 0.5 > got[1] and got[2] == got[3] < 0.5 and got[4] > 0.5 and got[5] > 0.5
@@ -273,6 +362,37 @@ def test_toxicity_grammar(spark):
     assert T.score(spark.createDataFrame([], "doc_id long, text string"), g).count() == 0
 
 
+def test_sample(spark):
+    from pagelore.llm._labels import labelled_sample
+
+    docs = spark.createDataFrame([(i % 50, f"text {i}") for i in range(200)] + [(60, "x" * 500), (None, "no id"), (61, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(62)] + [(1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    texts, ys = labelled_sample(docs, labels, "toxic", 5, 9, 1000, 20_000)
+    assert len(texts) == 201 and "x" * 500 not in texts and texts.count("") == 1
+    assert sum(ys) == 101 and labelled_sample(docs, labels, "toxic", 5, 9, 1000, 20_000) == (texts, ys)
+    assert len(labelled_sample(docs, labels, "toxic", 5, 9, 10, 20_000)[0]) == 10  # rows, not labels
+    assert sum(map(len, labelled_sample(docs, labels, "toxic", 5, 9, 1000, 900)[0])) <= 900
+    with pytest.raises(ValueError):
+        labelled_sample(docs, labels, "toxic", 5, 9, 1, 20_000)
+    assert labelled_sample(docs.limit(0), labels.limit(0), "toxic", 5, 0, 10, 100) == ([], [])
+
+
+def test_quality_score_by_a_plain_loop():
+    """One text's score from the definition, filter by filter."""
+    Q, net = quality, quality.Network.fresh(3)
+    for text in (b"", b"short", bytes(range(32, 127)) * 9):
+        padded = list(text) + [Q.PAD] * Q.CHUNK
+        features = []
+        for k in range(max(1, 1 + -(-(len(text) - Q.CHUNK) // Q.STRIDE))):
+            part = [b if k * Q.STRIDE + i < len(text) else Q.PAD for i, b in enumerate(padded[k * Q.STRIDE : k * Q.STRIDE + Q.CHUNK])]
+            z = [[max(0.0, sum(float(net.embed[part[i + w]] @ net.conv[w][:, f]) for w in range(Q.WIDTH)) + float(net.conv_b[f])) for f in range(Q.FILTERS)] for i in range(Q.CHUNK - Q.WIDTH + 1)]
+            pooled = [max(c) for c in zip(*z)] + [sum(c) / len(z) for c in zip(*z)]
+            features.append(np.maximum(np.array(pooled) @ net.hidden + net.hidden_b, 0))
+        both = np.concatenate([np.max(features, 0), np.mean(features, 0)])
+        want = 1 / (1 + np.exp(-(both @ net.out + net.out_b[0])))
+        assert Q.predict(net, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0] == pytest.approx(float(want), abs=1e-5)
+
+
 def test_labels_of_the_held_out_fold_are_never_read(spark):
     rows = [(i, f"text {i} {'idiot' if i % 2 else 'fine'}", i % 2, i % 2) for i in range(400)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
@@ -282,6 +402,6 @@ def test_labels_of_the_held_out_fold_are_never_read(spark):
         flipped = labels.withColumn(column, F.when(secret, 1 - F.col(column)).otherwise(F.col(column)))
         a, b = module.train(docs, labels), module.train(docs, flipped)
         if module is toxicity:
-            assert a.words == b.words and np.allclose(a.weights, b.weights)
+            assert (a.words, a.stems, a.slope, a.length, a.bias) == (b.words, b.stems, b.slope, b.length, b.bias)
         else:
             assert all(np.allclose(x, y) for x, y in zip(a.parameters(), b.parameters(), strict=True))
