@@ -77,14 +77,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows of an Arrow batch: documents are large, and a batch is held by Spark and by Python.
-BATCH_ROWS, _BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of an Arrow batch: documents are large, and a batch is held by Spark and by Python.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batches to BATCH_ROWS where they are at Spark's default."""
-    if spark.conf.get(_BATCH_KEY) == "10000":
-        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    """Lower the session's Arrow batches to BATCH where they are at Spark's defaults. This stays
+    in the session: plans are run after they are made."""
+    for key, (default, bound) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, bound)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
