@@ -63,7 +63,9 @@ class Dialect:
         return f"{x} IN (" + ", ".join(self.lit(t) for t in terms) + ")"
 
     def id4(self, prefix: str, n: str) -> str:
-        return f"concat({self.lit(prefix)}, lpad(CAST({n} AS STRING), 4, '0'))"
+        """``n`` with four digits at least, behind a prefix."""
+        s = f"CAST({n} AS STRING)"
+        return f"concat({self.lit(prefix)}, lpad({s}, CAST(greatest(4, length({s})) AS INT), '0'))"
 
 
 class Spark(Dialect):
@@ -154,6 +156,9 @@ class Spark(Dialect):
     def append(self, array: str, x: str) -> str:
         return f"array_append({array}, {x})"
 
+    def struct(self, *items: str) -> str:
+        return f"struct({', '.join(items)})"
+
     def json(self, x: str, key: str) -> str:
         return f"get_json_object({x}, {self.lit('$.' + key)})"
 
@@ -251,6 +256,9 @@ class Duck(Dialect):
     def append(self, array: str, x: str) -> str:
         return f"list_append({array}, {x})"
 
+    def struct(self, *items: str) -> str:
+        return f"row({', '.join(items)})"
+
     def json(self, x: str, key: str) -> str:
         return f"json_extract_string({x}, {self.lit('$.' + key)})"
 

@@ -94,7 +94,8 @@ def _epigraphs(d: Dialect) -> str:
 
 
 def _running_headers(d: Dialect) -> str:
-    title = f"SELECT doc_id, {d.ws_norm('lower(min_by(text, page_number * 100000 + ord))')} AS title FROM {d.t('elements')} WHERE role = 'DocumentTitle' GROUP BY doc_id"
+    first = f"lower(min_by(text, {d.struct('page_number', 'ord')}))"
+    title = f"SELECT doc_id, {d.ws_norm(first)} AS title FROM {d.t('elements')} WHERE role = 'DocumentTitle' GROUP BY doc_id"
     return f"""SELECT doc_id, page_number, ord, CASE WHEN role = 'DocumentTitle' AND nth = 1 AND page_number = 1 THEN 'title' WHEN running AND (role = 'DocumentTitle' OR t < 180) THEN 'artifact' WHEN role = 'DocumentTitle' THEN 'H1' ELSE role END AS outcome FROM (
       SELECT e.doc_id, e.page_number, e.ord, e.role, e.t, row_number() OVER (PARTITION BY e.doc_id, e.role, e.page_number ORDER BY e.ord) AS nth,
              e.page_number > 1 AND coalesce(h.title, '') <> '' AND contains({d.ws_norm('lower(e.text)')}, h.title) AS running
@@ -124,13 +125,14 @@ def _geometry(d: Dialect) -> str:
     src = f"(SELECT doc_id, page_number, ord, l, t * (1 + page_id % 2) AS t, r, b * (1 + page_id % 2) AS b FROM {d.t('elements')})"
     clamp = lambda x: f"greatest(CAST(0 AS DOUBLE), least(CAST(1000 AS DOUBLE), {x}))"
     y = lambda v: clamp(f"CASE WHEN points THEN {v} / 1200 * 1000 ELSE {v} END")
-    return f"""SELECT doc_id, page_number, ord, points, least({y('t')}, {y('b')}) AS top_1000, greatest({y('t')}, {y('b')}) AS bottom_1000 FROM (
+    x = lambda v: clamp(f"CASE WHEN points THEN {v} / 1000 * 1000 ELSE {v} END")
+    return f"""SELECT doc_id, page_number, ord, points, round(least({x('l')}, {x('r')}), 3) AS left_1000, round(least({y('t')}, {y('b')}), 3) AS top_1000, round(greatest({x('l')}, {x('r')}), 3) AS right_1000, round(greatest({y('t')}, {y('b')}), 3) AS bottom_1000 FROM (
       SELECT *, max(greatest(l, t, r, b)) OVER (PARTITION BY doc_id, page_number) <= 1200 * 1.05 AS points FROM {src} s) x"""
 
 
 def _words(d: Dialect) -> str:
-    """Words of the first heading and paragraphs, dealt evenly over their element's band."""
-    words = d.explode(f"(SELECT doc_id, page_number, ord, t, b, {d.split('text', ' ')} AS w FROM {d.t('elements')} WHERE role IN ('H1', 'LI'))", "w", "word_ord", "word")
+    """Words of every element, dealt evenly over its band."""
+    words = d.explode(f"(SELECT doc_id, page_number, ord, t, b, {d.split('text', ' ')} AS w FROM {d.t('elements')})", "w", "word_ord", "word")
     return f"(SELECT doc_id, page_number, ord AS own_ord, word_ord, word, 1000.0 * (word_ord - 1) / {d.size('w')} AS l, t, 1000.0 * word_ord / {d.size('w')} AS r, b FROM {words} x WHERE word <> '')"
 
 
@@ -158,7 +160,7 @@ def _corridor(d: Dialect) -> str:
 
 
 def _consensus(d: Dialect) -> str:
-    moved = f"(SELECT doc_id, page_number, CAST((page_id * 7 + ord * 3) % 45 AS DOUBLE) AS dx, CAST((page_id + ord * 5) % 9 AS DOUBLE) AS dy FROM {d.t('elements')} WHERE (page_id + ord) % 4 = 0)"
+    moved = f"(SELECT doc_id, page_number, CAST((page_id * 7 + ord * 3) % 45 AS DOUBLE) AS dx, CAST((page_id + ord * 5) % 9 AS DOUBLE) AS dy FROM {d.t('elements')})"
     return f"""SELECT doc_id, page_number, count(*) AS n_moved, median(dx) AS shift_x, median(dy) AS shift_y FROM {moved} x WHERE abs(dx) > 1 OR abs(dy) > 1
       GROUP BY doc_id, page_number HAVING count(*) >= 2 AND max(dx) - min(dx) <= 40 AND max(dy) - min(dy) <= 40"""
 
@@ -171,9 +173,10 @@ def _fill(d: Dialect) -> str:
 
 
 def _logical(d: Dialect) -> str:
-    """Lines end after a line with a full stop at its end."""
-    return f"""SELECT doc_id, line_no, min(ord) AS first_ord, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM (
-      SELECT doc_id, ord, text, coalesce(sum(CASE WHEN text LIKE '%.' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_no FROM {d.t('lines')}) x GROUP BY doc_id, line_no"""
+    """Logical lines of a document's chunks (words with the white space behind them): one ends after a chunk with a line break."""
+    chunks = d.explode(f"(SELECT doc_id, {d.extract_all(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', rf'[^{WS}]+[{WS}]*')} AS p FROM {d.t('documents')}) s", "p", "nth", "chunk")
+    return f"""SELECT doc_id, line_no, min(nth) AS first_chunk, count(*) AS n_chunks, CAST(sum(length(chunk)) AS BIGINT) AS n_chars FROM (
+      SELECT doc_id, nth, chunk, coalesce(sum(CASE WHEN {d.match('chunk', '[\\r\\n]')} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_no FROM {chunks} c) x GROUP BY doc_id, line_no"""
 
 
 def _outline(d: Dialect) -> str:
@@ -181,9 +184,9 @@ def _outline(d: Dialect) -> str:
 
 
 def _component_pairs(d: Dialect) -> str:
-    """Paragraph boxes of a page within 12 of each other, both ways."""
+    """Paragraph boxes of a page within 12 of each other, each pair once."""
     p = f"(SELECT doc_id, page_number, ord, l, t, r, b FROM {d.t('elements')} WHERE role = 'P')"
-    return f"SELECT x.doc_id, x.page_number, x.ord AS a, y.ord AS z FROM {p} x JOIN {p} y ON x.doc_id = y.doc_id AND x.page_number = y.page_number AND greatest(0.0, greatest(x.t, y.t) - least(x.b, y.b)) <= 12 AND greatest(0.0, greatest(x.l, y.l) - least(x.r, y.r)) <= 12"
+    return f"SELECT x.doc_id, x.page_number, x.ord AS a, y.ord AS z FROM {p} x JOIN {p} y ON x.doc_id = y.doc_id AND x.page_number = y.page_number AND x.ord < y.ord AND greatest(0.0, greatest(x.t, y.t) - least(x.b, y.b)) <= 12 AND greatest(0.0, greatest(x.l, y.l) - least(x.r, y.r)) <= 12"
 
 
 def _source_choice(d: Dialect) -> str:
@@ -210,6 +213,6 @@ QUERIES = {
     "geometry_source_choice": (("elements",), _source_choice),
     "fragment_proximity": (("elements",), _component_pairs),
     "placement_fill": (("events",), _fill),
-    "logical_lines": (("lines",), _logical),
+    "logical_lines": (("documents",), _logical),
     "outline": (("elements",), _outline),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pagelore.functions.dialect import WS, Dialect
 from pagelore.operators.layout import keyed
 from pagelore.operators.text_rules import fingerprint, spoken_dates, without_markers
+from pagelore.sources.derived import EXPECTED
 
 # Encodings that map to Unicode, and glyph advances of the stand-in font (per mille of its size).
 MAPPED_ENCODINGS = ("WinAnsiEncoding", "MacRomanEncoding", "MacExpertEncoding")
@@ -13,21 +14,15 @@ FALLBACK_ADVANCE = 600
 LEAST_SPACE = 0.25
 
 
-_SOURCE_COLUMNS = "id BIGINT, c1 STRING, c2 STRING, c3 STRING, c4 STRING, created STRING, xmp_created STRING"
-_SOURCES = [
-    (1, "Writer ", "PDF lib", "Writer", " PDF lib", "D:20060915103000+00'00'", None), (2, None, "  ", "Tool", "Tool", None, None), (3, "A", "B", "C", "D", "yesterday", "2001-01-01"), (4, "", None, None, None, "D:19991231235959", ""),
-]
-
-
 def _metadata(d: Dialect) -> str:
     """Encoders in first-seen order without repeats, and creation date from either field."""
-    src = d.rows("c", _SOURCE_COLUMNS, _SOURCES)
+    src = d.t("sources")
     long = " UNION ALL ".join(f"SELECT id, {i} AS pos, trim(c{i}) AS encoder FROM {src}" for i in range(1, 5))
     first = f"SELECT id, encoder, min(pos) AS pos FROM ({long}) l WHERE coalesce(encoder, '') <> '' GROUP BY id, encoder"
     stamp = d.extract("coalesce(created, '')", r"\AD:([0-9]{14})", 1)
     part = lambda a, n: f"substring({stamp}, {a}, {n})"
     iso = f"CASE WHEN {stamp} <> '' THEN concat({part(1, 4)}, '-', {part(5, 2)}, '-', {part(7, 2)}, 'T', {part(9, 2)}, ':', {part(11, 2)}, ':', {part(13, 2)}) END"
-    return f"SELECT s.id, e.encoders, coalesce(nullif(trim(s.xmp_created), ''), {iso}) AS creation_date FROM {d.rows('s', _SOURCE_COLUMNS, _SOURCES)} LEFT JOIN (SELECT id, {d.agg_join('encoder', '; ', 'pos')} AS encoders FROM ({first}) f GROUP BY id) e ON e.id = s.id"
+    return f"SELECT s.id, e.encoders, coalesce(nullif(trim(s.xmp_created), ''), {iso}) AS creation_date FROM {src} s LEFT JOIN (SELECT id, {d.agg_join('encoder', '; ', 'pos')} AS encoders FROM ({first}) f GROUP BY id) e ON e.id = s.id"
 
 
 def _fonts(d: Dialect) -> str:
@@ -47,7 +42,7 @@ def _blank(d: Dialect) -> str:
 def _direct(d: Dialect) -> str:
     """Text that a font with Latin letters can show: white space as a space, the rest as ?."""
     shown = d.replace(d.replace("text", rf"[{WS}]", " "), r"[^\x20-\x7e\x{c0}-\x{ff}]", "?")
-    return f"SELECT doc_id, {d.sha(shown)} AS direct_sha, {d.count(shown, '[?]')} AS replaced FROM {d.t('documents')} WHERE text IS NOT NULL"
+    return f"SELECT doc_id, {d.sha(shown)} AS direct_sha, {d.count(shown, '[?]')} AS replaced FROM (SELECT doc_id, coalesce(text, '') AS text FROM {d.t('documents')}) x"
 
 
 def metrics(d: Dialect, text: str, width: str, height: str) -> tuple[str, str, str]:
@@ -73,7 +68,7 @@ def _unions(d: Dialect) -> str:
 
 def _shares(d: Dialect) -> str:
     """Words of an element dealt over three source words: each takes an equal part of its source's box."""
-    words = f"(SELECT doc_id, page_number, ord, l, r, {d.size(d.keep(d.split('text', ' '), 'w', chr(119) + ' <> ' + chr(39) * 2))} AS m FROM {d.t('elements')} WHERE role = 'LI' OR role = 'H1')"
+    words = f"(SELECT doc_id, page_number, ord, l, r, {d.size(d.keep(d.split('text', ' '), 'w', chr(119) + ' <> ' + chr(39) * 2))} AS m FROM {d.t('elements')} )"
     slots = d.seq(f"{words} q", "0", "m - 1", "i")
     own = d.idiv("i * 3", "m")
     return f"""SELECT doc_id, page_number, ord, i, source, l + (r - l) / 3 * (source + CAST(place AS DOUBLE) / places) AS x0, l + (r - l) / 3 * (source + CAST(place + 1 AS DOUBLE) / places) AS x1 FROM (
@@ -82,7 +77,7 @@ def _shares(d: Dialect) -> str:
 
 def _grid_bounds(d: Dialect) -> str:
     """Left and right of every column of an order's grid, from cells that span one or two columns; proportional where none."""
-    cells = f"(SELECT l_orderkey AS table_id, CAST(l_linenumber - 1 AS BIGINT) AS c0, l_partkey % 2 + 1 AS span, CAST((l_linenumber - 1) * 100 AS DOUBLE) AS x0, CAST((l_linenumber - 1) * 100 + (l_partkey % 2 + 1) * 90 AS DOUBLE) AS x1 FROM {d.t('lineitem')} WHERE l_suppkey % 3 <> 0)"
+    cells = f"(SELECT l_orderkey AS table_id, CAST(l_linenumber - 1 AS BIGINT) AS c0, l_partkey % 2 + 1 AS span, CAST((l_linenumber - 1) * 100 AS DOUBLE) AS x0, CAST((l_linenumber - 1) * 100 + (l_partkey % 2 + 1) * 90 AS DOUBLE) AS x1 FROM {d.t('lineitem')})"
     size = f"(SELECT table_id, max(c0 + span) AS n_cols, min(x0) AS lo, max(x1) AS hi FROM {cells} c GROUP BY table_id)"
     slots = d.seq(f"{size} q", "0", "n_cols - 1", "col_no")
     return f"""SELECT s.table_id, s.col_no, coalesce(min(c.x0 + (c.x1 - c.x0) / c.span * (s.col_no - c.c0)), min(s.lo + (s.hi - s.lo) * s.col_no / s.n_cols)) AS x0,
@@ -98,17 +93,13 @@ def _span_placeholders(d: Dialect) -> str:
     return f"SELECT DISTINCT s.table_id, s.low_row, s.col_no FROM {covered} s {anti} {cells} c ON c.table_id = s.table_id AND c.row_no = s.low_row AND c.col_no = s.col_no"
 
 
-_PLANNED = [(1, 0, "Full name"), (1, 1, "Phone"), (2, 0, "City"), (3, 0, "Left over")]
-_ACTUAL = [(1, 0, "Full name", "Full name"), (1, 1, "Fax", "Phone"), (2, 0, "City", "Town"), (2, 1, "Zip", "Zip")]
-
-
 def _descriptions(d: Dialect) -> str:
     """Planned and actual widget names by page and index; a page that doesn't match in number is one error (index -1)."""
-    p, a = d.rows("p", "page BIGINT, idx BIGINT, description STRING", _PLANNED), d.rows("a", "page BIGINT, idx BIGINT, tooltip STRING, label STRING", _ACTUAL)
-    both = f"(SELECT coalesce(p.page, a.page) AS page, coalesce(p.idx, a.idx) AS idx, description, tooltip, label, p.idx IS NULL OR a.idx IS NULL AS odd FROM {p} FULL OUTER JOIN {a} ON p.page = a.page AND p.idx = a.idx)"
-    flagged = f"(SELECT *, bool_or(odd) OVER (PARTITION BY page) AS incomplete FROM {both} b)"
-    return f"""SELECT DISTINCT page, CAST(-1 AS BIGINT) AS idx, 'incomplete' AS error FROM {flagged} f WHERE incomplete
-      UNION ALL SELECT page, idx, 'name_differs' AS error FROM {flagged} f WHERE NOT incomplete AND tooltip <> description UNION ALL SELECT page, idx, 'label_differs' AS error FROM {flagged} f WHERE NOT incomplete AND label <> description"""
+    p, a = f"(SELECT doc_id, page, idx, description FROM {d.t('widgets')} WHERE description IS NOT NULL)", f"(SELECT doc_id, page, idx, tooltip, label FROM {d.t('widgets')})"
+    both = f"(SELECT coalesce(p.doc_id, a.doc_id) AS doc_id, coalesce(p.page, a.page) AS page, coalesce(p.idx, a.idx) AS idx, description, tooltip, label, p.idx IS NULL OR a.idx IS NULL AS odd FROM {p} p FULL OUTER JOIN {a} a ON p.doc_id = a.doc_id AND p.page = a.page AND p.idx = a.idx)"
+    flagged = f"(SELECT *, bool_or(odd) OVER (PARTITION BY doc_id, page) AS incomplete FROM {both} b)"
+    return f"""SELECT DISTINCT doc_id, page, CAST(-1 AS BIGINT) AS idx, 'incomplete' AS error FROM {flagged} f WHERE incomplete
+      UNION ALL SELECT doc_id, page, idx, 'name_differs' AS error FROM {flagged} f WHERE NOT incomplete AND tooltip <> description UNION ALL SELECT doc_id, page, idx, 'label_differs' AS error FROM {flagged} f WHERE NOT incomplete AND label <> description"""
 
 
 def _field_agreement(d: Dialect) -> str:
@@ -120,14 +111,7 @@ def _form_preserved(d: Dialect) -> str:
     """Rows of the customer table that a copy with some balances changed doesn't have, and the reverse."""
     src = f"SELECT c_custkey, c_name, c_acctbal FROM {d.t('customer')}"
     out = f"SELECT c_custkey, c_name, CASE WHEN c_custkey % 50 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS c_acctbal FROM {d.t('customer')}"
-    return f"SELECT c_custkey, 'lost' AS what FROM (({src}) EXCEPT ({out})) l UNION ALL SELECT c_custkey, 'new' AS what FROM (({out}) EXCEPT ({src})) n"
-
-
-def _fallback(d: Dialect) -> str:
-    """Words of a page by recognition, or its own where there are none."""
-    ocr = f"(SELECT doc_id, page_number, count(*) AS n FROM {d.t('elements')} WHERE role = 'LI' AND page_number % 2 = 0 GROUP BY doc_id, page_number)"
-    own = f"(SELECT doc_id, page_number, count(*) AS n FROM {d.t('elements')} GROUP BY doc_id, page_number)"
-    return f"SELECT o.doc_id, o.page_number, coalesce(q.n, o.n) AS n_words, q.n IS NULL AS fell_back FROM {own} o LEFT JOIN {ocr} q ON q.doc_id = o.doc_id AND q.page_number = o.page_number"
+    return f"SELECT c_custkey, 'lost' AS what FROM (({src}) EXCEPT ALL ({out})) l UNION ALL SELECT c_custkey, 'new' AS what FROM (({out}) EXCEPT ALL ({src})) n"
 
 
 def _coverage(d: Dialect) -> str:
@@ -145,36 +129,35 @@ def _best_font(d: Dialect) -> str:
 
 
 def _demotion(d: Dialect) -> str:
-    """Cells of a page whose table is incomplete become paragraphs; empty ones go."""
-    cells = d.rows("c", "page BIGINT, ord BIGINT, role STRING, text STRING, table_id STRING, row_no BIGINT", [(1, 1, "TH", "Printed Names", None, None), (1, 2, "TD", " ", "t", 0), (1, 3, "P", "x", None, None), (2, 1, "TH", "ok", "t", 0), (2, 2, "TD", "", "t", 1)])
-    bad = "(role IN ('TH', 'TD') AND (table_id IS NULL OR row_no IS NULL))"
-    x = f"(SELECT *, bool_or({bad}) OVER (PARTITION BY page) AS broken FROM {cells})"
-    return f"SELECT page, ord, CASE WHEN broken AND role IN ('TH', 'TD') THEN 'P' ELSE role END AS role, text, CASE WHEN broken THEN NULL ELSE table_id END AS table_id FROM {x} q WHERE NOT (broken AND role IN ('TH', 'TD') AND {d.strip('text')} = '')"
+    """Cells of a page whose table is incomplete become paragraphs, with a finding; empty ones go."""
+    bad = "(role IN ('TH', 'TD') AND (table_id IS NULL OR row_no IS NULL OR col_no IS NULL))"
+    x = f"(SELECT *, bool_or({bad}) OVER (PARTITION BY page) AS broken FROM {d.t('cells')})"
+    return f"SELECT page, ord, CASE WHEN broken AND role IN ('TH', 'TD') THEN 'P' ELSE role END AS role, accessible, CASE WHEN broken THEN NULL ELSE table_id END AS table_id, CASE WHEN broken AND role IN ('TH', 'TD') THEN 'warning' END AS finding FROM {x} q WHERE NOT (broken AND role IN ('TH', 'TD') AND {d.strip('accessible')} = '')"
 
 
 def _legacy(d: Dialect) -> str:
-    """Old elements: one text for both, one confidence for all, an ambiguity as a warning."""
-    rows = [(1, '{"text": "Old", "confidence": 0.75, "ambiguity": "unsure"}'), (2, '{"visible_text": "New", "accessible_text": "new", "confidence": 0.5}'), (3, '{"text": "Both", "visible_text": "Seen"}')]
-    src = d.rows("c", "id BIGINT, e STRING", rows)
+    """Old elements: one text for both, one confidence for all four, an ambiguity as a warning."""
     j = lambda k: d.json("e", k)
-    return f"SELECT id, coalesce({j('visible_text')}, {j('text')}) AS visible_text, coalesce({j('accessible_text')}, {j('text')}) AS accessible_text, coalesce(CAST({j('confidence')} AS DOUBLE), CAST(1 AS DOUBLE)) AS transcription, CASE WHEN {j('ambiguity')} IS NOT NULL THEN 'legacy_ambiguity' END AS category, {j('ambiguity')} AS message FROM {src}"
+    conf = f"coalesce(CAST({j('confidence')} AS DOUBLE), CAST(1 AS DOUBLE))"
+    return f"""SELECT id, coalesce({j('visible_text')}, {j('text')}) AS visible_text, coalesce({j('accessible_text')}, {j('text')}) AS accessible_text, {conf} AS transcription, {conf} AS semantic_role, {conf} AS geometry, {conf} AS reading_order,
+      CASE WHEN {j('ambiguity')} IS NOT NULL THEN 'legacy_ambiguity' END AS category, {j('ambiguity')} AS message FROM {d.t('old_elements')}"""
 
 
 def _extraction_gate(d: Dialect) -> str:
     """Is extracted text compatible: return code, agreement and ratio of token counts; empty text agrees with empty."""
-    rows = [(1, 0, 0.995, 100, 101), (2, 0, 0.98, 100, 100), (3, 0, 0.999, 100, 97), (4, 1, 1.0, 10, 10), (5, 0, None, 0, 0), (6, 0, None, 0, 3)]
-    src = d.rows("c", "id BIGINT, rc BIGINT, ratio DOUBLE, expected BIGINT, actual BIGINT", rows)
-    agree = "CASE WHEN expected > 0 THEN ratio WHEN actual = 0 THEN 1.0 ELSE 0.0 END"
-    count = "CASE WHEN expected > 0 THEN CAST(actual AS DOUBLE) / nullif(expected, 0) WHEN actual = 0 THEN 1.0 ELSE 999.0 END"
-    return f"SELECT id, rc = 0 AND {agree} >= 0.99 AND {count} BETWEEN 0.98 AND 1.02 AS compatible FROM {src}"
+    agree = "CASE WHEN expected > 0 THEN ratio WHEN actual = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+    count = "CASE WHEN expected > 0 THEN CAST(actual AS DOUBLE) / nullif(expected, 0) WHEN actual = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(999 AS DOUBLE) END"
+    return f"SELECT id, rc = 0 AND {agree} >= 0.99 AND {count} BETWEEN 0.98 AND 1.02 AS compatible FROM {d.t('extractions')}"
 
 
 def _metadata_status(d: Dialect) -> str:
-    """Remediation metadata against what is expected; absent values are empty."""
-    rows = [(1, "tool", "1", None, None, "a; b", "a; b"), (2, "tool", "2", None, None, None, None), (3, "tool", "1", "Creator", None, "", None), (4, None, "1", None, None, None, None)]
-    src = d.rows("c", "id BIGINT, tool STRING, version STRING, creator STRING, creator_tool STRING, encoding STRING, expected STRING", rows)
+    """The 21 checks of a remediated file's metadata; absent values are empty, and hashes count only with a plan."""
     e = lambda x: f"coalesce({x}, '')"
-    return f"SELECT id, {e('tool')} = 'tool' AND {e('version')} = '1' AND {e('creator')} = '' AND {e('creator_tool')} = '' AND {e('encoding')} = {e('expected')} AS valid FROM {src}"
+    fixed = {"tool": "tool", "version": "1", "schema_version": str(7), "producer": "producer", "creator": "", "xmp_creator_tool": "", "remediation": "summary", "info_remediation": "summary"}
+    checks = {k: f"{e(k)} = '{v}'" for k, v in fixed.items()} | {"remediation_date": f"{e('remediation_date')} <> ''"}
+    checks |= {k: f"{e(k)} = {e('expected_' + k)}" + (" OR NOT has_plan" if k in ("source_sha256", "canonical_plan_sha256") else "") for k in EXPECTED}
+    failing = ", ".join(f"CASE WHEN {c} THEN '' ELSE '{k};' END" for k, c in sorted(checks.items()))
+    return f"SELECT id, {' AND '.join(f'({c})' for c in checks.values())} AS valid, concat({failing}) AS failing FROM {d.t('file_metadata')}"
 
 
 def _chunks(d: Dialect) -> str:
@@ -190,9 +173,7 @@ def _plan_reuse(d: Dialect) -> str:
 
 
 def _links(d: Dialect) -> str:
-    rows = [(1, "Contents", "http://x", False), (2, None, "http://x", False), (3, "", "http://y", True), (4, None, None, True), (5, None, None, False)]
-    src = d.rows("c", "id BIGINT, contents STRING, uri STRING, internal BOOLEAN", rows)
-    return f"SELECT id, CASE WHEN coalesce(contents, '') <> '' THEN contents WHEN uri IS NOT NULL THEN concat('Link to ', uri) WHEN internal THEN 'Internal link' ELSE 'Link' END AS description FROM {src}"
+    return f"SELECT id, nth, CASE WHEN coalesce(contents, '') <> '' THEN contents WHEN uri IS NOT NULL THEN concat('Link to ', uri) WHEN internal THEN 'Internal link' ELSE 'Link' END AS description FROM {d.t('links')}"
 
 
 def _refined(d: Dialect) -> str:
@@ -219,7 +200,7 @@ def _margin_text(d: Dialect) -> str:
 
 
 QUERIES = {
-    "source_metadata": ((), _metadata),
+    "source_metadata": (("sources",), _metadata),
     "font_flags": (("part",), _fonts),
     "blank_pages": (("embeddings",), _blank),
     "direct_text": (("documents",), _direct),
@@ -228,19 +209,18 @@ QUERIES = {
     "replacement_boxes": (("elements",), _shares),
     "grid_bounds": (("lineitem",), _grid_bounds),
     "span_placeholders": (("lineitem",), _span_placeholders),
-    "widget_descriptions": ((), _descriptions),
+    "widget_descriptions": (("widgets",), _descriptions),
     "field_agreement": (("lineitem",), _field_agreement),
     "form_preserved": (("customer",), _form_preserved),
-    "page_fallback": (("elements",), _fallback),
     "alignment_coverage": (("elements",), _coverage),
     "best_font": (("documents",), _best_font),
-    "table_demotion": ((), _demotion),
-    "legacy_elements": ((), _legacy),
-    "extraction_gate": ((), _extraction_gate),
-    "metadata_status": ((), _metadata_status),
+    "table_demotion": (("cells",), _demotion),
+    "legacy_elements": (("old_elements",), _legacy),
+    "extraction_gate": (("extractions",), _extraction_gate),
+    "metadata_status": (("file_metadata",), _metadata_status),
     "anchor_chunks": (("lines",), _chunks),
     "plan_reuse": (("elements",), _plan_reuse),
-    "link_descriptions": ((), _links),
+    "link_descriptions": (("links",), _links),
     "refined_elements": (("elements",), _refined),
     "artifact_numbers": (("elements",), _artifact_numbers),
     "margin_text": (("elements",), _margin_text),

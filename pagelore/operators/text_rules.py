@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pagelore.functions.dialect import WORD, WS, Dialect
 
-# Months, markers, ligatures, formula characters, generic descriptions, categories.
+# Months, markers, ligatures, formula characters, generic descriptions, categories,
+# rationales; and, in transformation_kind and resolved, the order of the branches and their messages.
 MONTHS = r"Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
 LIGATURES = "[ﬀﬁﬂﬃﬄﬅﬆ]"
 FORMULA_CHARACTERS = r"=<>≤≥≠≈∞∑∫√∂∆∇^₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹ⁿ"
@@ -166,22 +167,22 @@ def _embedded_blocks(d: Dialect) -> str:
 
 
 def _exact_tokens(d: Dialect) -> str:
+    """Tokens with the offsets of their slices; the starts are running sums over the array, without a shuffle."""
     lead = d.extract("coalesce(text, '')", rf"\A[{WS}]+", 0)
     pieces = d.extract_all("coalesce(text, '')", rf"[^{WS}]+[{WS}]*")
-    src = f"(SELECT doc_id, CAST(length({lead}) AS BIGINT) AS lead, {pieces} AS p FROM {d.t('documents')})"
-    each = d.explode(src, "p", "token_ord", "piece")
-    return f"""SELECT doc_id, count(*) AS n_tokens, CAST(sum(t_start) AS BIGINT) AS sum_start, CAST(sum(t_start + length(token)) AS BIGINT) AS sum_end,
-      CAST(sum(t_start + length(piece)) AS BIGINT) AS sum_actual_end, max(t_start + length(piece)) AS last_end FROM (
-      SELECT doc_id, piece, {d.replace('piece', rf"[{WS}]+\z", '')} AS token,
-             lead + coalesce(sum(CAST(length(piece) AS BIGINT)) OVER (PARTITION BY doc_id ORDER BY token_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t_start FROM {each}) x GROUP BY doc_id"""
+    token = d.replace("piece", rf"[{WS}]+\z", "")
+    fold = f"""aggregate(p, named_struct('at', CAST(length({lead}) AS BIGINT), 'starts', CAST(0 AS BIGINT), 'ends', CAST(0 AS BIGINT), 'slices', CAST(0 AS BIGINT)), (a, piece) -> named_struct(
+      'at', a.at + length(piece), 'starts', a.starts + a.at, 'ends', a.ends + a.at + length({token}), 'slices', a.slices + a.at + length(piece)))"""
+    return f"""SELECT doc_id, CAST(size(p) AS BIGINT) AS n_tokens, f.starts AS sum_start, f.ends AS sum_end, f.slices AS sum_actual_end, f.at AS last_end
+      FROM (SELECT doc_id, p, {fold} AS f FROM (SELECT doc_id, text, {pieces} AS p FROM {d.t('documents')}) s) x WHERE size(p) > 0"""
 
 
 def _comparison(d: Dialect) -> str:
-    return f"SELECT doc_id, {d.size('k')} AS n_tokens, {d.size(d.distinct('k'))} AS n_distinct, {d.sha(d.join('k', ' '))} AS tokens_sha FROM (SELECT doc_id, {comparison_tokens(d, chr(116) + 'ext')} AS k FROM {d.t('documents')} WHERE text IS NOT NULL) x"
+    return f"SELECT doc_id, {d.size('k')} AS n_tokens, {d.size(d.distinct('k'))} AS n_distinct, {d.sha(d.join('k', ' '))} AS tokens_sha FROM (SELECT doc_id, {comparison_tokens(d, 'coalesce(text, ' + chr(39) * 2 + ')')} AS k FROM {d.t('documents')}) x"
 
 
 def _sensitive(d: Dialect) -> str:
-    return f"SELECT doc_id, {d.size('k')} AS n_tokens, {d.join('k', ' ')} AS tokens FROM (SELECT doc_id, {sensitive_tokens(d, 'text')} AS k FROM {d.t('documents')} WHERE text IS NOT NULL) x"
+    return f"SELECT doc_id, {d.size('k')} AS n_tokens, {d.join('k', ' ')} AS tokens FROM (SELECT doc_id, {sensitive_tokens(d, 'coalesce(text, ' + chr(39) * 2 + ')')} AS k FROM {d.t('documents')}) x"
 
 
 def _native_text(d: Dialect) -> str:
@@ -220,14 +221,9 @@ def _leaders(d: Dialect) -> str:
     return f"SELECT doc_id, ord, text <> {leaders(d, 'text')} AS changed, {leaders(d, 'text')} AS accessible_text FROM (SELECT doc_id, ord, text FROM {d.t('lines')} WHERE contains(text, '. .') OR contains(text, '...') UNION ALL SELECT doc_id, ord, text FROM {cases}) u"
 
 
-_KIND_CASES = [
-    ("co­operate", "cooperate"), ("ﬁ", "fi"), ("-\n", ""), ("→ ", ""), (" ", ", "), ("....", ","), ("|", ","), (" | ", " ; "), ("–", " to "), (" . . . ", ""), ("…", " "), ("  ", " "), ("", ""), ("sucess", "success"), ("", ":"), ("-", ""), ("\t\n", " "), ("⟶", ""), ("_ _", ""),
-]
-
-
 def _kinds(d: Dialect) -> str:
-    cases = d.rows("c", "id BIGINT, s STRING, r STRING", [(i, *c) for i, c in enumerate(_KIND_CASES)])
-    return f"SELECT id, kind, {rationale(d, 'kind')} AS rationale FROM (SELECT id, {transformation_kind(d, 's', 'r')} AS kind FROM {cases}) x"
+    """How often separators of lines change in which way, and why that is allowed."""
+    return f"SELECT kind, {rationale(d, 'kind')} AS rationale, count(*) AS n FROM (SELECT {transformation_kind(d, 's', 'r')} AS kind FROM {d.t('text_changes')}) x GROUP BY kind"
 
 
 _CATEGORY_CASES = ["Reading Order", "column-break", "Coordinate issue", "Caption", "Currency", "page number", "Institution", "continued", "running head", "graphic", "hyphenation", "OCR noise", "omission", "Spelling", "Whatever", "name", "alt text", "--date_number--", "LOW confidence", "decorative figure"]
@@ -238,23 +234,9 @@ def _categories(d: Dialect) -> str:
     return f"SELECT raw, {category(d, 'raw')} AS category, sum(n) AS n FROM (SELECT event_type AS raw, count(*) AS n FROM {d.t('events')} GROUP BY event_type UNION ALL SELECT raw, 1 AS n FROM {cases}) x GROUP BY raw"
 
 
-_FINDING_CASES = [
-    ("critical", "geometry", "The first-model bbox values were image-pixel coordinates.", None),
-    ("critical", "content_coverage", "Running header and page number are omitted.", None),
-    ("critical", "content_coverage", "The proposal omitted a line; the canonical page restores it.", "Line kept."),
-    ("critical", "semantic_role", "The first proposal used H2; canonical plan uses P.", "P"),
-    ("critical", "name", "Proposal read Smyth; the page image supports Smith.", "Smith"),
-    ("critical", "name", "Proposal read Smyth; the image is ambiguous evidence.", "Smith"),
-    ("warning", "geometry", "The proposal bbox is off.", None),
-    ("critical", "transcription", "Unclear word.", "word"),
-    ("critical", "semantic_role", "Proposal segmentation differs.", None),
-]
-
-
 def _resolved(d: Dialect) -> str:
-    cases = d.rows("c", "id BIGINT, severity STRING, category STRING, message STRING, chosen STRING", [(i, *c) for i, c in enumerate(_FINDING_CASES)])
     s, c, k = resolved(d)
-    return f"SELECT id, {s} AS severity_after, {c} AS category_after, {k} AS chosen_after FROM {cases}"
+    return f"SELECT conv_id, turn, {s} AS severity_after, {c} AS category_after, {k} AS chosen_after FROM {d.t('findings')}"
 
 
 def _generic(d: Dialect) -> str:
@@ -264,7 +246,7 @@ def _generic(d: Dialect) -> str:
 
 def _math(d: Dialect) -> str:
     cases = d.rows("c", "doc_id BIGINT, text STRING", [(-1, "x ≤ y"), (-2, "Greek α"), (-3, "plain text"), (-4, "p₁"), (-5, "a ± b")])
-    return f"SELECT doc_id, {looks_mathematical(d, 'text')} AS mathematical FROM (SELECT doc_id, text FROM {d.t('documents')} WHERE text IS NOT NULL UNION ALL SELECT doc_id, text FROM {cases}) x"
+    return f"SELECT doc_id, {looks_mathematical(d, 'text')} AS mathematical FROM (SELECT doc_id, coalesce(text, '') AS text FROM {d.t('documents')} UNION ALL SELECT doc_id, text FROM {cases}) x"
 
 
 def _codepoints(d: Dialect) -> str:
@@ -280,9 +262,9 @@ QUERIES = {
     "date_range_speech": (("lines",), _dates),
     "static_form_markers": (("lines",), _markers),
     "contents_leaders": (("lines",), _leaders),
-    "transformation_kinds": ((), _kinds),
+    "transformation_kinds": (("text_changes",), _kinds),
     "category_normalization": (("events",), _categories),
-    "resolved_findings": ((), _resolved),
+    "resolved_findings": (("findings",), _resolved),
     "generic_descriptions": (("part",), _generic),
     "mathematical_text": (("documents",), _math),
     "manifest_codepoints": (("documents",), _codepoints),

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelore.functions.dialect import DUCK, SPARK, Dialect
-from pagelore.operators import alignment, audits, layout, records, text_rules
+from pagelore.operators import alignment, audits, evidence, layout, records, structure, text_rules
 from pagelore.plans import report
-from pagelore.sources.tables import duck_adapters, table
+from pagelore.plans.oracles import ORACLES
+from pagelore.sources.tables import duck_tables, table
 from pagelore.streaming import resume
 
 RULES: dict[str, tuple[tuple[str, ...], Callable[[Dialect], str]]] = {}
-for _module in (text_rules, layout, audits, records, report):
+for _module in (text_rules, layout, audits, records, evidence, structure, report):
     RULES |= _module.QUERIES
 
 
@@ -29,11 +30,11 @@ def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _oracle(name: str) -> str:
     needs, sql = RULES[name]
-    adapters = {k: v for k, v in duck_adapters().items() if k in needs}
-    text = sql(DUCK)
-    if not adapters:
+    text = ORACLES[name].strip() if name in ORACLES else sql(DUCK)
+    tables = duck_tables(needs)
+    if not tables:
         return text
-    ctes = ", ".join(f"{k} AS ({v})" for k, v in adapters.items())
+    ctes = ", ".join(f"{k} AS ({v})" for k, v in tables.items())
     recursive = text.startswith("WITH RECURSIVE ")
     if text.startswith("WITH "):
         return ("WITH RECURSIVE " if recursive else "WITH ") + ctes + ", " + text.removeprefix("WITH RECURSIVE ").removeprefix("WITH ")

@@ -15,8 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.functions.dialect import DUCK
+from pagelore.functions.dialect import DUCK, SPARK
 from pagelore.functions.ordinals import ordinal
+from pagelore.sources.derived import DERIVED
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -87,12 +88,24 @@ DUCK_LINES = f"SELECT doc_id, (ord - 1) // {LINES_A_PAGE} + 1 AS page_number, or
 ADAPTERS = {"elements": (page_elements, "pages"), "lines": (document_lines, "documents")}
 
 
-def duck_adapters() -> dict[str, str]:
-    return {"elements": _duck_elements(), "lines": DUCK_LINES}
+def duck_tables(names: tuple[str, ...]) -> dict[str, str]:
+    """DuckDB SQL of the adapted and derived ones among ``names``, what they need first."""
+    own = {"elements": _duck_elements(), "lines": DUCK_LINES}
+    out: dict[str, str] = {}
+    for name in names:
+        if name in DERIVED:
+            needs, sql = DERIVED[name]
+            out |= duck_tables(needs) | {name: sql(DUCK)}
+        elif name in own:
+            out[name] = own[name]
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stored table or an adapted one."""
+    """A stored table, an adapted or a derived one."""
+    if name in DERIVED:
+        needs, sql = DERIVED[name]
+        return spark.sql(sql(SPARK), **{n: table(spark, sf_dir, n) for n in needs})
     if name in ADAPTERS:
         adapt, source = ADAPTERS[name]
         return adapt(load(spark, sf_dir, source))
