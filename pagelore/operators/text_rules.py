@@ -10,6 +10,7 @@ from pagelore.functions.dialect import WORD, WS, Dialect
 
 # Months, markers, ligatures, formula characters, generic descriptions, categories,
 # rationales; and, in transformation_kind and resolved, the order of the branches and their messages.
+SPACE = "\\t-\\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MONTHS = r"Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
 LIGATURES = "[ﬀﬁﬂﬃﬄﬅﬆ]"
 FORMULA_CHARACTERS = r"=<>≤≥≠≈∞∑∫√∂∆∇^₀₁₂₃₄₅₆₇₈₉⁰¹²³⁴⁵⁶⁷⁸⁹ⁿ"
@@ -35,6 +36,18 @@ CATEGORY_TERMS = (
     ("content_coverage", ("omission", "coverage", "content_scope")),
     ("transcription", ("transcription", "spelling", "wording", "punctuation", "capitalization", "abbreviation", "typography", "glyph")),
 )
+_ANY, _NONE, _STOP, _SPACE = r"(?s).*", r"\A\z", rf"\A[{SPACE}]*[,;:][{SPACE}]*\z", rf"\A[{SPACE}]*\z"
+#: Kinds of changes in the order in which they are tried: (kind, pattern of what was, pattern of what is).
+CHANGE_PATTERNS = (
+    ("soft_hyphen_removal", "\xad", _ANY),
+    ("ligature_expansion", LIGATURES, _ANY),
+    ("line_break_dehyphenation", r"(?s)-.*[\r\n]|[\r\n].*-", _NONE),
+    ("decorative_marker_omission", rf"\A[{SPACE}←→⟵⟶]+\z", _NONE),
+    ("structural_separator_normalization", rf"\A[{SPACE}.·…_]*\z|\A[{SPACE}]*[|][{SPACE}]*\z", _STOP),
+    ("date_range_expansion", r"\A–\z", r"\A to \z"),
+    ("decorative_leader_omission", rf"\A[{SPACE}]*[.·…_][{SPACE}.·…_]*\z", _SPACE),
+    ("whitespace_normalization", _SPACE, _SPACE),
+)
 RATIONALES = {
     "line_break_dehyphenation": "Joins a word split only by a printed line break.",
     "ligature_expansion": "Expands a presentation ligature to Unicode letters.",
@@ -93,22 +106,9 @@ def looks_mathematical(d: Dialect, x: str) -> str:
 
 
 def transformation_kind(d: Dialect, s: str, r: str) -> str:
-    """Which mechanical change turns ``s`` into ``r``; the order of the branches decides."""
-    blank = lambda x: d.full(x, f"[{WS}]*")
-    rest = lambda chars: d.replace(s, rf"[{WS}{chars}]", "")
-    stop = d.in_(d.strip(r), (",", ";", ":"))
-    return f"""CASE
-      WHEN contains({s}, {d.lit(chr(0xAD))}) THEN 'soft_hyphen_removal'
-      WHEN {d.match(s, LIGATURES)} THEN 'ligature_expansion'
-      WHEN contains({s}, '-') AND {r} = '' AND {d.match(s, "[\\r\\n]")} THEN 'line_break_dehyphenation'
-      WHEN {s} <> '' AND {r} = '' AND {rest("←→⟵⟶")} = '' THEN 'decorative_marker_omission'
-      WHEN {blank(s)} AND {stop} THEN 'structural_separator_normalization'
-      WHEN {s} <> '' AND {rest(".·…_")} = '' AND {stop} THEN 'structural_separator_normalization'
-      WHEN {d.strip(s)} = '|' AND {stop} THEN 'structural_separator_normalization'
-      WHEN {s} = '–' AND {r} = ' to ' THEN 'date_range_expansion'
-      WHEN {d.match(s, "[.·…_]")} AND {rest(".·…_")} = '' AND {d.strip(r)} = '' THEN 'decorative_leader_omission'
-      WHEN {blank(s)} AND {blank(r)} THEN 'whitespace_normalization'
-      ELSE 'unverified' END"""
+    """Which mechanical change turns ``s`` into ``r``."""
+    branches = " ".join(f"WHEN {d.match(s, was)} AND {d.match(r, now)} THEN '{kind}'" for kind, was, now in CHANGE_PATTERNS)
+    return f"CASE {branches} ELSE 'unverified' END"
 
 
 def rationale(d: Dialect, kind: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import html
+import itertools
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -45,16 +46,37 @@ def read_checkpoints(spark: SparkSession, path: str, source_sha256: str) -> tupl
 
 
 def archive(spark: SparkSession, path: str) -> str | None:
-    """Move what is at ``path`` aside (``.previous``, replacing an older one); its new path."""
+    """Move what is at ``path`` aside, to ``.previous`` or, where that is taken, ``.previous-2`` and so on; its new path."""
     jvm = spark.sparkContext._jvm
-    where, to = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".previous")
+    where = jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(where):
         return None
-    if fs.exists(to):
-        fs.delete(to, True)
-    fs.rename(where, to)
-    return path + ".previous"
+    names = itertools.chain([path + ".previous"], (f"{path}.previous-{i}" for i in itertools.count(2)))
+    to = next(name for name in names if not fs.exists(jvm.org.apache.hadoop.fs.Path(name)))
+    fs.rename(where, jvm.org.apache.hadoop.fs.Path(to))
+    return to
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """Rows of a preflight, validation, criteria or manifest report as JSON lines, nulls written,
+    in place of what was there."""
+    report.select(F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_anomalies(records: DataFrame, path: str) -> None:
+    """Anomaly records as JSON lines in the order of documents and pages; a record has the keys it has values for."""
+    ordered = records.orderBy("doc_id", "page_number", "element_id", "severity", "category", "message")
+    ordered.select(F.to_json(F.struct(*records.columns)).alias("value")).write.mode("overwrite").text(path)
+
+
+def upgrade_plans(spark: SparkSession, path: str) -> DataFrame:
+    """Plan lines of any schema version, as the migration rule leaves them: value, schema_version,
+    plan_revision, review_status, coordinate_space. The file stays as it is."""
+    from pagelore.registry import apply
+
+    lines = spark.read.text(path).select(F.xxhash64("value").alias("id"), F.col("value").alias("plan")).dropDuplicates(["id"])
+    return lines.join(apply(spark, "plan_migration", plans=lines), "id").select(F.col("plan").alias("value"), "schema_version", "plan_revision", "review_status", "coordinate_space")
 
 
 def file_hashes(spark: SparkSession, path: str) -> DataFrame:

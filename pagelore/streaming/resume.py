@@ -3,7 +3,7 @@
 Completed (page, stage) keys are skipped by an anti-join in ``foreachBatch`` and results
 are written once per key, so a restarted stream repeats nothing; title history is keyed
 state that moves a repeated title to its end. Output and checkpoints live in the shared
-folder that ``spark.checkpoint.dir`` names (a temporary one only where it is unset)."""
+folder that ``spark.checkpoint.dir`` names (in a local session a temporary one where it is unset; on a cluster that is an error)."""
 
 from __future__ import annotations
 
@@ -20,7 +20,11 @@ from pagelore.sources.tables import load
 
 
 def shared(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="pagelore-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="pagelore-")
     return f"{root.rstrip('/')}/pagelore/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,6 +48,21 @@ def write_once(batch: DataFrame, path: str, key: str) -> None:
     new.write.mode("append").parquet(path)
 
 
+def matching(checkpoints: DataFrame, sources: DataFrame, version: int) -> DataFrame:
+    """The ``checkpoints`` (page_id, version, source_sha256, ...) that may be resumed: of this
+    version, and of the source's present hash (page_id, sha256), or of none."""
+    own = checkpoints.where(F.col("version") == version).join(sources.select("page_id", F.col("sha256").alias("now")), "page_id")
+    return own.where("source_sha256 is null or source_sha256 = now").drop("now")
+
+
+def proposals(pages: DataFrame, checkpoints: DataFrame, older: DataFrame) -> DataFrame:
+    """page_id, payload and origin of every page's proposal: its checkpoint, else the page of an
+    older plan (both: page_id, payload), else null; in page order."""
+    c, o = checkpoints.select("page_id", F.col("payload").alias("c")), older.select("page_id", F.col("payload").alias("o"))
+    joined = pages.select("page_id").join(c, "page_id", "left").join(o, "page_id", "left")
+    return joined.select("page_id", F.coalesce("c", "o").alias("payload"), F.when(F.col("c").isNotNull(), "checkpoint").when(F.col("o").isNotNull(), "older plan").alias("origin")).orderBy("page_id")
+
+
 def resume(spark: SparkSession, stream: DataFrame, done: DataFrame | None, path: str, key: str = "page_id") -> None:
     """Run ``stream`` to its end: rows whose key is in ``done`` or was written before are skipped."""
 
