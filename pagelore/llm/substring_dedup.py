@@ -22,7 +22,8 @@ others are removals.
 Defined cases: null and empty texts have no paragraphs, and lines of fewer words than a
 shingle have none either; repetition within one document
 isn't one across documents, and rows equal in doc_id and text are one document; a null
-doc_id ranks last when one is kept; other columns are ignored; whole texts are read.
+doc_id ranks last when one is kept; other columns are ignored, whatever their names;
+whole texts of any length are read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ ROWS, RECALL = 4, 0.9995
 WINDOW, RADIUS = 12, 4
 #: Words that a stretch of windows must cover to be looked at.
 LEAST_COVER = WINDOW
+#: A window that stands in so many places is dealt over SALTS tasks.
+HOT, SALTS = 10_000, 64
 
 
 def tuned_bands(rows: int = ROWS, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
@@ -264,8 +267,18 @@ def paragraph_links(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFr
 def passages(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(passages: node, k, lo, hi; links between nodes)."""
     windows = scan.select("k", F.posexplode(F.arrays_zip("at", "gram")).alias("i", "w")).select("k", "i", "w.at", "w.gram")
-    twice = windows.groupBy("gram").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("gram")
-    found = materialize(windows.join(twice, "gram"), "windows")
+    twice = windows.groupBy("gram").agg(F.min("k").alias("a"), F.max("k").alias("z"), F.count("*").alias("c")).where("a < z")
+    twice = materialize(twice.select("gram", (F.col("c") >= HOT).alias("hot")), "repeated")
+    # a window that many documents share is dealt over SALTS tasks; false positives of the filter are as well, on both sides
+    hot = twice.where("hot").select("gram")
+    if n_hot := hot.count():
+        many = member_filter(hot, n_hot)
+        spread = F.when(many("gram"), F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).otherwise(0)
+        salts = F.when(many("gram"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+        met = windows.withColumn("salt", spread).join(twice.select("gram", F.explode(salts).alias("salt")), ["gram", "salt"]).select("k", "i", "at", "gram")
+    else:
+        met = windows.join(twice.select("gram"), "gram").select("k", "i", "at", "gram")
+    found = materialize(met, "windows")
     order = Window.partitionBy("k").orderBy("i")
     found = found.withColumn("run", F.col("i") - F.row_number().over(order))
     runs = found.groupBy("k", "run").agg(F.min("at").alias("lo"), (F.max("at") + WINDOW).alias("hi")).where(f"hi - lo >= {LEAST_COVER}")
