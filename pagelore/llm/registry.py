@@ -6,13 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from pagelore.llm import chat_format, decontaminate, exact_dedup, html_extract, ngram_join, quality, sentencepiece_codec, substring_dedup, token_planes, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "pipeline": corpus_pipeline.run,
         "op1_quality": quality.op1_quality,
         "op2_sentencepiece": sentencepiece_codec.op2_sentencepiece,
         "op3_html_extract": html_extract.op3_html_extract,
