@@ -157,6 +157,18 @@ def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
     return sure.unionByName(asked)
 
 
+def among(rows: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, bool]:
+    """(``rows`` whose bigint ``key`` may be in ``wanted``, a stored table of one bigint column
+    without repeats; is that exact?): up to BROADCAST_ROWS keys are broadcast and it is,
+    beyond a Bloom filter clears most of the others."""
+    n = wanted.count()
+    if n <= BROADCAST_ROWS:
+        only = wanted.toDF("pl_wanted")
+        return rows.join(F.broadcast(only), F.col(key) == F.col("pl_wanted"), "left_semi"), True
+    maybe = member_filter(wanted, n)
+    return rows.where(maybe(key)), False
+
+
 def groups(docs: DataFrame, bits_per_row: int = 16, max_filter_bytes: int = 64 << 20) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     text = F.coalesce("text", F.lit(""))

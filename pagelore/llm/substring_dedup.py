@@ -2,8 +2,10 @@
 
 Paragraphs are lines of at least ``SHINGLE`` words in the query; :func:`repeats` takes the
 least number as ``paragraph_words``. Their 5-word shingles get MinHash
-signatures in bands of ``ROWS`` rows, as many as find a pair of Jaccard similarity 0.8
-with probability ``RECALL`` (:func:`tuned_bands`). Paragraphs that collide in a band are
+signatures in bands of ``ROWS`` rows (of ``SHORT_ROWS`` for sets of up to ``SHORT``
+shingles, of which unlike ones hardly share any), as many as find a pair of Jaccard
+similarity 0.8 with probability ``RECALL`` (:func:`tuned_bands`); sets that could link
+across ``SHORT`` have both kinds. Paragraphs that collide in a band are
 joined, verified by exact Jaccard similarity (>= 0.8), and clustered by components. Sets
 of up to ``ALIKE`` shingles are as similar only to equal sets, and need no bands.
 
@@ -40,7 +42,7 @@ from pyspark.sql.window import Window
 
 from pagelore.llm._common import Words, components, drop_scratch, give_back, materialize, mix, shingle_hashes, signed, slices, table
 from pagelore.llm._links import link_lists
-from pagelore.llm.exact_dedup import member_filter
+from pagelore.llm.exact_dedup import among, member_filter
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Words that a passage has more of, and a paragraph at least unless told otherwise.
@@ -48,6 +50,7 @@ MIN_WORDS = 50
 #: A set of so many shingles has Jaccard similarity 0.8 to no other set.
 ALIKE = 3
 ROWS, RECALL = 4, 0.9995
+SHORT, SHORT_ROWS = 45, 2
 #: Words of a window; words to either side over which its start is a local minimum.
 WINDOW, RADIUS = 12, 4
 #: Words that a stretch of windows must cover to be looked at.
@@ -60,8 +63,8 @@ def tuned_bands(rows: int = ROWS, similarity: float = SIMILARITY, recall: float
     return math.ceil(math.log(1 - recall) / math.log(1 - similarity**rows))
 
 
-BANDS = tuned_bands()
-_SEEDS = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+BANDS, SHORT_BANDS = tuned_bands(), tuned_bands(SHORT_ROWS)
+_SEEDS = mix(np.arange(1, max(ROWS * BANDS, SHORT_ROWS * SHORT_BANDS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _SALT = np.uint64(0xA0761D6478BD642F)
 
 
@@ -136,16 +139,42 @@ def _odd_sketches(v: np.ndarray, edge: np.ndarray) -> np.ndarray:
     return signed(np.stack([np.bitwise_xor.reduceat(np.where(word == np.uint64(j), bit, np.uint64(0)), edge) for j in range(4)], 1))
 
 
-def _signed_list(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else [], kind))
+def _bands(v: np.ndarray, edge: np.ndarray, pick: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """Band names of the sets numbered ``pick``, one row each; the two kinds of bands have different names."""
+    out = np.zeros((len(pick), bands), np.uint64)
+    if not len(pick):
+        return out
+    size = np.diff(np.append(edge, len(v)))[pick]
+    first = np.cumsum(size) - size
+    mine = v[np.arange(size.sum()) + np.repeat(edge[pick] - first, size)]
+    for band in range(bands):
+        name = np.full(len(pick), np.uint64(rows << 8 | band))
+        for r in range(rows):
+            name = mix(name * np.uint64(31) + np.minimum.reduceat(mine * _SEEDS[band * rows + r], first))
+        out[:, band] = name
+    return out
+
+
+def _all_bands(v: np.ndarray, edge: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """The band names of every set."""
+    short, long = np.flatnonzero((sizes > ALIKE) & (sizes <= SHORT)), np.flatnonzero(sizes > SHORT)
+    both = long[sizes[long] * 4 <= SHORT * 5]
+    pick = np.concatenate([short, both])
+    names = [_bands(v, edge, pick, SHORT_ROWS, SHORT_BANDS), _bands(v, edge, long, ROWS, BANDS)]
+    owner = np.concatenate([np.repeat(pick, SHORT_BANDS), np.repeat(long, BANDS)])
+    flat = np.concatenate([x.ravel() for x in names])[np.argsort(owner, kind="stable")]
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(flat)))
+
+
+PARAGRAPH = "struct<lo: int, hi: int, set: bigint, n: int, bands: array<bigint>, q0: bigint, q1: bigint, q2: bigint, q3: bigint>"
+SCAN = f"k long, at array<int>, gram array<long>, par array<{PARAGRAPH}>"
 
 
 def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Rows (k, text) to k with its windows (places, hashes) and paragraphs (begin, end, set hash, bands, number of shingles, sketch)."""
+    """Rows (k, text) to k with its windows (places, hashes) and paragraphs."""
     for b in batches:
         for row, data, offsets in slices(b.column(1)):  # small batches out, for bounded memory
-            cols: list[list] = [[] for _ in range(8)]
             w = Words(data, offsets, lower=True)
             h, first = w.hash, w.first
             at = anchors(h, first)
@@ -153,28 +182,16 @@ def _scan(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
             text, lo, hi = _paragraphs(w, least)
             if len(lo):
                 v, edge = _shingle_sets(shingle_hashes(h, SHINGLE), lo, hi)
-                mins = np.stack([np.minimum.reduceat(v * s, edge) for s in _SEEDS], 1)
-                bands = np.zeros((len(lo), BANDS), np.uint64)
-                for r in range(ROWS):
-                    bands = mix(bands * np.uint64(31) + mins[:, r::ROWS][:, :BANDS] + np.arange(BANDS, dtype=np.uint64))
-                sets = np.add.reduceat(mix(v + _SALT), edge)
-                sizes = np.diff(np.append(edge, len(v))).astype(np.int32)
-                sketches = _odd_sketches(v, edge)
-            cut = np.searchsorted(at, first)
-            cut_p = np.searchsorted(text, np.arange(len(first)))
-            for i in range(len(first) - 1):
-                a, z = cut[i], cut[i + 1]
-                cols[0].append((at[a:z] - first[i]).astype(np.int32))
-                cols[1].append(grams[a:z])
-                a, z = cut_p[i], cut_p[i + 1]
-                cols[2].append((lo[a:z] - first[i]).astype(np.int32))
-                cols[3].append((hi[a:z] - first[i]).astype(np.int32))
-                cols[4].append(signed(sets[a:z]) if z > a else np.zeros(0, np.int64))
-                cols[5].append(signed(bands[a:z].ravel()) if z > a else np.zeros(0, np.int64))
-                cols[6].append(sizes[a:z] if z > a else np.zeros(0, np.int32))
-                cols[7].append(sketches[a:z].ravel() if z > a else np.zeros(0, np.int64))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(offsets) - 1), *(_signed_list(c, k) for c, k in zip(cols, kinds, strict=False))], names=["k", "at", "gram", "lo", "hi", "sets", "bands", "sizes", "sketches"])
+                sets, sizes = np.add.reduceat(mix(v + _SALT), edge), np.diff(np.append(edge, len(v)))
+                sketches, bands = _odd_sketches(v, edge), _all_bands(v, edge, sizes)
+            else:
+                sets, sizes, sketches, bands = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, 4), np.int64), pa.array([], pa.list_(pa.int64()))
+            ends, ends_p = (pa.array(x.astype(np.int32)) for x in (np.searchsorted(at, first), np.searchsorted(text, np.arange(len(first)))))
+            owner = np.searchsorted(first, at, "right") - 1
+            windows = [pa.ListArray.from_arrays(ends, pa.array((at - first[owner]).astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(grams))]
+            columns = [pa.array((lo - first[text]).astype(np.int32)), pa.array((hi - first[text]).astype(np.int32)), pa.array(signed(sets)), pa.array(sizes.astype(np.int32)), bands, *(pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(4))]
+            par = pa.ListArray.from_arrays(ends_p, pa.StructArray.from_arrays(columns, ["lo", "hi", "set", "n", "bands", "q0", "q1", "q2", "q3"]))
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(row, len(offsets) - 1), *windows, par], names=["k", "at", "gram", "par"])
     give_back()
 
 
@@ -237,21 +254,21 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def paragraph_links(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(paragraphs: node, k, lo, hi, class; links between classes). Deletes ``scan``."""
-    p = scan.select("k", F.explode(F.arrays_zip("lo", "hi", "sets", "sizes")).alias("p")).select("k", "p.lo", "p.hi", F.col("p.sets").alias("set"), F.col("p.sizes").alias("n"))
-    p = materialize(p.withColumn("node", F.xxhash64("k", "lo", F.lit("p"))), "paragraphs")
-    classes = materialize(p.groupBy("set").agg(F.min("node").alias("class")), "paragraph-classes")
-    # bands and sketches are kept for one paragraph of each class only, and the scan goes before the bands meet
-    heads = scan.select("k", F.posexplode(F.arrays_zip("lo", "sizes")).alias("i", "p"), "bands", "sketches")
-    heads = heads.select(F.xxhash64("k", "p.lo", F.lit("p")).alias("class"), F.col("p.sizes").alias("n"), *(F.expr(f"sketches[4 * i + {j}]").alias(f"q{j}") for j in range(4)), F.expr(f"slice(bands, i * {BANDS} + 1, {BANDS})").alias("bands"))
-    heads = materialize(heads.join(classes.select("class"), "class", "left_semi").dropDuplicates(["class"]), "paragraph-heads")
-    drop_scratch(scan)
-    entries = heads.where(F.col("n") > ALIKE).select("class", "n", F.posexplode("bands").alias("band", "value")).select("class", "n", F.xxhash64("band", "value").alias("sig"))
+    """(paragraphs: k, lo, hi, class; links between classes). A class is a set's hash: equal
+    paragraphs are one. Deletes ``scan``."""
+    every = scan.select("k", F.explode("par").alias("p"))
+    p = every.select("k", "p.lo", "p.hi", F.col("p.set").alias("class"))
+    classes = materialize(p.groupBy("class").agg(F.min(F.struct("k", "lo", "hi")).alias("m")).select("class", "m.*"), "paragraph-classes")
+    entries = every.select(F.col("p.set").alias("class"), F.col("p.n").alias("n"), F.explode("p.bands").alias("sig"))
+    # bands that no other class has never shuffle again: a filter of the shared ones clears them
+    shared = entries.groupBy("sig").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z").select("sig")
+    shared = materialize(shared, "paragraph-bands")
+    live = materialize(among(entries, "sig", shared)[0].distinct(), "paragraph-entries")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         pairs = materialize(pairs, f"{name}-pairs")
         ids = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
-        wanted = p.join(ids, F.col("node") == F.col("class")).groupBy("k").agg(F.collect_list(F.struct("class", "lo", "hi")).alias("wanted"))
+        wanted = classes.join(ids, "class").groupBy("k").agg(F.collect_list(F.struct("class", "lo", "hi")).alias("wanted"))
         texts = _texts_of(docs, materialize(wanted, f"{name}-wanted"))
         texts = materialize(texts.select("text", "wanted").mapInArrow(_paragraph_texts, "class long, text string"), f"{name}-texts")
         met = pairs.join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a")
@@ -259,9 +276,14 @@ def paragraph_links(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFr
         drop_scratch(pairs, texts)
         return compared
 
-    sketches = heads.select("class", "q0", "q1", "q2", "q3")
-    links = link_lists(entries, verify, lambda n, m: (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n)), "paragraph", sketches, 9)
-    return p.join(classes, "set").select("node", "k", "lo", "hi", "class"), links
+    mine = materialize(live.select("class").distinct(), "paragraph-listed")
+    sketches = every.select(F.col("p.set").alias("class"), *(F.col(f"p.q{i}").alias(f"q{i}") for i in range(4)))
+    sketches = among(sketches, "class", mine)[0].dropDuplicates(["class"])
+    sketches = materialize(sketches, "paragraph-sketches")
+    p = materialize(p, "paragraphs")
+    drop_scratch(scan)
+    links = link_lists(live, verify, lambda n, m: (5 * F.col(n) >= 4 * F.col(m)) & (5 * F.col(m) >= 4 * F.col(n)), "paragraph", sketches, 9)
+    return p, links
 
 
 def passages(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -269,15 +291,16 @@ def passages(scan: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     windows = scan.select("k", F.posexplode(F.arrays_zip("at", "gram")).alias("i", "w")).select("k", "i", "w.at", "w.gram")
     twice = windows.groupBy("gram").agg(F.min("k").alias("a"), F.max("k").alias("z"), F.count("*").alias("c")).where("a < z")
     twice = materialize(twice.select("gram", (F.col("c") >= HOT).alias("hot")), "repeated")
-    # a window that many documents share is dealt over SALTS tasks; false positives of the filter are as well, on both sides
-    hot = twice.where("hot").select("gram")
-    if n_hot := hot.count():
-        many = member_filter(hot, n_hot)
+    windows, exact = among(windows, "gram", twice.select("gram"))
+    if exact:
+        met = windows
+    else:
+        # a window that many documents share is dealt over SALTS tasks; false positives of the filter are as well, on both sides
+        hot = twice.where("hot").select("gram")
+        many = member_filter(hot, hot.count())
         spread = F.when(many("gram"), F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).otherwise(0)
         salts = F.when(many("gram"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
         met = windows.withColumn("salt", spread).join(twice.select("gram", F.explode(salts).alias("salt")), ["gram", "salt"]).select("k", "i", "at", "gram")
-    else:
-        met = windows.join(twice.select("gram"), "gram").select("k", "i", "at", "gram")
     found = materialize(met, "windows")
     order = Window.partitionBy("k").orderBy("i")
     found = found.withColumn("run", F.col("i") - F.row_number().over(order))
@@ -306,7 +329,7 @@ def repeats(docs: DataFrame, paragraph_words: int = MIN_WORDS) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.xxhash64("doc_id", "text"))
     named = docs.select("k", "doc_id")
     texts = docs.select("k", "text")
-    scan = materialize(texts.mapInArrow(partial(_scan, least=paragraph_words), "k long, at array<int>, gram array<long>, lo array<int>, hi array<int>, sets array<long>, bands array<long>, sizes array<int>, sketches array<long>"), "scan")
+    scan = materialize(texts.mapInArrow(partial(_scan, least=paragraph_words), SCAN), "scan")
 
     seg, seg_links = passages(scan, texts)
     seg_comp = components(seg_links, "passage-components")

@@ -251,3 +251,27 @@ def test_every_shortest_passage(spark):
     rows += [(1000 + i, " ".join(words(few, 20, 10**6) + passage[:50] + words(few, 20, 10**6))) for i in range(1)]
     got = {(x.doc_id, x.begin, x.end) for x in substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x.kind == "passage"}
     assert got == {(i, 20, 20 + size) for i in range(40)}
+
+
+def test_beyond_the_broadcast_bound(docs, monkeypatch):
+    """Filters and split joins in place of broadcasts: the same rows."""
+    key = lambda r: (r.doc_id is not None, r.doc_id, r.kind, r.begin, r.end, r.removed)
+    found = sorted(map(key, substring_dedup.repeats(docs, 5).collect()), key=repr)
+    left = sorted(map(repr, ngram_join.keep_one_each(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(substring_dedup, "HOT", 3)
+    assert sorted(map(key, substring_dedup.repeats(docs, 5).collect()), key=repr) == found
+    assert sorted(map(repr, ngram_join.keep_one_each(docs).collect())) == left
+
+
+def test_odd_column_names(spark):
+    """Every operator that keeps columns keeps those with dots, quotes and clashing names."""
+    names = ["doc_id", "text", "a.b", "IDS_", "pl_sha", "PL_KEY", "we`ird", "__pl_gone"]
+    rows = [(i, f"some text of words number {i % 3}", *"uvwxyz") for i in range(6)] + [(None, None, *"uvwxyz")]
+    frame = spark.createDataFrame(rows, ", ".join(["doc_id long", *("`" + n.replace("`", "``") + "` string" for n in names[1:])]))
+    items = spark.createDataFrame([(1, "some text of words number 2")], "item_id long, text string")
+    from pagelore.llm import sentencepiece_codec
+
+    for out, n in ((exact_dedup.drop_copies(frame), 4), (ngram_join.keep_one_each(frame), 4), (decontaminate.drop_contaminated(frame, items), 5)):
+        assert out.columns == names and out.count() == n
+    assert sentencepiece_codec.encode(frame.withColumnRenamed("IDS_", "IDS")).columns == [*(n for n in names if n != "IDS_"), "ids", "n_tokens"]
