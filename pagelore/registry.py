@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagelore.functions.dialect import DUCK, SPARK, Dialect
-from pagelore.operators import alignment, audits, evidence, layout, records, structure, text_rules
+from pagelore.operators import alignment, audits, evidence, fields, layout, records, structure, text_rules
 from pagelore.plans import report
 from pagelore.plans.oracles import ORACLES
 from pagelore.sources.tables import duck_tables, table
@@ -17,10 +17,15 @@ RULES: dict[str, tuple[tuple[str, ...], Callable[[Dialect], str]]] = {}
 for _module in (text_rules, layout, audits, records, evidence, structure, report):
     RULES |= _module.QUERIES
 
+#: Rules that run by levels of jobs; their SQL is the oracle's, and gives the same.
+BY_LEVELS: dict[str, Callable[..., DataFrame]] = {"field_count": fields.field_count}
+
 
 def apply(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
     """One rule query over the given DataFrames (named as the query's tables)."""
     needs, sql = RULES[name]
+    if name in BY_LEVELS:
+        return BY_LEVELS[name](**{t: tables[t] for t in needs})
     return spark.sql(sql(SPARK), **{t: tables[t] for t in needs}) if needs else spark.sql(sql(SPARK).replace("{{", "{").replace("}}", "}"))
 
 
