@@ -78,8 +78,8 @@ def to_planes(ids: np.ndarray, layout: int, planes: int) -> list[bytes]:
     raw = np.ascontiguousarray(ids, "<u4").view(np.uint8).reshape(-1, 4)
     if layout == BYTES:
         return [raw[:, i].tobytes() for i in range(planes)]
-    bits = np.unpackbits(raw, axis=1, count=planes, bitorder="little")
-    return [x.tobytes() for x in np.packbits(bits.T, axis=1, bitorder="little")]
+    word = np.ascontiguousarray(ids, "<u4")
+    return [np.packbits((word >> np.uint32(i)).astype(np.uint8) & 1, bitorder="little").tobytes() for i in range(planes)]
 
 
 def from_planes(parts: list[bytes], n: int, layout: int) -> np.ndarray:
@@ -88,10 +88,10 @@ def from_planes(parts: list[bytes], n: int, layout: int) -> np.ndarray:
         for i, p in enumerate(parts):
             raw[:, i] = np.frombuffer(p, np.uint8)
         return raw.view("<u4").ravel()
-    rows = np.stack([np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little") for p in parts])
-    full = np.zeros((n, 32), np.uint8)
-    full[:, : len(parts)] = rows.T
-    return np.packbits(full, axis=1, bitorder="little").view("<u4").ravel()
+    ids = np.zeros(n, "<u4")
+    for i, p in enumerate(parts):
+        ids |= np.unpackbits(np.frombuffer(p, np.uint8), count=n, bitorder="little").astype(np.uint32) << np.uint32(i)
+    return ids
 
 
 class Writer:
@@ -207,6 +207,10 @@ class Reader:
 
 # ------------------------------------------------------------------ encoding
 
+#: Bytes of pieces and ids that a worker process remembers, about.
+MEMORY_BYTES = 160 << 20
+#: Pieces that are encoded as one text.
+TOGETHER = 512
 #: Characters beyond those whose class all Unicode versions share.
 _ODD = re.compile("[^\t\n\r -~\xa1-\u024f\u2010-\u2027\u2030-\u205e]")
 # How a byte-level model's own expression cuts a text, over the plain characters.
@@ -236,7 +240,7 @@ class Encoder:
             self.opens[i] = token.startswith("\u0120")
         #: Pieces to their ids, as bytes of the smallest type.
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memory = WordMemory()
+        self.memory = WordMemory(MEMORY_BYTES)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -249,8 +253,8 @@ class Encoder:
         later = [w for w in new if w[:1] == " " and w[1:].isalpha()]
         first = list(set(new).difference(later))
         self.memory.put(first, [x.astype(self.type).tobytes() for x in self.whole(first)])
-        for i in range(0, len(later), 2048):
-            part = later[i : i + 2048]
+        for i in range(0, len(later), TOGETHER):
+            part = later[i : i + TOGETHER]
             ids = self.whole(["".join(part)])[0]
             at = [*(np.flatnonzero(self.opens[ids]) * size).tolist(), len(ids) * size]
             if len(at) == len(part) + 1:
@@ -263,6 +267,17 @@ class Encoder:
         return [np.frombuffer(b"".join(map(known, pieces)), self.type).astype(np.uint32) if pieces else self.whole([t])[0] for t, pieces in zip(texts, cut, strict=True)]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder that all tasks of a worker process share, with what it remembers."""
+    if path not in _encoders:
+        _encoders.clear()  # one memory a worker
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 # ------------------------------------------------------------------ Spark
 
 
@@ -286,7 +301,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, layout: i
     shards = shards or _shards(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(where).encode  # a memory of its own, so that it ends with the task
+        encode = encoder(where).encode
         part = TaskContext.get().partitionId()
         fs, base = _place(folder)
         fs.create_dir(base, recursive=True)
@@ -304,7 +319,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, layout: i
             writer.close()
             out.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "n_docs": pa.array([writer.n_docs], pa.int64()), "n_ids": pa.array([writer.n], pa.int64())})
-        del encode, writer
+        del writer
         give_back()
 
     order = [F.col("doc_id").asc_nulls_first(), F.col("__h").asc()]

@@ -68,6 +68,24 @@ def test_planes(layout):
         assert (token_planes.from_planes(token_planes.to_planes(ids, layout, planes), n, layout) == ids).all()
 
 
+def test_planes_of_every_bit():
+    ids = np.random.default_rng(3).integers(0, 1 << 32, 1000, dtype=np.uint64).astype(np.uint32)
+    planes = token_planes.to_planes(ids, token_planes.BITS, 32)
+    assert planes == [np.packbits([int(x) >> i & 1 for x in ids], bitorder="little").tobytes() for i in range(32)]
+    assert (token_planes.from_planes(planes, 1000, token_planes.BITS) == ids).all()
+
+
+def test_tasks_of_a_worker_share_an_encoder(monkeypatch):
+    """What one task has met the library doesn't encode again for the next one."""
+    first = token_planes.encoder(token_planes.public_vocabulary())
+    want = first.encode(["some words, met twice", "and others"])
+    second = token_planes.encoder(token_planes.public_vocabulary())
+    asked = []
+    monkeypatch.setattr(second, "whole", lambda texts: asked.extend(texts) or [])
+    got = second.encode(["and others", "some words, met twice"])
+    assert not asked and [x.tolist() for x in got[::-1]] == [x.tolist() for x in want]
+
+
 def test_file_format():
     docs = [(1, np.arange(10, dtype=np.uint32)), (None, np.zeros(1, np.uint32)), (7, np.full(300, 50256, np.uint32)), (8, np.zeros(0, np.uint32))]
     sink = io.BytesIO()
