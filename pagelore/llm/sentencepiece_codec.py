@@ -44,6 +44,8 @@ from pagelore.llm._common import WordMemory, give_back, mix, named, table
 SPACE = "▁"
 #: Words of one length that advance together.
 ROWS = 4096
+#: Bytes of words and ids that a task remembers, about.
+MEMORY_BYTES = 32 << 20
 
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -106,8 +108,11 @@ class Model:
         # a cut before a space mark is safe if no piece has one after something else
         self.cut = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+") if not any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in known) else re.compile(r"(?s).+")
         self.lowest = self.scores[known].min() - 10
-        #: Words that the tasks of a worker process share, in bounded memory.
-        self.memory = WordMemory()
+        self.forget()
+
+    def forget(self) -> None:
+        """Words are remembered in bounded memory until their task ends: the worker lives on."""
+        self.memory = WordMemory(MEMORY_BYTES)
 
     @staticmethod
     def _key(poly: np.ndarray, length: int) -> np.ndarray:
@@ -347,6 +352,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
                 part = b.slice(start, len(texts))
                 start += len(texts)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32())), pa.array(n, pa.int64())], names=[*plain, "ids", "n_tokens"])
+        m.forget()
         give_back()
 
     return docs.select(*named(kept)).toDF(*plain).mapInArrow(run, schema).toDF(*kept, "ids", "n_tokens")
@@ -369,6 +375,7 @@ def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_tokens", "ids_crc32", "n_fallback", "decoded_sha256", "round_trip"])
+        m.forget()
         give_back()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, n_fallback long, decoded_sha256 string, round_trip boolean")

@@ -86,6 +86,21 @@ def test_tasks_of_a_worker_share_an_encoder(monkeypatch):
     assert not asked and [x.tolist() for x in got[::-1]] == [x.tolist() for x in want]
 
 
+def test_words_end_with_their_task(spark):
+    """A worker lives on after its task; it keeps the model and no words."""
+
+    def left(batches):
+        for _ in batches:
+            memory = [m.memory for m in sentencepiece_codec._models.values()]
+            yield pa.RecordBatch.from_pydict({"models": [len(memory)], "words": [sum(len(x.young) + len(x.old) for x in memory)]})
+
+    texts = spark.range(400).selectExpr("id AS doc_id", "concat('word', id, ' text') AS text").repartition(4)
+    for run in (sentencepiece_codec.encode, sentencepiece_codec.digest):
+        assert run(texts).count() == 400 and len(run(texts).collect()) == 400
+        rows = spark.range(0, 8, 1, 4).mapInArrow(left, "models long, words long").collect()
+        assert sum(r.models for r in rows) and not sum(r.words for r in rows)
+
+
 def test_file_format():
     docs = [(1, np.arange(10, dtype=np.uint32)), (None, np.zeros(1, np.uint32)), (7, np.full(300, 50256, np.uint32)), (8, np.zeros(0, np.uint32))]
     sink = io.BytesIO()
