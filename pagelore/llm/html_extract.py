@@ -7,17 +7,22 @@
 2. The token streams of the loose and chrome blocks of a host's pages are concatenated
    and their suffixes sorted; suffixes of distinct pages that share their first
    ``RUN`` tokens mark repeated runs. Covered tokens are boilerplate.
-3. A page's text is that of its explicit containers: of its main parts and articles, or
-   else of its content containers. What repeats inside an article is
-   never cut: articles quote and copy each other, and on such pages the suffix array
-   alone would delete their text. A page without a container keeps its loose blocks
+3. A page's text is that of its explicit containers, of its main parts and articles or
+   else of its content containers, without the host's furniture: blocks covered by runs
+   that stand outside containers on ``SHARE`` of the host's pages (``LEAST_PAGES`` at
+   least) and open blocks inside containers on as many pages, no more than half of them
+   of one text.
+   What repeats inside containers alone is not cut: articles quote and copy each other.
+   What stands in one article, or in copies of it, is not cut either: menus name and
+   quote articles. A page without a container keeps its loose blocks
    without chrome, but for the blocks that are wholly covered by runs that stand on
    ``SHARE`` of the host's pages (``LEAST_PAGES`` at least). A page whose tokens all equal
    another page's is a copy, not boilerplate, and keeps these blocks too.
 
 A large host is split into parts of bounded size; runs that are unique within their part
 are then compared across parts by the hash of their tokens, so no repetition is missed
-and no host meets in one task. Only tokens outside articles leave the page's task.
+and no host meets in one task. Of articles, only a hash of the first ``RUN`` tokens from
+each block on leaves the page's task before the text itself.
 
 Defined cases: null html is empty; an empty page, or one without main text, has the
 empty text; a null or odd url belongs to the host ""; unclosed and stray tags are read as
@@ -46,6 +51,8 @@ RUN = 6
 PART_TOKENS = 400_000
 #: A block goes if its runs stand on this share of the host's pages, and on so many.
 SHARE, LEAST_PAGES = 0.25, 3
+#: Runs on SHARE of their hosts' pages that are broadcast; more are joined by shuffles.
+BROADCAST_ROWS = 1 << 17
 #: Kinds of covered ranges: on two pages, on SHARE of the pages, on a copied page.
 TWICE, WIDE, COPY = 0, 1, 2
 
@@ -294,20 +301,41 @@ def _blocks(page: str | None) -> tuple[int, list, list[tuple[bool, str]]]:
     return main_level(blocks), blocks, [(chrome, t) for k, chrome, t in blocks if k == LOOSE or chrome]
 
 
+def _contained(level: int, blocks: list[tuple[int, bool, str]]) -> list[str]:
+    """The texts of a page's containers, block by block."""
+    return [t for k, chrome, t in blocks if k >= level and not chrome]
+
+
+def _openings(texts: list[str]) -> list[str]:
+    """The first RUN tokens from each block on ("" where fewer are left)."""
+    out, after = [], []
+    for t in reversed(texts):
+        after = (t.split(" ", RUN)[:RUN] + after)[:RUN]
+        out.append(" ".join(after) if len(after) == RUN else "")
+    return out[::-1]
+
+
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (host, row, html) to host, row and the tokens outside articles."""
+    """Rows (host, row, html) to host, row, the tokens outside containers, and the hash of
+    the run that starts at each block inside them (null where fewer tokens are left)."""
     for b in batches:
-        tokens = [signed(_tokens([t for _, t in _blocks(page)[2]])[0]) for page in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.list_(pa.int64()))], names=["host", "row", "tokens"])
+        tokens, openings = [], []
+        for page in b.column(2).to_pylist():
+            lv, blocks, loose = _blocks(page)
+            tokens.append(signed(_tokens([t for _, t in loose])[0]))
+            openings.append(_openings(_contained(lv, blocks)) if lv else [])
+        runs = iter(signed(shingle_hashes(mix(_tokens([t for o in openings for t in o])[0]), RUN)[::RUN]).tolist())
+        starts = [[next(runs) if t else None for t in o] for o in openings]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int64()))], names=["host", "row", "tokens", "starts"])
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, row, html) to the text of the page's container (null without one), else its loose blocks."""
+    """Rows (page_id, url, row, html) to the text of the page's containers (null without one), else its loose blocks."""
     for b in batches:
         cols: dict[str, list] = {k: [] for k in ("text", "loose", "hidden", "n")}
         for page in b.column(3).to_pylist():
             lv, blocks, loose = _blocks(page)
-            cols["text"].append("\n".join(t for k, chrome, t in blocks if k >= lv and not chrome) if lv else None)
+            cols["text"].append("\n".join(_contained(lv, blocks)) if lv else None)
             cols["n"].append(sum(len(t.split(" ")) for _, t in loose))
             cols["loose"].append([] if lv else [t for _, t in loose])
             cols["hidden"].append([] if lv else [c for c, _ in loose])
@@ -318,7 +346,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (host, part, parts, row, tokens, least), those of one part together: covered ranges
-    of each page, and for a host of several parts all runs by hash, with their pages here (once a run)."""
+    of each page, and by hash the runs on ``least`` pages (once) or, for a host of several parts,
+    all runs, with their pages here (once a run)."""
     key, rows, streams, parts, least = None, [], [], 1, 0
 
     def done() -> pa.RecordBatch:
@@ -340,9 +369,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out_gram += [None] * len(lo)
                 out_pages += [0] * len(lo)
                 out_kind += [kind] * len(lo)
-        if parts > 1 and len(once) + len(twice):
-            # what is unique here may stand in another part; runs that repeat here are offered too, for its sake
-            every = np.sort(np.concatenate([once, twice]))
+        # what is unique here may stand in another part; runs that repeat here are offered too, for its sake
+        every = np.sort(np.concatenate([once, twice])) if parts > 1 else np.flatnonzero(first & (number >= least))
+        if len(every):
             grams, p = signed(shingle_hashes(mix(tokens.view(np.uint64)), RUN))[every], page[every]
             out_row += [rows[i] for i in p]
             out_from += (every - base[p]).tolist()
@@ -366,10 +395,27 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def without_furniture(text: str, at: list[int], runs: np.ndarray) -> tuple[str, int]:
+    """(the text without the blocks that are wholly covered by ``runs`` from the start of a
+    block of ``at`` on, number of tokens that went)."""
+    blocks = text.split("\n")
+    tokens, size = _tokens(blocks)
+    base = np.concatenate([[0], np.cumsum(size)])
+    other = np.flatnonzero(~np.isin(signed(shingle_hashes(mix(tokens), RUN)), runs))
+    other = np.append(other, max(0, len(tokens) - RUN + 1))
+    gone = np.zeros(len(tokens), bool)
+    for i in at:
+        end = min(other[np.searchsorted(other, base[i])], base[i + 1])
+        if end > base[i]:
+            gone[base[i] : end + RUN - 1] = True
+    whole = [gone[base[i] : base[i + 1]].all() for i in range(len(blocks))]
+    return "\n".join(t for t, w in zip(blocks, whole, strict=True) if not w), int(size[whole].sum())
+
+
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, lost = [], []
-        for text, loose, hidden, n, spans in zip(*(b.column(c).to_pylist() for c in range(2, 7)), strict=True):
+        for text, loose, hidden, n, spans, at, runs in zip(*(b.column(c).to_pylist() for c in range(2, 9)), strict=True):
             gone, wide, copy = np.zeros(n or 0, bool), np.zeros(n or 0, bool), False
             for x in spans or ():
                 if x["kind"] == COPY:
@@ -385,16 +431,40 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         kept.append(t)
                     at += size
                 text = "\n".join(kept)
+            elif at:
+                text, tokens = without_furniture(text, at, np.array(runs, np.int64))
+                lost[-1] += tokens
             texts.append(text)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(lost, pa.int64())], names=["page_id", "url", "text", "n_chars", "boilerplate_tokens"])
 
 
+def furniture(streams: DataFrame, wide: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(row, at, runs): the blocks inside containers that open with a run of ``wide`` (host, gram)
+    which opens such blocks on enough pages of the host, and all runs of the host.
+
+    Copies of one article are no such pages: beside the run, ``LEAST_PAGES`` different first (or
+    last) blocks must stand there, none of them on more than half of the pages."""
+    wide = materialize(wide, "wide")
+    few = F.broadcast if wide.count() <= BROADCAST_ROWS else lambda df: df
+    opened = streams.select("host", "row", F.posexplode("starts").alias("at", "gram")).where("gram is not null").join(few(wide), ["host", "gram"])
+    opened = opened.groupBy("host", "row").agg(F.collect_set("at").alias("at")).join(streams.groupBy("row").agg(F.any_value("starts").alias("starts")), "row")
+    beside = opened.withColumn("beside", F.expr("filter(starts, (x, i) -> x is not null and not array_contains(at, i))"))
+    ends = F.expr("array(struct(0 as side, coalesce(get(beside, 0), 0) as text), struct(1 as side, coalesce(get(beside, size(beside) - 1), 0) as text))")
+    beside = beside.select("host", "row", ends.alias("ends"), F.explode(F.expr("transform(at, i -> struct(i as at, starts[i] as gram))")).alias("x")).select("host", "row", "ends", "x.at", "x.gram")
+    texts = beside.select("host", "gram", "row", F.inline("ends")).groupBy("host", "gram", "side", "text").agg(F.countDistinct("row").alias("pages"))
+    often = texts.groupBy("host", "gram", "side").agg(F.sum("pages").alias("pages"), F.max("pages").alias("most"), F.count("*").alias("texts")).join(sizes, "host")
+    often = often.where(f"pages >= least and 2 * most <= pages and texts >= {LEAST_PAGES}").select("host", "gram").distinct()
+    found = beside.join(often, ["host", "gram"]).groupBy("host", "row").agg(F.collect_set("at").alias("at"))
+    return found.join(few(wide.groupBy("host").agg(F.collect_list("gram").alias("runs"))), "host").select("row", "at", "runs")
+
+
 def extract(pages: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
-    """page_id, url, text, n_chars and boilerplate_tokens (repeated tokens outside articles) of every page."""
+    """page_id, url, text, n_chars and boilerplate_tokens (repeated tokens outside containers, and
+    those of the furniture inside) of every page."""
     host = F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1), F.lit(""))
     pages = pages.select("page_id", "url", "html", host.alias("host"), F.xxhash64("page_id", "url", "html").alias("row"))
-    # parsing twice is cheaper than keeping the texts: only tokens outside articles are stored and meet by host
-    streams = materialize(pages.select("host", "row", "html").mapInArrow(_streams, "host string, row long, tokens array<long>"), "streams")
+    # parsing twice is cheaper than keeping the texts: only tokens outside containers are stored and meet by host
+    streams = materialize(pages.select("host", "row", "html").mapInArrow(_streams, "host string, row long, tokens array<long>, starts array<long>"), "streams")
     sizes = materialize(streams.groupBy("host").agg(F.greatest(F.lit(1), F.ceil(F.sum(F.size("tokens")) / part_tokens)).cast("long").alias("parts"), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.count(F.when(F.size("tokens") > 0, 1)) * SHARE)).cast("long").alias("least")), "hosts")
     dealt = streams.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts")))
     runs = dealt.select("host", "part", "parts", "row", "tokens", "least").repartition("host", "part").sortWithinPartitions("host", "part", "row")
@@ -408,8 +478,9 @@ def extract(pages: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
     copies = whole.join(copies, ["host", "whole"]).select("row", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), F.lit(COPY).alias("kind")).distinct()
     covered = runs.where("gram is null").select("row", "lo", "hi", "kind").union(met).union(copies)
     covered = covered.groupBy("row").agg(F.collect_list(F.struct("lo", "hi", "kind")).alias("spans"))
+    inside = furniture(streams, across.where(F.array_contains("kinds", WIDE)).select("host", "gram"), sizes)
     parsed = pages.select("page_id", "url", "row", "html").mapInArrow(_parsed, "page_id long, url string, row long, text string, loose array<string>, hidden array<boolean>, n int")
-    full = parsed.join(covered, "row", "left").select("page_id", "url", "text", "loose", "hidden", "n", "spans")
+    full = parsed.join(covered, "row", "left").join(inside, "row", "left").select("page_id", "url", "text", "loose", "hidden", "n", "spans", "at", "runs")
     return full.mapInArrow(_finish, "page_id long, url string, text string, n_chars long, boilerplate_tokens long")
 
 

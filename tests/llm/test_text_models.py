@@ -292,6 +292,37 @@ def test_large_host_keeps_phrases(spark):
         assert {r.page_id: r.text for r in html_extract.extract(pages, part_tokens).collect()} == want
 
 
+def test_furniture_inside_articles(spark):
+    """What stands as furniture outside containers goes inside articles too; what articles share, or menus quote, stays."""
+    menu, notice = ("Home", "News", "About", "Contact", "Imprint", "Search", "Help"), "This site stores small files on your device today"
+    lead, quote = "The mayor has opened a bridge over the river", "Whoever quotes this sentence of seven words gains"
+    items = "<ul>" + "".join(f"<li>{x}" for x in menu) + "</ul>"
+    own = lambda i: " ".join(f"w{i}x{j}" for j in range(9))
+    rows, want = [], {}
+
+    def page(i, url, body, blocks):
+        rows.append((i, url, f"<body>{body}</body>"))
+        want[i] = "\n".join(blocks)
+
+    for i in range(24):  # furniture stands in its place, and the menus name an article
+        quoted = [quote] if i % 2 else []
+        body = "".join(f"<p>{x}</p>" for x in [own(i), *quoted, f"short {i}"])
+        page(i, "https://host.example/", f"<nav>{items}</nav><article>{body}</article><aside>{lead}</aside><footer>{notice}</footer>", [own(i), *quoted, f"short {i}"])
+    for i in range(24, 36):  # another layout has it in the article, list items of one word each among it; some articles are copies
+        k = 24 + i % 4
+        page(i, "https://host.example/", f"<article>{items}<h1>Head {k}</h1><p>{own(k)}</p><p>{notice}</p></article>", [f"Head {k}", own(k)])
+    for i in range(36, 54):  # near copies of the article that the menus name
+        rest = f"A long report of what came to pass there{' indeed' * (i - 35)}"
+        page(i, "https://host.example/", f"<div class='post'><p>{lead}</p><p>{rest}</p><p>The end of it is as it was before</p></div>", [lead, rest, "The end of it is as it was before"])
+    page(60, "https://other.example/", f"<article><p>{notice}</p></article>", [notice])  # another host
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for part_tokens in (10**6, 100):
+        got = {r.page_id: r for r in html_extract.extract(pages, part_tokens).collect()}
+        assert {i: r.text for i, r in got.items()} == want
+        assert got[30].boilerplate_tokens == len(menu) + len(notice.split()) and all(r.n_chars == len(r.text) for r in got.values())
+    assert html_extract.without_furniture(own(1), [], np.zeros(0, np.int64)) == (own(1), 0)
+
+
 def test_articles(spark, sf_dir):
     import html as h
     import re
