@@ -166,7 +166,7 @@ _PINV = pow(_P, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _powers or len(_powers[0]) < n:
         m = max(n, HASH_BYTES + 1)
         tables = []
@@ -211,7 +211,7 @@ class Words:
             at = self.start[i]
             j = max(i + 1, int(np.searchsorted(self.end, at + HASH_BYTES, "right")))
             part = self.data[at : self.end[j - 1]]
-            pw, inv = _power_tables(len(part) + 1)
+            pw, inv = power_tables(len(part) + 1)
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum(_BYTE_VALUE[part] * pw[: len(part)], out=total[1:])
             start, end = self.start[i:j] - at, self.end[i:j] - at

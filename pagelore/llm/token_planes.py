@@ -49,7 +49,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm._common import WordMemory, give_back, scratch, table
+from pagelore.llm._common import HASH_BYTES, give_back, mix, power_tables, scratch, table
 
 MAGIC = b"PLNS2\0"
 BITS, BYTES = 1, 2
@@ -211,11 +211,156 @@ class Reader:
 MEMORY_BYTES = 160 << 20
 #: Pieces that are encoded as one text.
 TOGETHER = 512
+#: Characters that are cut at once, about; and of a piece, beyond which its text is encoded whole.
+CUT_UNITS, LONGEST = 1 << 20, 1 << 16
 #: Characters beyond those whose class all Unicode versions share.
 _ODD = re.compile("[^\t\n\r -~\xa1-\u024f\u2010-\u2027\u2030-\u205e]")
 # How a byte-level model's own expression cuts a text, over the plain characters.
 _LETTERS, _DIGITS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECES = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\\s{_LETTERS}{_DIGITS}]+|\\s+(?!\\S)|\\s+")
+_SPACE, _LETTER, _DIGIT, _OTHER, _END = range(5)
+#: What separates texts; no plain character.
+_SEPARATOR = "\0"
+
+
+def _kinds() -> np.ndarray:
+    kind = np.full(1 << 16, _OTHER, np.uint8)
+    for which, chars in ((_LETTER, f"[{_LETTERS}]"), (_DIGIT, f"[{_DIGITS}]"), (_SPACE, "[\t\n\r ]"), (_END, _SEPARATOR)):
+        kind[[ord(c) for c in re.findall(chars, "".join(map(chr, range(0x2100))))]] = which
+    return kind
+
+
+_KIND = _kinds()
+_VALUE = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def pieces(units: np.ndarray) -> np.ndarray:
+    """Where the pieces of plain texts begin, as ``_PIECES`` cuts them: ``units`` are their
+    characters, every text followed by a separator, which is a piece too."""
+    kind = _KIND[units]
+    start = np.ones(len(units), bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:])
+    start |= kind == _END
+    # of white space before something else the last character stands alone, or opens that if it is a space
+    solid = np.flatnonzero((kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & (kind[1:] != _END)) + 1
+    start[solid - 1] = True
+    start[solid] = units[solid - 1] != 32
+    quote = np.flatnonzero((units[:-1] == 39) & start[:-1] & (kind[1:] == _LETTER))
+    for ending in ("s", "t", "m", "d", "re", "ve", "ll"):
+        at = quote
+        for i, c in enumerate(ending, 1):
+            at = at[units[at + i] == ord(c)]  # a separator ends the units: there is a next one
+        start[at + 1] = False
+        start[at + 1 + len(ending)] = True
+    return np.flatnonzero(start)
+
+
+def _piece_hashes(units: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out, i = np.zeros(len(at), np.uint64), 0
+    while i < len(at):
+        a = at[i]
+        j = max(i + 1, int(np.searchsorted(at, a + HASH_BYTES)))
+        part = units[a : at[j - 1] + size[j - 1]]
+        power, inverse = power_tables(len(part) + 1)
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUE[part] * power[: len(part)], out=total[1:])
+        first = at[i:j] - a
+        out[i:j] = mix((total[first + size[i:j]] - total[first]) * inverse[first] + size[i:j].astype(np.uint64))
+        i = j
+    return out
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... of size[0] numbers, then those of first[1] and so on."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class _Lists:
+    """Lists of numbers, one after the other in one array that grows."""
+
+    def __init__(self, kind: np.dtype):
+        self.data, self.n = np.zeros(1 << 10, kind), 0
+        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, flat: np.ndarray, size: np.ndarray) -> None:
+        if self.n + len(flat) > len(self.data):
+            self.data = np.concatenate([self.data[: self.n], np.zeros(len(flat) + self.n // 2 + 1024, self.data.dtype)])
+        self.data[self.n : self.n + len(flat)] = flat
+        self.first = np.concatenate([self.first, self.n + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.n += len(flat)
+
+
+class PieceMemory:
+    """Pieces and their ids in arrays, at most about ``most`` bytes.
+
+    A table of slots finds a piece by its 64-bit hash; what has the hash is then compared
+    character by character, so equal hashes of unlike pieces never give wrong ids. When
+    the bound is reached, pieces stay that were asked for again since the last time (none
+    if they hold over half of it)."""
+
+    def __init__(self, most: int, kind: np.dtype):
+        self.most, self.kind = most, kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.key, self.again = np.zeros(0, np.uint64), np.zeros(0, bool)
+        self.text, self.ids = _Lists(np.dtype("<u2")), _Lists(self.kind)
+        self.slots = np.full(1 << 12, -1, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.key)
+
+    @property
+    def size(self) -> int:
+        return 41 * len(self.key) + self.slots.nbytes + self.text.data.nbytes + self.ids.data.nbytes
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of what is known under each hash, or -1."""
+        mask = np.uint64(len(self.slots) - 1)
+        out, todo, slot = np.full(len(h), -1, np.int64), np.arange(len(h)), (h & mask).astype(np.int64)
+        while len(todo):
+            there = self.slots[slot]
+            taken = there >= 0
+            hit = taken.copy()
+            hit[taken] = self.key[there[taken]] == h[todo[taken]]
+            out[todo[hit]] = there[hit]
+            on = taken & ~hit
+            todo, slot = todo[on], (slot[on] + 1) & int(mask)
+        return out
+
+    def _seat(self, numbers: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        slot = (self.key[numbers] & np.uint64(mask)).astype(np.int64)
+        while len(numbers):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]  # of several for one slot one stays
+            on = self.slots[slot] != numbers
+            numbers, slot = numbers[on], (slot[on] + 1) & mask
+
+    def add(self, key: np.ndarray, text: np.ndarray, text_size: np.ndarray, ids: np.ndarray, ids_size: np.ndarray) -> None:
+        """Pieces with hashes that aren't known, all different."""
+        n = len(self.key)
+        self.key, self.again = np.concatenate([self.key, key]), np.concatenate([self.again, np.zeros(len(key), bool)])
+        self.text.add(text, text_size)
+        self.ids.add(ids, ids_size)
+        grown = len(self.slots)
+        while grown < 2 * len(self.key):
+            grown *= 2
+        if grown > len(self.slots):
+            self.slots = np.full(grown, -1, np.int32)
+            n = 0
+        self._seat(np.arange(n, len(self.key), dtype=np.int32))
+
+    def bound(self) -> None:
+        """Forget, if the bound is reached."""
+        if self.size <= self.most:
+            return
+        key, text, ids, keep = self.key, self.text, self.ids, np.flatnonzero(self.again)
+        self.clear()
+        if 41 * len(keep) + 16 * len(keep) + 2 * int(text.size[keep].sum()) + self.kind.itemsize * int(ids.size[keep].sum()) <= self.most // 2:
+            self.add(key[keep], *(x for y in (text, ids) for x in (y.data[_ranges(y.first[keep], y.size[keep])], y.size[keep])))
 
 
 class Encoder:
@@ -223,9 +368,9 @@ class Encoder:
 
     A byte-level model cuts a text by a fixed expression and encodes each piece by itself,
     so the ids of a text are those of its pieces, which the library encodes once and this
-    class remembers (in bounded memory). Texts with characters beyond the plain ones or
-    with a special token's string go to the library whole, and so does everything for
-    models of another kind."""
+    class remembers (in bounded memory). Many texts are cut and looked up at once, in
+    arrays. Texts with characters beyond the plain ones or with a special token's string
+    go to the library whole, and so does everything for models of another kind."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -238,33 +383,87 @@ class Encoder:
         self.opens = np.zeros(self.library.get_vocab_size() + 1, bool)
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith("\u0120")
-        #: Pieces to their ids, as bytes of the smallest type.
+        #: Ids of pieces, of the smallest type.
         self.type = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memory = WordMemory(MEMORY_BYTES)
+        self.memory = PieceMemory(MEMORY_BYTES, self.type)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [() if not self.by_piece or any(x in t for x in self.special) or _ODD.search(t) else _PIECES.findall(t) for t in texts]
-        new, size = self.memory.missing(set(itertools.chain.from_iterable(cut))), self.type.itemsize
-        # words that open with a space are encoded as one text, and cut where a token opens with one
-        later = [w for w in new if w[:1] == " " and w[1:].isalpha()]
-        first = list(set(new).difference(later))
-        self.memory.put(first, [x.astype(self.type).tobytes() for x in self.whole(first)])
-        for i in range(0, len(later), TOGETHER):
-            part = later[i : i + TOGETHER]
-            ids = self.whole(["".join(part)])[0]
-            at = [*(np.flatnonzero(self.opens[ids]) * size).tolist(), len(ids) * size]
-            if len(at) == len(part) + 1:
-                raw = ids.astype(self.type).tobytes()
-                found = [raw[a:b] for a, b in itertools.pairwise(at)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        some: list[int] = []
+        units = 0
+        for i, t in enumerate(texts):
+            if self.by_piece and not any(x in t for x in self.special) and not _ODD.search(t):
+                some.append(i)
+                units += len(t)
+            if some and (units >= CUT_UNITS or i + 1 == len(texts)):
+                for j, ids in zip(some, self._plain([texts[j] for j in some]), strict=True):
+                    out[j] = ids
+                some, units = [], 0
+        return [self.whole([t])[0] if ids is None else ids for t, ids in zip(texts, out, strict=True)]
+
+    def _plain(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of plain texts; None for one that the library has to encode whole."""
+        joined = _SEPARATOR.join(texts) + _SEPARATOR
+        units = np.frombuffer(joined.encode("utf-16-le"), "<u2")
+        at = pieces(units)
+        size = np.diff(np.append(at, len(units)))
+        if size.max() > LONGEST:
+            return [None] * len(texts) if len(texts) == 1 else [self._plain([t])[0] for t in texts]
+        h, memory = _piece_hashes(units, at, size), self.memory
+        memory.bound()
+        which = memory.find(h)
+        memory.again[which[which >= 0]] = True
+        new = np.flatnonzero(which < 0)
+        if len(new):
+            key, first, inverse = np.unique(h[new], return_index=True, return_inverse=True)
+            first = new[first]
+            # words that open with a space come first: they are encoded together
+            word = (units[at[first]] == 32) & (_KIND[units[at[first] + size[first] - 1]] == _LETTER)
+            order = np.argsort(~word, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            which[new] = len(memory) + rank[inverse]
+            a, n = at[first[order]], size[first[order]]
+            ids, ids_size = self._pieces([joined[i : i + k] for i, k in zip(a.tolist(), n.tolist(), strict=True)], int(word.sum()))
+            memory.add(key[order], units[_ranges(a, n)], n, ids, ids_size)
+        ends = np.flatnonzero(units[at] == 0)
+        # are they what has these hashes?
+        alike = memory.text.size[which] == size
+        same = memory.text.data.take(_ranges(memory.text.first[which], size), mode="clip") == units
+        if not same.all():
+            alike &= np.logical_and.reduceat(same, at)
+        n = memory.ids.size[which]
+        flat = memory.ids.data[_ranges(memory.ids.first[which], n)].astype(np.uint32)
+        cut = np.cumsum(n)[ends].tolist()
+        found: list[np.ndarray | None] = [flat[a:b] for a, b in itertools.pairwise([0, *cut])]
+        for i in np.searchsorted(ends, np.flatnonzero(~alike)).tolist():
+            found[i] = None
+        return found
+
+    def _pieces(self, new: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, how many each has) of pieces, each encoded by the library by itself; the first
+        ``words`` open with a space, a separator has none."""
+        ids, sizes = [], []
+        for i in range(0, words, TOGETHER):
+            part = new[i : min(i + TOGETHER, words)]
+            # they are one text, cut where a token opens with a space
+            flat = self.whole(["".join(part)])[0]
+            at = np.flatnonzero(self.opens[flat])
+            if len(at) == len(part) and at[0] == 0:
+                ids.append(flat)
+                sizes.append(np.diff(np.append(at, len(flat))))
             else:
-                found = [x.astype(self.type).tobytes() for x in self.whole(part)]
-            self.memory.put(part, found)
-        known = self.memory.young.__getitem__
-        return [np.frombuffer(b"".join(map(known, pieces)), self.type).astype(np.uint32) if pieces else self.whole([t])[0] for t, pieces in zip(texts, cut, strict=True)]
+                each = self.whole(part)
+                ids += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        each = self.whole([w if w != _SEPARATOR else "" for w in new[words:]])
+        ids += each
+        sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate([np.zeros(0, np.uint32), *ids]).astype(self.type), np.concatenate(sizes)
 
 
 _encoders: dict[str, Encoder] = {}

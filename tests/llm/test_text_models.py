@@ -1,8 +1,10 @@
 """Operators 1, 2, 3, 4, 6, 9."""
 
+import gc
 import hashlib
 import io
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -86,6 +88,42 @@ def test_tasks_of_a_worker_share_an_encoder(monkeypatch):
     assert not asked and [x.tolist() for x in got[::-1]] == [x.tolist() for x in want]
 
 
+def test_pieces_are_cut_as_by_the_expression():
+    # the cut in arrays is the expression's; in small memory ids stay the library's
+    pick = np.random.default_rng(5)
+    chars = np.array([*"''''  \n\tstmdrevlaLL9.\xe9\xb2\u2019"])
+    texts = ["".join(pick.choice(chars, n)) for n in pick.integers(0, 60, 3000)]
+    joined = "\0".join(texts) + "\0"
+    at = [*token_planes.pieces(np.frombuffer(joined.encode("utf-16-le"), "<u2")).tolist(), len(joined)]
+    assert [joined[a:b] for a, b in zip(at, at[1:])] == [p for t in texts for p in [*token_planes._PIECES.findall(t), "\0"]]
+    e = token_planes.Encoder(token_planes.public_vocabulary())
+    e.memory = token_planes.PieceMemory(1 << 18, e.type)
+    for _ in range(2):
+        for i in range(0, len(texts), 100):
+            assert [x.tolist() for x in e.encode(texts[i : i + 100])] == [x.ids for x in e.library.encode_batch(texts[i : i + 100], add_special_tokens=False)]
+
+
+def test_remembered_pieces_are_small():
+    e = token_planes.Encoder(token_planes.public_vocabulary())
+    e.encode(["warm up"])
+    texts = ["".join(f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}ed" for i in range(j, j + 1000)) for j in range(0, 40_000, 1000)]
+    tracemalloc.start()
+    for t in texts:
+        e.encode([t])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100 * 40_000
+
+
+def test_equal_hashes_of_unlike_pieces(monkeypatch):
+    monkeypatch.setattr(token_planes, "_piece_hashes", lambda units, at, size: size.astype(np.uint64) & np.uint64(3))
+    e = token_planes.Encoder(token_planes.public_vocabulary())
+    texts = ["one two", "two one", "six ten", "a much longer word", "", "one two"]
+    for _ in range(2):
+        assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in e.library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_words_end_with_their_task(spark):
     """A worker lives on after its task; it keeps the model and no words."""
 
