@@ -297,6 +297,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if got:
         ids, low = union_find(np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got]))
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low)], names=["id", "component"])
+        del got, ids, low
+        give_back()
 
 
 def components(edges: DataFrame, name: str = "components", a: str = "a", b: str = "b", one_task: int = ONE_TASK_EDGES) -> DataFrame:

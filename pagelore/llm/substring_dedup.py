@@ -57,6 +57,8 @@ WINDOW, RADIUS = 12, 4
 LEAST_COVER = WINDOW
 #: A window that stands in so many places is dealt over SALTS tasks.
 HOT, SALTS = 10_000, 64
+#: Rows of long windows that a task hands on together.
+GRAM_ROWS = 1 << 15
 
 
 def tuned_bands(rows: int = ROWS, similarity: float = SIMILARITY, recall: float = RECALL) -> int:
@@ -205,6 +207,7 @@ def _paragraph_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 ids.append(x["class"])
                 texts.append(data[w.start[x["lo"]] : w.end[x["hi"] - 1]].tobytes().decode())
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string())], names=["class", "text"])
+    give_back()
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,8 +236,13 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _long_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (text, k, runs: list of (node, lo, hi)) to the hashes of all MIN_WORDS + 1 words around each run."""
     size, margin = MIN_WORDS + 1, MIN_WORDS + 1 - LEAST_COVER
+
+    def made(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names=["gram", "k", "node", "at"])
+
     for b in batches:
         out: list[list] = [[], [], [], []]
+        held = 0
         for (_, data, offsets), k, runs in zip(slices(b.column(0), 1), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             h = Words(data, offsets, lower=True).hash
             for r in runs:
@@ -244,7 +252,12 @@ def _long_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[1].append(np.full(len(g), k, np.int64))
                 out[2].append(np.full(len(g), r["node"], np.int64))
                 out[3].append(np.arange(a, a + len(g), dtype=np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], pa.int64()) for c in out], names=["gram", "k", "node", "at"])
+                held += len(g)
+                if held >= GRAM_ROWS:  # small batches out, for bounded memory
+                    yield made(out)
+                    out, held = [[], [], [], []], 0
+        yield made(out)
+    give_back()
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,6 +254,18 @@ def test_every_shortest_passage(spark):
     assert got == {(i, 20, 20 + size) for i in range(40)}
 
 
+def test_long_windows_leave_in_small_batches():
+    """Dense runs make many times the rows of their words; a task holds few of them."""
+    words = " ".join(f"w{i % 997}" for i in range(20_000))
+    runs = [{"node": i, "lo": 12 * i, "hi": 12 * i + 12} for i in range(1600)]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([words] * 3), "k": [1, 2, 3], "runs": [runs] * 3})
+    got = list(substring_dedup._long_grams(iter([batch])))
+    rows = sum(b.num_rows for b in got)
+    assert rows > 150_000 and max(b.num_rows for b in got) <= 1 << 16
+    want = [(k, r["node"], at) for k in (1, 2, 3) for r in runs for at in range(max(0, r["lo"] - 39), min(20_000, r["hi"] + 39) - 50)]
+    assert [(k, node, at) for b in got for k, node, at in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)))] == want
+
+
 def test_beyond_the_broadcast_bound(docs, monkeypatch):
     """Filters and split joins in place of broadcasts: the same rows."""
     key = lambda r: (r.doc_id is not None, r.doc_id, r.kind, r.begin, r.end, r.removed)
