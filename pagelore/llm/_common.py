@@ -77,6 +77,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Executors collect their garbage and give the freed heap back to the system.
+
+    G1 lets a heap grow up to its limit while a step has much garbage and hardly ever shrinks it, so
+    what one step freed stays out of reach of the Python workers of the next. One task a core,
+    so that an idle executor gets one at least; collections asked for at once are one."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 #: Rows and bytes of an Arrow batch: documents are large, and a batch is held by Spark and by Python.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "1000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
 

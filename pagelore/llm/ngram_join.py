@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm._common import Words, components, drop_scratch, give_back, materialize, mix, odd_sketch, shingle_hashes, signed, slices, table
+from pagelore.llm._common import Words, components, drop_scratch, give_back, materialize, mix, odd_sketch, shingle_hashes, shrink_heaps, signed, slices, table
 from pagelore.llm._links import link_lists
 from pagelore.llm.exact_dedup import member_filter, without
 
@@ -245,6 +245,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str)
     The texts of the classes concerned meet by pair and their sets are made anew: text
     compresses in a shuffle, hashes don't."""
     pairs = materialize(pairs, f"{name}-pairs")
+    shrink_heaps(docs.sparkSession)
     wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     wanted = materialize(classes.join(wanted, "class").select("class", "doc", "text_hash", "s1", "s2"), f"{name}-wanted")
     maybe = member_filter(wanted.select("text_hash"), wanted.count())
@@ -297,6 +298,7 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows whose component has a smaller doc_id; rows with a null
     doc_id, or with no text, stay. Rows that share the smallest doc_id all stay."""
     gone = materialize(link_components(docs).where("doc_id <> component_id").select("doc_id").distinct(), "join-gone")
+    shrink_heaps(docs.sparkSession)
     return without(docs, F.col("doc_id").cast("long"), gone)
 
 
